@@ -1,7 +1,18 @@
 """Queries over the text operators and, where SQL can express them, their DuckDB equivalents."""
 
+from ledgerline.llm.decontamination import op3_decontamination
+from ledgerline.llm.language_id import op6_language_id
 from ledgerline.llm.packing import op8_packing
+from ledgerline.llm.quality_rules import op5_quality_rules
+from ledgerline.llm.simhash import op4_simhash_near_dedup
 from ledgerline.llm.token_counts import op9_token_counts
 
-QUERIES = {"op8_packing": op8_packing, "op9_token_counts": op9_token_counts}
+QUERIES = {
+    "op3_decontamination": op3_decontamination,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_language_id": op6_language_id,
+    "op8_packing": op8_packing,
+    "op9_token_counts": op9_token_counts,
+}
 ORACLES: dict[str, str] = {}

@@ -1,5 +1,6 @@
 """Queries over the text operators and, where SQL can express them, their DuckDB equivalents."""
 
+from ledgerline.llm.chat_format import OP7_SQL, op7_chat_format
 from ledgerline.llm.decontamination import op3_decontamination
 from ledgerline.llm.language_id import op6_language_id
 from ledgerline.llm.packing import op8_packing
@@ -12,7 +13,8 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
+    "op7_chat_format": op7_chat_format,
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_chat_format": OP7_SQL}

@@ -5,11 +5,13 @@ from ledgerline.llm.decontamination import op3_decontamination
 from ledgerline.llm.language_id import op6_language_id
 from ledgerline.llm.license_scan import op2_license_scan
 from ledgerline.llm.packing import op8_packing
+from ledgerline.llm.pii import op1_pii
 from ledgerline.llm.quality_rules import op5_quality_rules
 from ledgerline.llm.simhash import op4_simhash_near_dedup
 from ledgerline.llm.token_counts import op9_token_counts
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,

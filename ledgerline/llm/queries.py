@@ -8,6 +8,7 @@ from ledgerline.llm.packing import op8_packing
 from ledgerline.llm.pii import op1_pii
 from ledgerline.llm.quality_rules import op5_quality_rules
 from ledgerline.llm.simhash import op4_simhash_near_dedup
+from ledgerline.llm.suffix_dedup import op10_suffix_dedup
 from ledgerline.llm.token_counts import op9_token_counts
 
 QUERIES = {
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_chat_format": op7_chat_format,
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {"op7_chat_format": OP7_SQL}

@@ -141,6 +141,23 @@ def identify(docs: DataFrame, langs: list[str], vectors: np.ndarray, *, id_col:
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def accepted(docs: DataFrame, langs: list[str], vectors: np.ndarray, *, least: float = 0.05, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a language: those that are not UNKNOWN and have a cosine of at least ``least``."""
+    near, dimensions = vectors.T.astype(np.float32), vectors.shape[1]
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    text = names[docs.columns.index(text_col)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, text):
+            own = bundles(block.column(text).to_pylist(), dimensions)
+            length = np.linalg.norm(own, axis=1)
+            best = (own @ near).max(axis=1) if langs else np.zeros(len(own))
+            yield block.filter(pa.array((length > 0) & (best >= least * length) & bool(langs)))
+
+    rows = docs.select(*(docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)))
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
+
+
 def fold(id_col: str = "doc_id") -> F.Column:
     """crc32 of the id as text, modulo 3; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3

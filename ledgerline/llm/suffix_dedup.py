@@ -7,7 +7,8 @@ sorted table of suffixes, told by the hash of the leading gram and then by the h
 document order: a new batch is sorted and scanned together with the existing levels in one merge, in which
 
 * a suffix whose segment is there before repeats it, so all its windows are repeats;
-* suffixes with the same gram but other segments may share single windows; these, few, are compared window by window.
+* suffixes with the same gram but other segments may share some windows; these, few, are compared again in blocks of
+  STEP windows, told by what all windows of the block have in common, and at last window by window, by the same scan.
 
 The new batch then becomes a level, merged with the levels of its own size, these with theirs, and so on.
 
@@ -26,7 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import blocks, mix, owner, prefix_hash, saved, slice_hash, utf8
@@ -34,16 +35,28 @@ from ledgerline.llm.common import blocks, mix, owner, prefix_hash, saved, slice_
 LENGTH, GRAM = 100, 32
 #: Bytes of text that are hashed at a time, and into how many batches a table is cut.
 PIECE, BATCHES = 1 << 20, 2
+#: Windows of a segment that are compared together where segments differ.
+STEP = 8
 _MASK = np.uint64((1 << 21) - 1)
-SUFFIX = "key long, seg long, doc long, tag int, start long, n int"
+#: ``at`` packs the first window, the number of windows and the distance from there to the gram.
+SUFFIX = "key long, seg long, doc long, tag int, at long"
+_BASE = 1 << 11
+
+
+def packed(start: np.ndarray, n: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return (start * _BASE + n) * _BASE + off
+
+
+def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return at // (_BASE * _BASE), at // _BASE % _BASE, at % _BASE
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """For texts of at most PIECE + length bytes together: the gram and segment hashes, the first window and the number
-    of windows of each segment."""
+    """For texts of at most PIECE + length bytes together: the gram and segment hashes, the first window, the number of
+    windows and the distance to the gram of each segment."""
     wide = length - gram + 1
     if len(data) < length:
-        return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return (*[np.zeros(0, np.uint64)] * 2, *[np.zeros(0, np.int64)] * 3)
     prefix = prefix_hash(data)
     at = np.arange(len(data) - gram + 1)
     grams = slice_hash(prefix, at, at + gram)
@@ -57,12 +70,12 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     inside = owner(offsets, np.arange(n)) == owner(offsets, np.arange(length - 1, len(data)))
     windows = np.flatnonzero(inside)
     if not len(windows):
-        return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), windows, windows)
+        return (*[np.zeros(0, np.uint64)] * 2, *[windows] * 3)
     least = least[windows]
     fresh = np.append(True, (np.diff(windows) != 1) | (np.diff(least) != 0))
     low = windows[fresh]
     n = np.diff(np.append(np.flatnonzero(fresh), len(windows)))
-    return grams[least[fresh]], slice_hash(prefix, low, low + n + length - 1), low, n
+    return grams[least[fresh]], slice_hash(prefix, low, low + n + length - 1), low, n, least[fresh] - low
 
 
 def pieces(texts: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -92,29 +105,74 @@ def _earliest(keys: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarra
     return again
 
 
+def _rows(key: np.ndarray, seg: np.ndarray, doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """SUFFIX and ``again``: whether a row repeats an earlier one of the same block. Such rows need no comparison and get
+    keys of their own."""
+    again = _earliest(seg, doc, unpacked(at)[0])
+    spread = mix(mix(doc.astype(np.uint64)) + at.astype(np.uint64))
+    key, seg = np.where(again, spread, key), np.where(again, spread, seg)
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(doc), pa.array(tag), pa.array(at), pa.array(again)], names=["key", "seg", "doc", "tag", "at", "again"])
+
+
 def suffixes(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """SUFFIX and ``again`` of all segments of ``docs`` (doc, tag, text): again is true where the segment repeats an
-    earlier one of the same block; such rows need no comparison and get keys of their own."""
+    """SUFFIX and ``again`` of all segments of ``docs`` (doc, tag, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             doc, tag = block.column("doc").to_numpy(), block.column("tag").to_numpy()
             for data, offsets, row, base in pieces(block.column("text"), length):
-                key, seg, low, n = segments(data, offsets, length, gram)
+                key, seg, low, n, off = segments(data, offsets, length, gram)
                 part = owner(offsets, low)
-                d, start = doc[row[part]], low - offsets[part] + base[part]
-                again = _earliest(seg, d, start)
-                spread = mix(mix(d.astype(np.uint64)) + start.astype(np.uint64))
-                key, seg = np.where(again, spread, key), np.where(again, spread, seg)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(d), pa.array(tag[row[part]]), pa.array(start), pa.array(n.astype(np.int32)), pa.array(again)],
-                    names=["key", "seg", "doc", "tag", "start", "n", "again"],
-                )
+                yield _rows(key, seg, doc[row[part]], tag[row[part]], packed(low - offsets[part] + base[part], n, off))
 
     return docs.select("doc", "tag", "text").mapInArrow(run, f"{SUFFIX}, again boolean")
 
 
-_OUT = ["key", "seg", "doc", "tag", "start", "n", "level", "state", "newly"]
+def _opened(batches: Iterator[pa.RecordBatch], ranges: str) -> Iterator[pa.RecordBatch]:
+    """Batches of (row: id, doc, tag, text; ranges) with the fields of ``row`` as columns."""
+    for b in batches:
+        row = b.column("row")
+        yield pa.RecordBatch.from_arrays([*(row.field(c) for c in ("id", "doc", "tag", "text")), b.column(ranges)], names=["id", "doc", "tag", "text", ranges])
+
+
+def cut(docs: DataFrame, step: int, length: int = LENGTH) -> DataFrame:
+    """SUFFIX and ``again`` of the ranges ``some`` of ``docs`` (row: id, doc, tag, text), cut into blocks of ``step`` windows.
+
+    Blocks are counted from the gram, so equal windows of different segments are in blocks that begin alike; the key is
+    the hash of the bytes that all windows of a block have in common.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(_opened(batches, "some"), limit=PIECE):
+            data, offsets = utf8(block.column("text"))
+            doc, tag, some = block.column("doc").to_numpy(), block.column("tag").to_numpy(), block.column("some")
+            row = np.repeat(np.arange(block.num_rows), np.diff(some.offsets.to_numpy()))
+            start, n, off = unpacked(some.flatten().to_numpy(zero_copy_only=False))
+            start = start + offsets[row]
+            order = np.argsort(start, kind="stable")
+            row, start, n, off = row[order], start[order], n[order], off[order]
+            i = 0
+            while i < len(start):
+                j = int(np.searchsorted(start, start[i] + PIECE, "right"))
+                j = i + max(1, int(np.searchsorted(np.cumsum(n[i:j]), PIECE, "right")))
+                which = np.repeat(np.arange(i, j), n[i:j])
+                p = start[which] + np.arange(len(which)) - np.repeat(np.cumsum(n[i:j]) - n[i:j], n[i:j])
+                back = start[which] + off[which] - p  # from the window to its gram
+                fresh = np.append(True, (which[1:] != which[:-1]) | (back[1:] // step != back[:-1] // step))
+                low, which, back = p[fresh], which[fresh], back[fresh]
+                m = np.diff(np.append(np.flatnonzero(fresh), len(p)))
+                prefix = prefix_hash(data[start[i] : (low + m).max() + length - 1])
+                common = low + back % step - start[i]
+                key = slice_hash(prefix, common, common + length - step + 1)
+                seg = slice_hash(prefix, low - start[i], low - start[i] + m + length - 1)
+                r = row[which]
+                yield _rows(key, seg, doc[r], tag[r], packed(low - offsets[r], m, back))
+                i = j
+
+    return docs.select("row", "some").mapInArrow(run, f"{SUFFIX}, again boolean")
+
+
+_OUT = ["key", "seg", "doc", "tag", "at", "level", "state", "newly"]
 #: What the merge says of a suffix: the first of its segment, the first but in company, or a repeat.
 FIRST, SHARED, REPEAT = 0, 1, 2
 
@@ -125,51 +183,55 @@ def merge_scan(batch: DataFrame, levels: list[DataFrame], merging: set[int], par
     Returns SUFFIX, ``level`` (-1: the batch), ``state`` and ``newly`` (it is SHARED from now on) of all rows of the batch,
     of levels in ``merging``, and of others that are newly SHARED.
     """
-    new = batch.withColumns({"level": F.lit(-1), "was": F.when(F.col("again"), F.lit(REPEAT)).otherwise(F.lit(FIRST))}).drop("again")
-    old = [t.select("key", "seg", "doc", "tag", "start", "n", F.lit(k).alias("level"), F.col("state").alias("was")) for k, t in enumerate(levels)]
-    run = reduce(DataFrame.unionByName, [new, *old]).repartition(partitions, "key").sortWithinPartitions("key", "seg", "doc", "start")
+    columns = ["key", "seg", "doc", "tag", "at"]
+    new = batch.select(*columns, F.when(F.col("again"), REPEAT).otherwise(FIRST).alias("mark"))
+    old = [t.select(*columns, (F.lit(4 * (k + 1)) + F.col("state")).alias("mark")) for k, t in enumerate(levels)]
+    run = reduce(DataFrame.union, [new, *old]).repartition(partitions, "key").sortWithinPartitions("key", "seg", "doc", "at")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_seg = last_doc = last_start = None
-        many, held = False, None  # of the current key: has it several segments; its first row, if it has one segment only
+        last = None  # key, segment, and the document and start of the first row of that segment
+        many, held = False, None  # of the last key: has it several segments; its first row, if it has one segment only
 
         def out(columns: dict[str, np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(columns[c][keep]) for c in _OUT], names=_OUT)
 
+        def wanted(level: np.ndarray) -> np.ndarray:
+            return (level < 0) | np.isin(level, list(merging))
+
         for b in batches:
             if not b.num_rows:
                 continue
-            x = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names}
-            key, seg, doc, start, was = (x[c] for c in ("key", "seg", "doc", "start", "was"))
-            goes_on = last_key is not None and key[0] == last_key
+            x = {c: b.column(c).to_numpy(zero_copy_only=False) for c in columns}
+            mark = b.column("mark").to_numpy()
+            key, seg, doc, start, was = x["key"], x["seg"], x["doc"], unpacked(x["at"])[0], mark % 4
+            goes_on = last is not None and key[0] == last[0]
             new_key = np.append(not goes_on, key[1:] != key[:-1])
-            new_seg = np.append(not (goes_on and seg[0] == last_seg), (key[1:] != key[:-1]) | (seg[1:] != seg[:-1]))
+            new_seg = np.append(not (goes_on and seg[0] == last[1]), (key[1:] != key[:-1]) | (seg[1:] != seg[:-1]))
             group = np.cumsum(new_key) - int(new_key[0])
             segs = np.bincount(group, weights=new_seg).astype(np.int64)
             if goes_on:
                 segs[0] += 2 if many else 1
             lead = np.maximum.accumulate(np.where(new_seg, np.arange(len(key)), -1))
-            lead_doc = np.where(lead >= 0, doc[lead], last_doc if last_doc is not None else 0)
-            lead_start = np.where(lead >= 0, start[lead], last_start if last_start is not None else 0)
+            lead_doc = np.where(lead >= 0, doc[lead], last[2] if last else 0)
+            lead_start = np.where(lead >= 0, start[lead], last[3] if last else 0)
             repeat = (was == REPEAT) | ~new_seg & ((doc != lead_doc) | (start != lead_start))
             shared = (segs[group] > 1) & ~repeat
-            x["state"] = np.where(repeat, REPEAT, np.where(shared, SHARED, FIRST)).astype(np.int32)
-            x["newly"] = shared & (was != SHARED)
-            x["level"] = x["level"].astype(np.int32)
-            keep = (x["level"] < 0) | x["newly"] | np.isin(x["level"], list(merging))
+            x |= {"level": (mark // 4 - 1).astype(np.int32), "state": np.where(repeat, REPEAT, np.where(shared, SHARED, FIRST)).astype(np.int32), "newly": shared & (was != SHARED)}
+            keep = x["newly"] | wanted(x["level"])
             if held is not None and (segs[0] > 1 or len(segs) > 1 or not goes_on):
-                together = goes_on and segs[0] > 1
-                held["state"], held["newly"] = np.array([SHARED if together else FIRST], np.int32), np.array([together])
-                if together or held["level"][0] < 0 or held["level"][0] in merging:
+                together = bool(goes_on and segs[0] > 1)
+                held |= {"state": np.array([SHARED if together else FIRST], np.int32), "newly": np.array([together])}
+                if together or wanted(held["level"])[0]:
                     yield out(held, np.array([True]))
                 held = None
-            if segs[-1] == 1 and not (len(segs) == 1 and goes_on) and was[first := int(np.flatnonzero(new_key)[-1])] == FIRST:
+            first = int(np.flatnonzero(new_key)[-1]) if new_key.any() else -1
+            if first >= 0 and segs[-1] == 1 and was[first] == FIRST:
                 held = {c: x[c][first : first + 1].copy() for c in _OUT}
                 keep[first] = False
             many = bool(segs[-1] > 1)
-            last_key, last_seg, last_doc, last_start = key[-1], seg[-1], lead_doc[-1], lead_start[-1]
+            last = key[-1], seg[-1], lead_doc[-1], lead_start[-1]
             yield out(x, keep)
-        if held is not None and (held["level"][0] < 0 or held["level"][0] in merging):
+        if held is not None and wanted(held["level"])[0]:
             yield out(held, np.array([True]))
 
     return run.mapInArrow(scan, f"{SUFFIX}, level int, state int, newly boolean")
@@ -182,84 +244,54 @@ class Family:
         self.partitions, self.length, self.gram = partitions, length, gram
         self.levels: list[tuple[int, DataFrame]] = []
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Scan a batch (doc, tag, text), whose documents come after all before; take it in; return what was found:
-        REPEAT rows of the batch and rows that are newly SHARED."""
+    def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
+        """Scan a batch (doc, tag, text), whose documents come after all before, and return what was found: REPEAT rows of
+        the batch and rows that are newly SHARED. The batch becomes a level, unless it is the ``last``."""
         size, merging = 1, set()
         for k in reversed(range(len(self.levels))):
-            if self.levels[k][0] != size:
+            if self.levels[k][0] != size or last:
                 break
             merging.add(k)
             size *= 2
-        found = saved(merge_scan(suffixes(docs, length=self.length, gram=self.gram), [t for _, t in self.levels], merging, self.partitions), "suffixes")
-        kept = found.filter(F.col("state") < REPEAT).filter((F.col("level") < 0) | F.col("level").isin(*merging, -1))
-        self.levels = [x for k, x in enumerate(self.levels) if k not in merging] + [(size, kept.select("key", "seg", "doc", "tag", "start", "n", "state"))]
-        return found.filter(((F.col("state") == REPEAT) & (F.col("level") < 0)) | F.col("newly")).select("doc", "tag", "start", "n", "state")
-
-
-def _ranges(batch: pa.RecordBatch, row: int, column: str) -> np.ndarray:
-    """(start, n) of a row's ranges."""
-    got = batch.column(column)[row]
-    return np.array([(x["start"], x["n"]) for x in got.as_py()], np.int64).reshape(-1, 2) if got.is_valid else np.zeros((0, 2), np.int64)
-
-
-def shared_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc, tag, start, h, again`` of every window of the ranges ``some`` of ``docs``; again as in ``suffixes``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            held: list[tuple[np.ndarray, ...]] = []
-
-            def out() -> pa.RecordBatch:
-                d, t, p, h = (np.concatenate(c) for c in zip(*held, strict=True))
-                again = _earliest(h, d, p)
-                h = np.where(again, mix(mix(d.astype(np.uint64)) + p.astype(np.uint64)), h)
-                held.clear()
-                return pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(p), pa.array(h.view(np.int64)), pa.array(again)], names=["doc", "tag", "start", "h", "again"])
-
-            for row in range(block.num_rows):
-                ranges = _ranges(block, row, "some")
-                if not len(ranges):
-                    continue
-                data, _ = utf8(block.column("text").slice(row, 1))
-                for low, n in ranges.tolist():
-                    at = np.arange(n)
-                    h = slice_hash(prefix_hash(data[low : low + n + length - 1]), at, at + length)
-                    held.append((np.full(n, block.column("doc")[row].as_py(), np.int64), np.full(n, block.column("tag")[row].as_py(), np.int32), at + low, h))
-                    if sum(len(x[0]) for x in held[-64:]) * len(held) > 1 << 24:
-                        yield out()
-            if held:
-                yield out()
-
-    return docs.mapInArrow(run, "doc long, tag int, start long, h long, again boolean")
+        judged = merge_scan(suffixes(docs, length=self.length, gram=self.gram), [t for _, t in self.levels], merging, self.partitions)
+        news = ((F.col("state") == REPEAT) & (F.col("level") < 0)) | F.col("newly")
+        if last:
+            return saved(judged.filter(news).select("doc", "tag", "at", "state"), "suffixes")
+        found = saved(judged, "suffixes")
+        kept = found.filter((F.col("state") < REPEAT) & F.col("level").isin(-1, *merging))
+        self.levels = [x for k, x in enumerate(self.levels) if k not in merging] + [(size, kept.select("key", "seg", "doc", "tag", "at", "state"))]
+        return found.filter(news).select("doc", "tag", "at", "state")
 
 
 def remaining(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` (id, doc, tag, text, gone: ranges of repeated windows) as ``id, n_bytes, n_removed, n_spans, kept_sha256``,
+    """``docs`` (row: id, doc, tag, text; gone: packed ranges of repeated windows) as ``id, n_bytes, n_removed, n_spans, kept_sha256``,
     and the removed stretches as ``spans``."""
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(_opened(batches, "gone")):
+            data, offsets = utf8(block.column("text"))
+            gone = block.column("gone")
+            ends, values = gone.offsets.to_numpy(), gone.values.to_numpy(zero_copy_only=False)
             rows = []
             for row in range(block.num_rows):
-                data, _ = utf8(block.column("text").slice(row, 1))
-                ranges = _ranges(block, row, "gone")
-                ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
-                begin, end = ranges[:, 0], np.maximum.accumulate(ranges.sum(axis=1) + length - 1) if len(ranges) else ranges[:, 0]
-                fresh = np.append(True, begin[1:] > end[:-1])[: len(begin)]
-                begin, end = begin[fresh], end[np.append(fresh[1:], True)[: len(end)]] if len(end) else end
-                whole, digest = data.tobytes(), hashlib.sha256()
+                whole = data[offsets[row] : offsets[row + 1]].tobytes()
+                if ends[row] == ends[row + 1]:
+                    rows.append((len(whole), 0, 0, hashlib.sha256(whole).hexdigest(), []))
+                    continue
+                begin, n, _ = unpacked(np.sort(values[ends[row] : ends[row + 1]]))
+                end = np.maximum.accumulate(begin + n + length - 1)
+                fresh = np.append(True, begin[1:] > end[:-1])
+                begin, end = begin[fresh], end[np.append(fresh[1:], True)]
+                digest = hashlib.sha256()
                 for a, b in zip(np.append(0, end).tolist(), np.append(begin, len(whole)).tolist(), strict=True):
                     digest.update(whole[a:b])
                 rows.append((len(whole), int((end - begin).sum()), len(begin), digest.hexdigest(), [{"start": a, "end": b} for a, b in zip(begin.tolist(), end.tolist(), strict=True)]))
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [block.column("id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
-            )
+            yield pa.RecordBatch.from_arrays([block.column("id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], span)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    kind = docs.schema["row"].dataType["id"].dataType.simpleString()
+    return docs.select("row", "gone").mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
 
 
 def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,25 +299,31 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, batches: i
     each byte is removed that lies in a stretch of ``length`` bytes which also starts earlier."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(docs[text_col], F.lit(""))
-    own = docs.select(docs[id_col].alias("id"), F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63))).alias("doc"), (F.crc32(text.cast("binary")) - (1 << 31)).cast("int").alias("tag"), text.alias("text"))
+    own = docs.select(docs[id_col].alias("id"), F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63))).alias("doc"), text.alias("text"))
+    unique = not own.groupBy("doc").count().filter("count > 1").limit(1).count()
+    own = own.withColumn("tag", F.lit(0) if unique else (F.crc32(F.col("text").cast("binary")) - (1 << 31)).cast("int"))  # tells texts of one id apart
     cuts = own.select("doc").stat.approxQuantile("doc", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     family, found = Family(partitions, length, gram), []
     edges = [None, *sorted({int(c) for c in cuts}), None]
     for low, high in zip(edges, edges[1:], strict=False):
         batch = own if low is None else own.filter(F.col("doc") >= low)
-        found.append(family.add(batch if high is None else batch.filter(F.col("doc") < high)))
+        found.append(family.add(batch if high is None else batch.filter(F.col("doc") < high), last=high is None))
     judged = reduce(DataFrame.union, found)
+    keys = ["doc"] if unique else ["doc", "tag"]
+    # one column holds all of a row, so that every use of these rows has the same columns and Spark shuffles them once
+    dealt = own.select(*keys, F.struct("id", "doc", "tag", "text").alias("row")).repartition(partitions, *keys)
+
+    def with_ranges(rows: DataFrame, name: str, how: str) -> DataFrame:
+        ranges = rows.groupBy(*keys).agg(F.collect_list("at").alias(name)).hint("shuffle_hash")
+        return dealt.join(ranges, keys, how).select("row", F.coalesce(name, F.array().cast("array<long>")).alias(name))
 
-    def ranges(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias(name))
+    def where(rows: DataFrame, state: int) -> DataFrame:
+        return rows.filter(F.col("state") == state).select("doc", "tag", "at")
 
-    dealt = own.repartition(partitions, "doc", "tag")
-    shared = dealt.join(ranges(judged.filter(F.col("state") == SHARED), "some"), ["doc", "tag"]).select("id", "doc", "tag", "text", "some")
-    first = F.min(F.struct("doc", "start")).over(Window.partitionBy("h"))
-    windows = shared_windows(shared, length).withColumn("first", first).filter(F.col("again") | (F.struct("doc", "start") > F.col("first")))
-    gone = judged.filter(F.col("state") == REPEAT).select("doc", "tag", "start", F.col("n").cast("long").alias("n")).union(windows.select("doc", "tag", "start", F.lit(1).cast("long")))
-    out = remaining(dealt.join(ranges(gone.distinct(), "gone"), ["doc", "tag"], "left").select("id", "doc", "tag", "text", "gone"), length)
-    return out.withColumnRenamed("id", id_col)
+    parts = merge_scan(cut(with_ranges(where(judged, SHARED), "some", "inner"), STEP, length), [], set(), partitions)
+    windows = merge_scan(cut(with_ranges(where(parts, SHARED), "some", "inner"), 1, length), [], set(), partitions)
+    gone = where(judged, REPEAT).union(where(parts, REPEAT)).union(where(windows, REPEAT))
+    return remaining(with_ranges(gone, "gone", "left"), length).withColumnRenamed("id", id_col)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

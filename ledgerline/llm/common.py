@@ -1,6 +1,6 @@
 """Shared helpers of the text operators: scratch tables, byte-bounded Arrow blocks and vectorised word kernels.
 
-The kernels work on one block of texts at a time (a few MB of UTF-8), so the memory of a task does not depend on the
+The kernels work on one block of texts at a time (at most BLOCK_BYTES of UTF-8), so the memory of a task does not depend on the
 size of the corpus, of a partition or of an Arrow batch; only one text is ever held whole.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

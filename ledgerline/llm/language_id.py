@@ -25,7 +25,9 @@ from ledgerline.llm.common import blocks
 
 DIMENSIONS, SEED, UNKNOWN = 1024, 20240229, "und"
 #: Distinct trigrams whose vectors are held at once, and entries of a count matrix.
-SLICE, CELLS = 4096, 1 << 23
+SLICE, CELLS = 4096, 1 << 21
+#: Bytes of text that are taken together; a count matrix and its trigrams take some hundred times as much.
+BLOCK = 1 << 20
 _letters: list[np.ndarray] = []
 _vectors: dict[tuple[int, int], np.ndarray] = {}
 
@@ -95,7 +97,7 @@ def prototypes(docs: DataFrame, *, dimensions: int = DIMENSIONS, text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for block in blocks(batches):
+        for block in blocks(batches, limit=BLOCK):
             langs, at = np.unique(np.array(block.column("lang").to_pylist(), object).astype(str), return_inverse=True)
             got = bundles(block.column("text").to_pylist(), dimensions)
             for k, lang in enumerate(langs):
@@ -123,7 +125,7 @@ def identify(docs: DataFrame, langs: list[str], vectors: np.ndarray, *, id_col:
     dimensions = vectors.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, limit=BLOCK):
             own = bundles(block.column("text").to_pylist(), dimensions)
             length = np.linalg.norm(own, axis=1)
             pred, score = np.full(len(own), UNKNOWN, object), np.zeros(len(own))
@@ -148,7 +150,7 @@ def accepted(docs: DataFrame, langs: list[str], vectors: np.ndarray, *, least: f
     text = names[docs.columns.index(text_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text):
+        for block in blocks(batches, text, BLOCK):
             own = bundles(block.column(text).to_pylist(), dimensions)
             length = np.linalg.norm(own, axis=1)
             best = (own @ near).max(axis=1) if langs else np.zeros(len(own))

@@ -35,7 +35,7 @@ SEGMENT = 1 << 18
 #: Inside a sentence cuts are possible every STEP tokens, at PENALTY tokens of padding each.
 STEP, PENALTY = 16, 4
 #: Words whose ids a worker remembers before it forgets all of them.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _models: dict[str, tuple] = {}
 

@@ -19,7 +19,7 @@ from ledgerline.llm.common import blocks
 
 SPACE = "▁"
 #: Entries that a worker's table of part lengths may have before it is emptied.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 _models: dict[str, tuple] = {}
 _PART = re.compile(" [ ]*[^ ]*")
 

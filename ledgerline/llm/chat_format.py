@@ -59,8 +59,9 @@ def paths(messages: DataFrame, top: int = 1) -> DataFrame:
     while (1 << len(jumps)) <= 2 * max(n, 1) and level.filter("up is not null").limit(1).count():
         jumps.append(level)
         above = level.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("next"), F.col("depth").alias("d"), F.col("total").alias("s"))
-        joined = level.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("i")), "left")
-        level = saved(joined.select("tree", "id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("s", F.lit(0.0))).alias("total")), "jumps")
+        climbing = level.filter("up is not null").join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("i")))
+        climbed = climbing.select("tree", "id", F.col("next").alias("up"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("total") + F.col("s")).alias("total"))
+        level = saved(climbed.union(level.filter("up is null")), "jumps")  # rows that are at their root are joined no more
     answered = (jumps[0] if jumps else level).filter("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("i")).distinct()
     leaves = level.filter("up is null").join(answered, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("i")), "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), "id")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm.common import blocks
+from ledgerline.llm.common import BLANK_WORD, _table, blocks, runs, utf8
 from ledgerline.llm.token_counts import model_path
 
 SIZE = 2048
@@ -35,24 +35,45 @@ SEGMENT = 1 << 18
 #: Inside a sentence cuts are possible every STEP tokens, at PENALTY tokens of padding each.
 STEP, PENALTY = 16, 4
 #: Words whose ids a worker remembers before it forgets all of them.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 800_000
+#: Bytes that end a sentence at the end of a word.
+STOP = _table(b".!?")
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _models: dict[str, tuple] = {}
 
 
 class _Words:
-    """What is known of words, by number: their ids in a row, where each begins, how many it has, whether it ends a sentence."""
+    """What is known of words, by number: their ids in a row, where each begins, how many it has."""
 
     def __init__(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.ids, self.first, self.n, self.stops = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-
-    def add(self, words: list[bytes], ids: list[list[int]]) -> None:
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(n) - n])
-        self.n, self.ids = np.concatenate([self.n, n]), np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32)])
-        self.stops = np.concatenate([self.stops, np.fromiter((w[-1] in b".!?" for w in words), bool, len(words))])
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.ids, self.first, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def numbers(self, words: list[bytes], model) -> np.ndarray:
+        """The number of each word; those not known yet are encoded, many words joined by blanks at a time."""
+        new = [w for w in words if w not in self.number]
+        ids, counts = [self.ids], [self.n]
+        for at in range(0, len(new), 5_000):
+            some = new[at : at + 5_000]
+            text = b" ".join(some).decode()
+            found = model.encode(text, add_special_tokens=False)
+            word = np.cumsum(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)  # of each character
+            begin = np.fromiter((x for x, _ in found.offsets), np.int64)
+            counts.append(np.bincount(word[begin], minlength=len(some)))
+            ids.append(np.array(found.ids, np.uint32))
+        if new:
+            self.ids, self.n = np.concatenate(ids), np.concatenate(counts)
+            self.first = np.cumsum(self.n) - self.n
+            self.number.update(zip(new, range(len(self.number), len(self.n)), strict=True))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+
+def listed(words: pa.LargeBinaryArray) -> list[bytes]:
+    """The words as a list, by one split of their bytes set apart by blanks."""
+    bounds = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1]
+    spaced = np.full(bounds[-1] + len(words), 32, np.uint8)
+    spaced[np.arange(bounds[-1]) + np.repeat(np.arange(len(words)), np.diff(bounds))] = np.frombuffer(words.buffers()[2], np.uint8)[: bounds[-1]]
+    return spaced.tobytes().split()
 
 
 def load(path: str) -> tuple:
@@ -63,7 +84,7 @@ def load(path: str) -> tuple:
     return _models[path]
 
 
-def encode(texts: list[str | None], path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def encode(texts: pa.Array, path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Each text's ids with END_ID at the end, and the positions at which its sentences end.
 
     The vocabulary's own splitter drops white space and never joins over it, so a text's ids are those of its
@@ -73,18 +94,18 @@ def encode(texts: list[str | None], path: str) -> Iterator[tuple[np.ndarray, np.
     if len(known.number) > CACHE_ENTRIES:
         known = _Words()
         _models[path] = model, known
-    cut = [(x or "").encode().split() for x in texts]
-    new = list(set().union(*cut).difference(known.number))
-    for at in range(0, len(new), 20_000):
-        some = new[at : at + 20_000]
-        known.add(some, [e.ids for e in model.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)])
-    words = np.append(0, np.cumsum([len(ws) for ws in cut])).astype(np.int64)
-    at = np.fromiter(map(known.number.__getitem__, chain.from_iterable(cut)), np.int64, int(words[-1]))
+    data, offsets = utf8(texts)
+    inside = BLANK_WORD[data]
+    starts, ends = runs(inside, offsets)
+    bounds = [None, pa.py_buffer(np.append(0, np.cumsum(ends - starts)).astype(np.int64)), pa.py_buffer(data[inside])]
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), bounds).dictionary_encode()
+    at = known.numbers(listed(words.dictionary), model)[words.indices.to_numpy()]
     n = known.n[at]
     upto = np.append(0, np.cumsum(n))
     ids = known.ids[np.repeat(known.first[at] - upto[:-1], n) + np.arange(upto[-1])]
-    stops = known.stops[at]
-    for low, high in zip(words[:-1].tolist(), words[1:].tolist(), strict=True):
+    stops = STOP[data[ends - 1]]
+    cuts = np.searchsorted(starts, offsets).tolist()
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
         a, b = upto[low], upto[high]
         yield np.append(ids[a:b], np.uint32(END_ID)), upto[low + 1 : high + 1][stops[low:high]] - a
 
@@ -93,14 +114,13 @@ def cut_points(ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions in a text of ``n`` ids after which a window may end, and what ending there costs."""
     free = np.unique(np.append(ends[(ends > 0) & (ends < n)], n))
     gaps = np.diff(free, prepend=0)
-    wide = np.flatnonzero(gaps > STEP)
-    if not len(wide):
-        return free, np.zeros(len(free), np.int64)
-    inner = np.concatenate([np.arange(free[k] - gaps[k] + STEP, free[k], STEP) for k in wide])
-    at = np.concatenate([free, inner])
-    cost = np.concatenate([np.zeros(len(free), np.int64), np.full(len(inner), PENALTY)])
-    order = np.argsort(at, kind="stable")
-    return at[order], cost[order]
+    count = (gaps - 1) // STEP + 1  # cuts every STEP tokens, and the last one where the sentence ends
+    upto = np.cumsum(count)
+    inner = np.arange(1, upto[-1] + 1) - np.repeat(upto - count, count)
+    at = np.minimum(np.repeat(free - gaps, count) + STEP * inner, np.repeat(free, count))
+    cost = np.full(len(at), PENALTY)
+    cost[upto - 1] = 0
+    return at, cost
 
 
 def windows(points: list[int], costs: list[int], size: int) -> list[int]:
@@ -183,9 +203,9 @@ def pack(docs: DataFrame, *, model: str = "word_bpe_49k.json", size: int = SIZE,
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], key_type), *(pa.array(c, pa.int64()) for c in cols[1:])], names=names)
 
-        for block in blocks(batches, limit=1 << 20):
+        for block in blocks(batches):
             key_type = block.column("id").type
-            for key, (ids, ends) in zip(block.column("id").to_pylist(), encode(block.column("text").to_pylist(), path), strict=True):
+            for key, (ids, ends) in zip(block.column("id").to_pylist(), encode(block.column("text"), path), strict=True):
                 packer.add(key, ids, ends)
                 if packer.held > SEGMENT:
                     yield from out(False)

@@ -1,4 +1,4 @@
-"""A training corpus from raw documents, stage by stage: language ID, SimHash near-dedup, benchmark decontamination, removal of
+"""A training corpus from raw documents, stage by stage: language ID, near-dedup, benchmark decontamination, removal of
 personal data, packing.
 
 Each stage takes all rows that the one before kept. Documents are told apart by id and checksum of the text; rows that
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ledgerline.llm import language_id, pii
 from ledgerline.llm.common import saved
 from ledgerline.llm.decontamination import decontaminate
+from ledgerline.llm.near_copies import near_copies
 from ledgerline.llm.packing import pack
-from ledgerline.llm.simhash import near_duplicates
 
 #: SQL can express neither fingerprints nor tokens; the tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -38,8 +38,9 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of the smallest id (null first)."""
-    found = near_duplicates(docs.select(_key(docs).alias("key"), docs["text"].alias("text")), id_col="key")
+    """One document of each group of near copies (Jaccard similarity of five-word shingles at least 0.8): the one of the
+    smallest id (null first)."""
+    found = near_copies(docs.select(_key(docs).alias("key"), docs["text"].alias("text")), id_col="key")
     first = saved(found.filter(F.col("key") == F.col("component_id")).groupBy("key").agg(F.count("*").alias("n")), "kept-documents")
     rows = _kept(docs, first, "left_semi")
     if first.filter("n > 1").limit(1).count():  # rows that are alike in id and text

@@ -33,8 +33,9 @@ def _kept(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a language that can be learned from the labelled ones."""
-    return language_id.accepted(docs, *language_id.learned(docs))
+    """Documents whose text is in a language that can be learned from the labelled ones; texts of little more
+    than a word or two (16 trigrams) are told by their letters alone."""
+    return language_id.in_a_learned_language(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

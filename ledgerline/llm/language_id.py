@@ -28,6 +28,9 @@ DIMENSIONS, SEED, UNKNOWN = 1024, 20240229, "und"
 SLICE, CELLS = 4096, 1 << 21
 #: Bytes of text that are taken together; a count matrix and its trigrams take some hundred times as much.
 BLOCK = 1 << 20
+#: Standard deviations (1 / sqrt(dimensions)) that the best of some languages' cosines with an unrelated text stays below;
+#: trigrams (_kinds) from which on a cosine is judged.
+NOISE, JUDGED = 4.1, 16
 _letters: list[np.ndarray] = []
 _vectors: dict[tuple[int, int], np.ndarray] = {}
 
@@ -143,18 +146,83 @@ def identify(docs: DataFrame, langs: list[str], vectors: np.ndarray, *, id_col:
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def accepted(docs: DataFrame, langs: list[str], vectors: np.ndarray, *, least: float = 0.05, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a language: those that are not UNKNOWN and have a cosine of at least ``least``."""
+def _kinds(texts: list[str | None]) -> np.ndarray:
+    """The number of equally frequent trigrams that would spread each text as wide as its own (repeated words add none)."""
+    out = np.zeros(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        n = np.unique(trigrams(text), return_counts=True)[1].astype(np.float64)
+        out[k] = round(n.sum() ** 2 / (n @ n)) if len(n) else 0
+    return out
+
+
+def _scale(kinds: np.ndarray) -> np.ndarray:
+    """The power of two at or below each number of trigrams; -1 for none."""
+    return np.frexp(kinds)[1] - 1
+
+
+def alphabet(docs: DataFrame, *, text_col: str = "text") -> np.ndarray:
+    """The letters of ``docs`` in ascending order, without those rarer than one in a million."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0x110000, np.int64)
+        for block in blocks(batches, limit=BLOCK):
+            text = "".join(x or "" for x in block.column("text").to_pylist())
+            total += np.bincount(letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=len(total))
+        some = np.flatnonzero(total[1:]) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["letter", "n"])
+
+    rows = docs.select(docs[text_col].alias("text")).filter("text is not null")
+    got = rows.mapInArrow(run, "letter int, n long").groupBy("letter").agg(F.sum("n").alias("n")).toPandas()
+    return np.sort(got["letter"][got["n"] * 1_000_000 >= got["n"].sum()].to_numpy(np.int64))
+
+
+def limits(docs: DataFrame, langs: list[str], vectors: np.ndarray, *, text_col: str = "text") -> np.ndarray:
+    """The least cosine of a text by the scale of its number of trigrams (_kinds), from labelled ``docs`` the prototypes
+    don't know: half of their lowest hundredth (of 100 rows or more), and NOISE standard deviations of an unrelated
+    text's cosine at least; longer texts need no less than shorter ones.
+    Below JUDGED trigrams a language's own texts lie within the noise, so there is no limit."""
+    dimensions = vectors.shape[1]
+    out = np.full(64, NOISE / np.sqrt(max(dimensions, 1)))
+    out[: int(np.log2(JUDGED))] = -1.0
+    if not langs:
+        return out
+    near = vectors.T.astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, limit=BLOCK):
+            texts = block.column("text").to_pylist()
+            own, kinds = bundles(texts, dimensions), _kinds(texts)
+            length = np.linalg.norm(own, axis=1)
+            some = (kinds >= JUDGED) & (length > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(_scale(kinds[some]).astype(np.int32)), pa.array(((own @ near).max(axis=1)[some] / length[some]).astype(np.float64))], names=["scale", "score"])
+
+    rows = docs.select(docs[text_col].alias("text")).filter("text is not null")
+    low = F.percentile_approx("score", F.lit(0.01), F.lit(10000)).alias("low")
+    for scale, low_score in rows.mapInArrow(run, "scale int, score double").groupBy("scale").agg(low, F.count("*").alias("n")).filter("n >= 100").drop("n").collect():
+        out[scale] = max(out[scale], low_score / 2)
+    return np.maximum.accumulate(out)
+
+
+def accepted(docs: DataFrame, langs: list[str], vectors: np.ndarray, least: np.ndarray, known: np.ndarray, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a language: at least half of its letters are ``known`` ones and its cosine
+    reaches the limit ``least`` of its scale."""
     near, dimensions = vectors.T.astype(np.float32), vectors.shape[1]
     names = [f"c{k}" for k in range(len(docs.columns))]
     text = names[docs.columns.index(text_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        familiar = np.zeros(0x110000, bool)
+        familiar[known] = True
         for block in blocks(batches, text, BLOCK):
-            own = bundles(block.column(text).to_pylist(), dimensions)
+            texts = block.column(text).to_pylist()
+            own, kinds = bundles(texts, dimensions), _kinds(texts)
             length = np.linalg.norm(own, axis=1)
             best = (own @ near).max(axis=1) if langs else np.zeros(len(own))
-            yield block.filter(pa.array((length > 0) & (best >= least * length) & bool(langs)))
+            share = np.zeros(len(own))
+            for k, x in enumerate(texts):
+                codes = letters()[np.frombuffer((x or "").encode("utf-32-le", "surrogatepass"), np.uint32)]
+                share[k] = familiar[codes].sum() / max(np.count_nonzero(codes), 1)
+            yield block.filter(pa.array((kinds > 0) & (share >= 0.5) & (best >= least[_scale(kinds)] * length) & bool(langs)))
 
     rows = docs.select(*(docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)))
     return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
@@ -170,6 +238,14 @@ def learned(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return prototypes(docs.filter(F.coalesce(fold() != 1, F.lit(True))))
 
 
+def in_a_learned_language(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` accepted by prototypes and letters of the labelled rows, with limits from those held out."""
+    labelled = docs.filter("lang is not null")
+    langs, vectors = learned(docs)
+    known = alphabet(labelled.filter(F.coalesce(fold() != 1, F.lit(True))))
+    return accepted(docs, langs, vectors, limits(labelled.filter(fold() == 1), langs, vectors), known)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs, *learned(docs)).select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -46,6 +46,24 @@ def reachable(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df``, computed once and cut off from its lineage: the loops below look at each round's table before the next."""
+    return df.checkpoint(eager=True) if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint(eager=True)
+
+
+def reached(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, hops`` of all vertices that can be reached from ``starts`` (id): rounds go on until one finds nothing new."""
+    edges = _cut(edges.select("src", "dst").distinct())
+    frontier = seen = _cut(starts.select("id", F.lit(0).alias("hops")).distinct())
+    k = 0
+    while frontier.limit(1).count():
+        k += 1
+        new = edges.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+        frontier = _cut(new.join(seen.select("id"), "id", "left_anti").select("id", F.lit(k).alias("hops")))
+        seen = _cut(seen.union(frontier))
+    return seen
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """In, out and total degree of each vertex."""
     both = edges.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("dst", F.lit(0), F.lit(1)))

@@ -252,6 +252,18 @@ def reachability(spark, d):
     return G.reachable(table(spark, d, "part").filter("p_partkey <= 3").select(F.col("p_partkey").alias("id")), _edges(spark, d), 2)
 
 
+@query(f"""WITH RECURSIVE {_EDGES}, starts AS (SELECT p_partkey AS id FROM part WHERE p_retailprice = (SELECT max(p_retailprice) FROM part)),
+f AS (SELECT id FROM starts UNION SELECT dst FROM f JOIN edges ON src = id), b AS (SELECT id FROM starts UNION SELECT src FROM b JOIN edges ON dst = id)
+SELECT coalesce(f.id, b.id) AS id, f.id IS NOT NULL AS forward, b.id IS NOT NULL AS backward FROM f FULL JOIN b ON f.id = b.id""")
+def reachability_exhaustive(spark, d):
+    """What the dearest parts reach and what reaches them, over any number of edges."""
+    part, edges = table(spark, d, "part"), _edges(spark, d)
+    starts = part.join(part.agg(F.max("p_retailprice").alias("p_retailprice")), "p_retailprice").select(F.col("p_partkey").alias("id"))
+    forward = G.reached(starts, edges).select("id", F.lit(True).alias("forward"))
+    backward = G.reached(starts, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select("id", F.lit(True).alias("backward"))
+    return forward.join(backward, "id", "full_outer").select("id", F.coalesce("forward", F.lit(False)).alias("forward"), F.coalesce("backward", F.lit(False)).alias("backward"))
+
+
 @query(f"WITH {_EDGES} SELECT id, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) + sum(i) AS BIGINT) AS degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY id")
 def weighted_degree(spark, d):
     return G.degrees(_edges(spark, d))

@@ -51,6 +51,44 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True) if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint(eager=True)
 
 
+def _shares(edges: DataFrame) -> DataFrame:
+    """``src, dst, share`` of the distinct edges; each row of ``edges`` (src, dst) is one unit of weight, a source's shares sum to one."""
+    weights = edges.groupBy("src", "dst").agg(F.count("*").alias("w"))
+    return _cut(weights.join(weights.groupBy("src").agg(F.sum("w").alias("out")), "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")))
+
+
+def propagation_converged(vertices: DataFrame, edges: DataFrame, *, alpha: float = 0.3, least: float = 1.0, rounds: int = 20) -> DataFrame:
+    """``id, own, value``: value = own + alpha * sum over edges (src, dst) of the source's value by its out-degree, repeated edges
+    counted, until no value changes by ``least`` (at most ``rounds`` times). Ends of edges that are no vertices own nothing."""
+    dealt = _shares(edges)
+    ends = dealt.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(vertices, "id", "left_anti")
+    now = _cut(vertices.select("id", F.col("own").cast("double").alias("own")).union(ends.select("id", F.lit(0.0))).withColumn("value", F.col("own")))
+    for _ in range(rounds):
+        gained = dealt.join(now.select(F.col("id").alias("src"), "value"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("value") * F.col("share")).alias("gain"))
+        value = F.col("own") + alpha * F.coalesce("gain", F.lit(0.0))
+        now = _cut(now.join(gained, "id", "left").select("id", "own", value.alias("value"), F.abs(value - F.col("value")).alias("delta")))
+        if (now.agg(F.max("delta")).first()[0] or 0.0) < least:
+            break
+    return now.select("id", "own", "value")
+
+
+def pagerank_converged(vertices: DataFrame, edges: DataFrame, *, damping: float = 0.85, least: float = 1e-8, rounds: int = 100) -> DataFrame:
+    """``id, rank``: weighted PageRank over the edges between vertices, repeated edges counted, until the ranks' changes sum to
+    less than ``least`` (at most ``rounds`` times), as shares of the largest. Ranks of vertices without targets aren't handed on."""
+    known = vertices.select("id").distinct()
+    inside = edges.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    dealt, n = _shares(inside.select("src", "dst")), known.count()
+    now = _cut(known.withColumn("rank", F.lit(1.0 / max(n, 1))))
+    for _ in range(rounds):
+        gained = dealt.join(now.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("gain"))
+        rank = F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("gain", F.lit(0.0))
+        now = _cut(now.join(gained, "id", "left").select("id", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("delta")))
+        if (now.agg(F.sum("delta")).first()[0] or 0.0) < least:
+            break
+    top = now.agg(F.max("rank")).first()[0]
+    return now.select("id", (F.col("rank") / F.lit(top)).alias("rank"))
+
+
 def reached(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, hops`` of all vertices that can be reached from ``starts`` (id): rounds go on until one finds nothing new."""
     edges = _cut(edges.select("src", "dst").distinct())

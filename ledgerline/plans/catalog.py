@@ -247,6 +247,34 @@ def pagerank_directed(spark, d):
     return G.pagerank(table(spark, d, "part").select(F.col("p_partkey").alias("id")), _edges(spark, d)).select("id", F.round("rank", 9).alias("rank"))
 
 
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    """The edges with repeats: one row for each step of an order."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    steps = table(spark, d, "lineitem").withColumn("dst", F.lead("l_partkey").over(order)).select(F.col("l_partkey").alias("src"), "dst")
+    return steps.filter("dst is not null and src <> dst")
+
+
+_SHARES = f"""{_EDGES.replace("edges AS (SELECT DISTINCT", "links AS (SELECT")}, w AS (SELECT src, dst, count(*) AS n FROM links GROUP BY 1, 2),
+shares AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM w)"""
+
+
+@query(f"""WITH RECURSIVE {_SHARES}, v AS (SELECT 0 AS k, p_partkey AS id, CAST(p_retailprice AS DOUBLE) AS own, CAST(p_retailprice AS DOUBLE) AS value, CAST(1e300 AS DOUBLE) AS delta FROM part
+UNION ALL SELECT k + 1, id, own, fresh, max(abs(fresh - value)) OVER () FROM (SELECT v.k, v.id, v.own, v.value, v.own + 0.3 * coalesce(gain, 0) AS fresh
+  FROM v LEFT JOIN (SELECT dst, sum(x.value * share) AS gain FROM v x JOIN shares ON src = x.id GROUP BY dst) ON dst = v.id WHERE v.delta >= 1 AND v.k < 20))
+SELECT id, round(value, 3) AS value FROM v WHERE k = (SELECT max(k) FROM v)""")
+def propagation_converged(spark, d):
+    vertices = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("own"))
+    return G.propagation_converged(vertices, _links(spark, d)).select("id", F.round("value", 3).alias("value"))
+
+
+@query(f"""WITH RECURSIVE {_SHARES}, v AS (SELECT 0 AS k, p_partkey AS id, CAST(1.0 / count(*) OVER () AS DOUBLE) AS rank, count(*) OVER () AS n, CAST(1e300 AS DOUBLE) AS delta FROM part
+UNION ALL SELECT k + 1, id, fresh, n, sum(abs(fresh - rank)) OVER () FROM (SELECT v.k, v.id, v.rank, v.n, CAST(0.15 AS DOUBLE) / v.n + 0.85 * coalesce(gain, 0) AS fresh
+  FROM v LEFT JOIN (SELECT dst, sum(x.rank * share) AS gain FROM v x JOIN shares ON src = x.id GROUP BY dst) ON dst = v.id WHERE v.delta >= 1e-8 AND v.k < 100))
+SELECT id, round(rank / max(rank) OVER (), 9) AS rank FROM v WHERE k = (SELECT max(k) FROM v)""")
+def pagerank_converged(spark, d):
+    return G.pagerank_converged(table(spark, d, "part").select(F.col("p_partkey").alias("id")), _links(spark, d)).select("id", F.round("rank", 9).alias("rank"))
+
+
 @query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT p_partkey AS id, 0 AS hops FROM part WHERE p_partkey <= 3 UNION SELECT dst, hops + 1 FROM r JOIN edges ON src = id WHERE hops < 2) SELECT id, min(hops) AS hops FROM r GROUP BY id")
 def reachability(spark, d):
     return G.reachable(table(spark, d, "part").filter("p_partkey <= 3").select(F.col("p_partkey").alias("id")), _edges(spark, d), 2)

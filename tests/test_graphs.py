@@ -11,3 +11,41 @@ def test_reached_goes_to_the_end(spark):
     back = G.reached(starts, edges.selectExpr("dst AS src", "src AS dst"))
     assert {r["id"]: r["hops"] for r in back.collect()} == {2: 0, 1: 1, 0: 2}
     assert G.reached(starts.limit(0), edges).count() == 0
+
+
+EDGES = [(1, 2), (1, 2), (1, 3), (2, 3), (3, 1), (4, 3), (4, 4), (5, 9), (6, 1), (7, 6), (8, 7), (2, 8)]
+OWN = {1: 1000.0, 2: 50.0, 3: 0.0, 4: 700.0, 5: 10.0, 6: 0.0, 7: 900.0, 8: 5.0, 10: 3.0}
+
+
+def plain_propagation(own, edges, alpha=0.3):
+    out = {s: sum(a == s for a, _ in edges) for s, _ in edges}
+    ids = set(own) | {x for e in edges for x in e}
+    now, rounds = {v: own.get(v, 0.0) for v in ids}, 0
+    while rounds < 20:
+        new = {v: own.get(v, 0.0) + alpha * sum(now[s] / out[s] for s, t in edges if t == v) for v in ids}
+        most, now, rounds = max(abs(new[v] - now[v]) for v in ids), new, rounds + 1
+        if most < 1:
+            break
+    return now, rounds
+
+
+def plain_pagerank(ids, edges):
+    edges = [e for e in edges if e[0] in ids and e[1] in ids]
+    out = {s: sum(a == s for a, _ in edges) for s, _ in edges}
+    now, rounds = dict.fromkeys(ids, 1 / len(ids)), 0
+    while rounds < 100:
+        new = {v: 0.15 / len(ids) + 0.85 * sum(now[s] / out[s] for s, t in edges if t == v) for v in ids}
+        change, now, rounds = sum(abs(new[v] - now[v]) for v in ids), new, rounds + 1
+        if change < 1e-8:
+            break
+    return {v: r / max(now.values()) for v, r in now.items()}, rounds
+
+
+def test_propagation_and_pagerank_run_until_they_settle(spark):
+    vertices, edges = spark.createDataFrame(list(OWN.items()), "id long, own double"), spark.createDataFrame(EDGES, "src long, dst long")
+    want, rounds = plain_propagation(OWN, EDGES)
+    got = {r["id"]: r["value"] for r in G.propagation_converged(vertices, edges).collect()}
+    assert rounds > 3 and got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want)
+    want, rounds = plain_pagerank(set(OWN), EDGES)
+    got = {r["id"]: r["rank"] for r in G.pagerank_converged(vertices, edges).collect()}
+    assert rounds > 3 and got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-12 for v in want)

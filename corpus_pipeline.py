@@ -1,37 +1,25 @@
 """A training corpus from raw documents, stage by stage: language ID, near-dedup, benchmark decontamination, removal of
 personal data, packing.
 
-Each stage takes all rows that the one before kept. Documents are told apart by id and checksum of the text; rows that
-are alike in both are one document to near-dedup, which keeps one of them. Null texts have no language and go first.
+Each stage takes all rows that the one before kept. Stages that judge rows apart from their texts number them first and
+take out those that go by number, so ids may be null or repeat, and texts aren't shuffled. Null texts have no language and
+go first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import language_id, pii
-from ledgerline.llm.common import saved
+from ledgerline.llm import language_id, near_copies, pii
+from ledgerline.llm.common import numbered, picked, saved
 from ledgerline.llm.decontamination import decontaminate
-from ledgerline.llm.near_copies import near_copies
 from ledgerline.llm.packing import pack
 
 #: SQL can express neither fingerprints nor tokens; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def _key(docs: DataFrame) -> Column:
-    """The document's id and the checksum of its text, one value."""
-    return F.struct(docs["doc_id"].alias("doc_id"), F.crc32(F.coalesce(docs["text"], F.lit("")).cast("binary")).alias("tag"))
-
-
-def _kept(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """``docs`` whose key is (left_semi) or is not (left_anti) among ``found.key``."""
-    keys = found.select(F.col("key.doc_id").alias("own_id"), F.col("key.tag").alias("own_tag")).distinct()
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), _key(docs).alias("key"))
-    return rows.join(keys, F.col("key.doc_id").eqNullSafe(F.col("own_id")) & (F.col("key.tag") == F.col("own_tag")), how)
-
-
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language that can be learned from the labelled ones; texts of little more
     than a word or two (16 trigrams) are told by their letters alone."""
@@ -41,18 +29,14 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (Jaccard similarity of five-word shingles at least 0.8): the one of the
     smallest id (null first)."""
-    found = near_copies(docs.select(_key(docs).alias("key"), docs["text"].alias("text")), id_col="key")
-    first = saved(found.filter(F.col("key") == F.col("component_id")).groupBy("key").agg(F.count("*").alias("n")), "kept-documents")
-    rows = _kept(docs, first, "left_semi")
-    if first.filter("n > 1").limit(1).count():  # rows that are alike in id and text
-        rows = rows.dropDuplicates(["key"])
-    return rows.select("row.*")
+    return near_copies.one_of_each_group(docs)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
-    found = decontaminate(docs.select(_key(docs).alias("key"), docs["text"].alias("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")
-    return _kept(docs, found.filter("contaminated"), "left_anti").select("row.*")
+    table = numbered(docs, "documents")
+    found = decontaminate(table.select("row", F.col("doc.text").alias("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row")
+    return picked(table, found.filter("contaminated"), "left_anti").select("doc.*")
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

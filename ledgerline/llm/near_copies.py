@@ -1,7 +1,9 @@
 """Near copies: groups of texts whose sets of word shingles have a Jaccard similarity of at least a limit.
 
-Candidates share a bucket: BANDS times ROWS minima of hashed shingles, one bucket a band. A pair at similarity s shares none
-with probability (1 - s**ROWS)**BANDS, below 1 in 10,000 at 0.8. Every link is decided by the exact Jaccard similarity of both
+Candidates come from two places. SimHash fingerprints (of word pairs, which move less than longer shingles) are joined by
+the binary trie of ``simhash``; but even at a similarity of 0.8 most pairs differ in more bits than a trie walk can allow
+(README has the figures), so what it misses comes from buckets: BANDS times ROWS minima of hashed shingles, one bucket a
+band. A pair at similarity s shares none with probability (1 - s**ROWS)**BANDS, below 1 in 10,000 at 0.8. Every link is decided by the exact Jaccard similarity of both
 sets. Each member of a bucket is first compared with the bucket's head; then members of a bucket that are still in different
 groups are compared with each other, so a large group of copies costs no square of its size and no link of a bucket is left out.
 
@@ -18,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import _MULTIPLIERS, BLANK_WORD, LOWER, blocks, gram_hash, mix, owner, prefix_hash, runs, saved, slice_hash, utf8
-from ledgerline.llm.simhash import roots
+from ledgerline.llm.common import _MULTIPLIERS, BLANK_WORD, LOWER, blocks, gram_hash, mix, numbered, owner, picked, prefix_hash, runs, saved, slice_hash, utf8
+from ledgerline.llm.simhash import fingerprints, links, roots
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
+#: Words of a shingle of the fingerprints, and the bits in which linked ones may differ.
+FP_SHINGLE, FP_BUDGET = 2, 4
 #: Tasks that the pairs of one text are dealt over.
 SALTS = 64
 _rng = np.random.default_rng(20240229)
@@ -51,8 +55,8 @@ def shingles(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.nd
     return h[first], at[first]
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """``id, text, node, buckets`` of each row; equal sets of shingles have one node (0: no words)."""
+def signatures(table: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
+    """``row, id, node, buckets`` of each row of ``table`` (row, doc); equal sets of shingles have one node (0: no words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -72,22 +76,23 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHING
             width[some + 1] = BANDS
             values = buckets[some].reshape(-1).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(width, dtype=np.int32)), pa.array(values))
-            yield pa.RecordBatch.from_arrays([block.column("id"), block.column("text"), pa.array(node.view(np.int64)), lists], names=["id", "text", "node", "buckets"])
+            yield pa.RecordBatch.from_arrays([block.column("row"), block.column("id"), pa.array(node.view(np.int64)), lists], names=["row", "id", "node", "buckets"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, text string, node long, buckets array<long>")
+    doc = table.schema["doc"].dataType
+    rows = table.select("row", F.col("doc")[id_col].alias("id"), F.col("doc")[text_col].alias("text"))
+    return rows.mapInArrow(run, f"row long, id {doc[id_col].dataType.simpleString()}, node long, buckets array<long>")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """``node, grams``: the set of each node's text."""
+    """``row, grams``: the set of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             h, at = shingles(block.column("text"), shingle)
             ends = np.append(0, np.cumsum(np.bincount(at, minlength=block.num_rows))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([block.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["node", "grams"])
+            yield pa.RecordBatch.from_arrays([block.column("row"), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["row", "grams"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, grams array<long>")
+    return texts.mapInArrow(run, "row long, grams array<long>")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -99,28 +104,61 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(shared * (1 + similarity) >= similarity * (F.size("ga") + F.size("gb")) - 1e-9).select("a", "b")
 
 
-def near_copies(docs: DataFrame, *, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, component_id`` per row of ``docs``: the smallest id of the row's group."""
-    marked = saved(signatures(docs, id_col, text_col, shingle), "signatures")
-    own = saved(marked.groupBy("node").agg(F.min("id").alias("first"), F.first("buckets").alias("buckets")), "nodes")
-    posts = own.select("node", F.explode("buckets").alias("bucket"))
-    heads = posts.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select("bucket", "head")
+def trie_pairs(texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of ``reps`` whose SimHash fingerprints the trie join links: the smallest row of each fingerprint with
+    that of each linked one, and with the other rows of its own."""
+    fps = saved(fingerprints(texts, "row", "text", FP_SHINGLE).join(reps, F.col("id") == F.col("rep"), "left_semi"), "fingerprints")
+    own = saved(fps.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
+    linked = links(own.select("fp"), FP_BUDGET)
+    across = linked.join(own.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(own.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    within = fps.join(own.filter("n > 1").select("fp", "first"), "fp").filter("id <> first")
+    return across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(within.select(F.col("first").alias("a"), F.col("id").alias("b")))
+
+
+def groups(table: DataFrame, *, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """For ``table`` (row, doc; ``numbered``): the saved signatures, and ``node, root, first`` of every distinct set: first is
+    (id, row) of the smallest id and row that have it, root the smallest row of its group. Texts are never shuffled, only
+    the sets of those that have candidates."""
+    marked = saved(signatures(table, id_col, text_col, shingle), "signatures")
+    own = marked.groupBy("node").agg(F.min("row").alias("rep"), F.min(F.struct(F.col("id").isNotNull().alias("named"), "id", "row")).alias("first"), F.first("buckets").alias("buckets"))
+    own = saved(own, "nodes")
+    posts = own.select("rep", F.explode("buckets").alias("bucket"))
+    heads = posts.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter("n > 1").select("bucket", "head")
     posts = saved(posts.join(heads, "bucket"), "buckets")
-    pairs = saved(posts.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = saved(_sets(marked.select("node", "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), shingle), "sets")
+    close = trie_pairs(table.select("row", F.col("doc")[text_col].alias("text")), own.select("rep"))
+    pairs = saved(posts.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).union(close).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    texts = picked(table, wanted, "left_semi").select("row", F.col("doc")[text_col].alias("text"))
+    sets = saved(_sets(texts, shingle).withColumnRenamed("row", "node"), "sets")
     near = saved(_alike(pairs, sets, similarity), "links")
     tree = saved(roots(near), "groups")
     # what is left: pairs of a bucket whose groups differ, laid out by group so that none within a group is made
-    placed = saved(posts.join(tree, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "placed")
-    groups = placed.select("bucket", "root").distinct()
-    differ = groups.select("bucket", F.col("root").alias("ra")).join(groups.select("bucket", F.col("root").alias("rb")), "bucket").filter("ra < rb")
-    across = differ.join(placed.select("bucket", F.col("root").alias("ra"), F.col("node").alias("x")), ["bucket", "ra"])
-    across = across.join(placed.select("bucket", F.col("root").alias("rb"), F.col("node").alias("y")), ["bucket", "rb"])
+    placed = saved(posts.join(tree, posts["rep"] == tree["node"], "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root")), "placed")
+    parts = placed.select("bucket", "root").distinct()
+    differ = parts.select("bucket", F.col("root").alias("ra")).join(parts.select("bucket", F.col("root").alias("rb")), "bucket").filter("ra < rb")
+    across = differ.join(placed.select("bucket", F.col("root").alias("ra"), F.col("rep").alias("x")), ["bucket", "ra"])
+    across = across.join(placed.select("bucket", F.col("root").alias("rb"), F.col("rep").alias("y")), ["bucket", "rb"])
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = saved(_alike(across.join(pairs, ["a", "b"], "left_anti"), sets, similarity), "links")
     if more.limit(1).count():
         tree = saved(roots(near.union(more)), "groups")
-    grouped = own.join(tree, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
-    smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
+    tree = tree.withColumnRenamed("node", "rep")
+    return marked, saved(own.join(tree, "rep", "left").select("node", F.coalesce("root", "rep").alias("root"), "first"), "grouped")
+
+
+def near_copies(docs: DataFrame, *, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, component_id`` per row of ``docs``: the smallest id of the row's group (null first)."""
+    marked, grouped = groups(numbered(docs.select(id_col, text_col), "texts"), similarity=similarity, shingle=shingle, id_col=id_col, text_col=text_col)
+    smallest = grouped.groupBy("root").agg(F.min("first.id").alias("component_id"))
     return marked.select("id", "node").join(grouped.select("node", "root"), "node").join(smallest, "root").select(F.col("id").alias(id_col), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, **options: object) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of the smallest id (null first), then the first row.
+
+    The rows that go are those whose number isn't their group's chosen one; they are taken out of the numbered table by
+    ``picked``, so the texts stay where they are."""
+    table = numbered(docs, "documents")
+    marked, grouped = groups(table, **options)
+    chosen = grouped.groupBy("root").agg(F.min("first").alias("first")).select("first.row")
+    return picked(table, marked.select("row").join(chosen, "row", "left_anti"), "left_anti").select("doc.*")

@@ -249,9 +249,10 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with all spans of its texts replaced; columns and rows stay."""
-    weights = train(marks(docs, text_col=text_col))
-    found = marks(docs, text_col=text_col).select("doc", F.array_sort(F.concat("base", added(F.col("cands"), weights))).alias("spans"))
+    """``docs`` with all spans of its texts replaced; columns and rows stay. Spans and candidates are found once and saved
+    with their rows, so the classifier reads only the candidates and no text is shuffled."""
+    table = saved(marks(docs, text_col=text_col), "pii-marks")
+    found = table.select("doc", F.array_sort(F.concat("base", added(F.col("cands"), train(table)))).alias("spans"))
     return found.select(*(redacted(F.col("doc")[c], F.col("spans")).alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns))
 
 

@@ -1,11 +1,12 @@
 """Each stage of the pipeline against brute force, on the result of the stage before."""
 
 import corpus_pipeline as C
+from pyspark.sql import functions as F
 from tests.llm.test_decontamination import plain as plain_windows
+from tests.llm.test_near_copies import plain_groups, plain_sets
 from tests.llm.test_pii import plain as plain_pii
-from tests.llm.test_simhash import plain_fingerprint, plain_groups
 
-from ledgerline.llm import language_id
+from ledgerline.llm import common, language_id
 from ledgerline.llm.common import saved
 
 
@@ -22,7 +23,7 @@ def test_stages(spark, sf_dir):
     seen = {n: sorted(((r["doc_id"] or 0, r["text"] or "") for r in rows[n])) for n in list(rows)[:-1]}
     assert seen["language_id"] == [r for r in seen["documents"] if r[0] not in (-5, -4)]
     texts = [t for _, t in seen["language_id"]]
-    group = plain_groups([plain_fingerprint(t) for t in texts], 2)
+    group = plain_groups(plain_sets(texts))
     kept = set(seen["near_dedup"])
     assert len(seen["near_dedup"]) == len(kept) == len(set(group))
     assert {g for (k, t), g in zip(seen["language_id"], group, strict=True) if (k, t) in kept} == set(group)
@@ -42,3 +43,26 @@ def test_a_corpus_without_labels_or_rows(spark, sf_dir):
     for _, stage in C.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
     assert language_id.learned(docs)[0] == []
+
+
+def test_null_ids_and_clashing_columns_lose_no_text(spark, sf_dir):
+    docs = spark.range(20000).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", *(F.xxhash64(F.col("id"), F.lit(k)).cast("string") for k in range(6))).alias("text"))
+    docs = docs.select("*", *(F.lit(1).alias(c) for c in ("row", "doc", "id", "node", "key", "spans", "base")))
+    docs = docs.union(docs.limit(5))
+    kept = saved(C.one_of_each_group(spark, docs, sf_dir), "stage")
+    assert kept.columns == docs.columns and kept.count() == kept.select("text").distinct().count() == 20000
+    clean = saved(C.clean_of_benchmark(spark, kept, sf_dir), "stage")
+    assert clean.columns == docs.columns and clean.count() == 20000
+    assert C.without_personal_data(spark, clean.limit(50), sf_dir).columns == docs.columns
+
+
+def test_rows_are_picked_in_stretches(spark):
+    table = common.numbered(spark.range(5000).repartition(7), "numbers")
+    numbers = [r["row"] for r in table.select("row").collect()]
+    chosen = numbers[::3] + numbers[:900]
+    rows = spark.createDataFrame([(n,) for n in set(chosen)], "row long")
+    for limit in (500, 10**6):
+        semi = common.picked(table, rows, "left_semi", limit)
+        assert sorted(r["row"] for r in semi.collect()) == sorted(set(chosen))
+        anti = common.picked(table, rows, "left_anti", limit)
+        assert sorted(r["row"] for r in anti.collect()) == sorted(set(numbers) - set(chosen))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,25 +9,7 @@ from ledgerline.functions import text as T
 from ledgerline.operators import ballots as B
 from ledgerline.operators import graphs as G
 from ledgerline.operators import intervals as I
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str) -> Callable:
-    """Register a query under its function's name, with its SQL."""
-
-    def register(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from ledgerline.plans.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 def _ballots(spark: SparkSession, d: str) -> DataFrame:
     one = B.one_ballot(table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("vote"), F.col("l_suppkey").alias("person"), F.col("l_returnflag").alias("response")), ["vote", "person"], "response")
@@ -347,3 +327,6 @@ def near_pattern(spark, d):
     answer = F.first(F.when(F.col("role") == "assistant", F.struct("turn", "text")), ignorenulls=True).over(following)
     rows = table(spark, d, "conversations").withColumn("answer", answer).filter((F.col("role") == "user") & F.col("answer").isNotNull())
     return rows.select("conv_id", "turn", (F.col("answer.turn") - F.col("turn")).alias("gap"), F.length("answer.text").cast("long").alias("n_chars"))
+
+
+from ledgerline.plans import relational  # noqa: E402, F401  each module registers its queries

@@ -9,7 +9,7 @@ from ledgerline.functions import text as T
 from ledgerline.operators import ballots as B
 from ledgerline.operators import graphs as G
 from ledgerline.operators import intervals as I
-from ledgerline.plans.registry import ORACLES, QUERIES, query, table  # noqa: F401
+from ledgerline.plans.registry import ORACLES, QUERIES, cents, query, table  # noqa: F401
 
 def _ballots(spark: SparkSession, d: str) -> DataFrame:
     one = B.one_ballot(table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("vote"), F.col("l_suppkey").alias("person"), F.col("l_returnflag").alias("response")), ["vote", "person"], "response")
@@ -144,12 +144,15 @@ def interval_merge(spark, d):
     return I.merged(rows.join(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey", "left_semi"), "s_suppkey", "a", "b")
 
 
-@query("""WITH s AS (SELECT c_nationkey, count(*) AS n, sum(o_totalprice) AS total FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1)
-SELECT c_nationkey, rank() OVER (ORDER BY n DESC) AS by_count, rank() OVER (ORDER BY total DESC) AS by_total, rank() OVER (ORDER BY n DESC) - rank() OVER (ORDER BY total DESC) AS divergence FROM s""")
+@query("""WITH s AS (SELECT c_custkey AS id, count(o_orderkey) AS n, coalesce(CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT), 0) AS total FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1),
+r AS (SELECT id, row_number() OVER (ORDER BY n DESC, id) AS by_count, row_number() OVER (ORDER BY total DESC, id) AS by_total FROM s)
+SELECT id, by_count, by_total, round(log2(by_count / by_total), 6) AS divergence FROM r""")
 def rank_divergence(spark, d):
-    s = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
-    by = lambda c: F.rank().over(Window.orderBy(F.desc(c))).cast("long")  # noqa: E731  one row a nation
-    return s.select("c_nationkey", by("n").alias("by_count"), by("total").alias("by_total")).withColumn("divergence", F.col("by_count") - F.col("by_total"))
+    """Places by two metrics (ties by id) and the logarithm of their ratio; places come from ranges, not from one task."""
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"), F.sum(cents("o_totalprice")).alias("total"))
+    s = table(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(orders, "id", "left").na.fill(0, ["n", "total"])
+    both = G.ranks(G.ranks(s, F.desc("n"), "id", name="by_count"), F.desc("total"), "id", name="by_total")
+    return both.select("id", "by_count", "by_total", F.round(F.log2(F.col("by_count") / F.col("by_total")), 6).alias("divergence"))
 
 
 @query("SELECT c_nationkey, c_custkey, c_acctbal, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r <= 3")
@@ -206,36 +209,37 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 _EDGES = """edges AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst)"""
 
 
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    """The edges with repeats: one row for each step of an order."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    steps = table(spark, d, "lineitem").withColumn("dst", F.lead("l_partkey").over(order)).select(F.col("l_partkey").alias("src"), "dst")
+    return steps.filter("dst is not null and src <> dst")
+
+
+_SHARES = f"""{_EDGES.replace("edges AS (SELECT DISTINCT", "links AS (SELECT")}, w AS (SELECT src, dst, count(*) AS n FROM links GROUP BY 1, 2),
+shares AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM w)"""
+
+
 def _rounds(n: int) -> str:
-    steps = [f"v{k} AS (SELECT id, own, own + 0.3 * coalesce((SELECT sum(x.value / deg) FROM edges JOIN indeg USING (dst) JOIN v{k - 1} x ON x.id = dst WHERE src = v.id), 0) AS value FROM v{k - 1} v)" for k in range(1, n + 1)]
+    steps = [f"v{k} AS (SELECT id, own, own + 0.3 * coalesce(gain, 0) AS value FROM v0 LEFT JOIN (SELECT dst, sum(x.value * share) AS gain FROM v{k - 1} x JOIN shares ON src = x.id GROUP BY dst) ON dst = id)" for k in range(1, n + 1)]
     return ", ".join(steps)
 
 
-@query(f"""WITH {_EDGES}, indeg AS (SELECT dst, count(*) AS deg FROM edges GROUP BY 1), v0 AS (SELECT p_partkey AS id, p_retailprice AS own, p_retailprice AS value FROM part), {_rounds(3)}
+@query(f"""WITH {_SHARES}, v0 AS (SELECT p_partkey AS id, p_retailprice AS own, p_retailprice AS value FROM part), {_rounds(3)}
 SELECT id, round(value, 3) AS value FROM v3""")
 def propagation_k(spark, d):
+    """Three rounds of damped propagation from the citing to the cited, shared by the source's references, repeats counted."""
     vertices = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("own"))
-    return G.propagation(vertices, _edges(spark, d)).select("id", F.round("value", 3).alias("value"))
+    return G.propagation(vertices, _links(spark, d)).select("id", F.round("value", 3).alias("value"))
 
 
-_PR = ", ".join(f"r{k} AS (SELECT v.id, 0.15 / n + 0.85 * coalesce(g, 0) AS rank FROM r0 v CROSS JOIN size LEFT JOIN (SELECT dst, sum(rank / deg) AS g FROM edges JOIN outdeg USING (src) JOIN r{k - 1} ON id = src GROUP BY dst) ON dst = v.id)" for k in (1, 2, 3))
+_PR = ", ".join(f"r{k} AS (SELECT v.id, 0.15 / n + 0.85 * coalesce(g, 0) AS rank FROM r0 v CROSS JOIN size LEFT JOIN (SELECT dst, sum(rank * share) AS g FROM shares JOIN r{k - 1} ON id = src GROUP BY dst) ON dst = v.id)" for k in (1, 2, 3))
 
 
-@query(f"""WITH {_EDGES}, outdeg AS (SELECT src, count(*) AS deg FROM edges GROUP BY 1), size AS (SELECT count(*) AS n FROM part), r0 AS (SELECT p_partkey AS id, 1.0 / n AS rank FROM part CROSS JOIN size), {_PR}
+@query(f"""WITH {_SHARES}, size AS (SELECT count(*) AS n FROM part), r0 AS (SELECT p_partkey AS id, 1.0 / n AS rank FROM part CROSS JOIN size), {_PR}
 SELECT id, round(rank, 9) AS rank FROM r3""")
 def pagerank_directed(spark, d):
-    return G.pagerank(table(spark, d, "part").select(F.col("p_partkey").alias("id")), _edges(spark, d)).select("id", F.round("rank", 9).alias("rank"))
-
-
-def _links(spark: SparkSession, d: str) -> DataFrame:
-    """The edges with repeats: one row for each step of an order."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    steps = table(spark, d, "lineitem").withColumn("dst", F.lead("l_partkey").over(order)).select(F.col("l_partkey").alias("src"), "dst")
-    return steps.filter("dst is not null and src <> dst")
-
-
-_SHARES = f"""{_EDGES.replace("edges AS (SELECT DISTINCT", "links AS (SELECT")}, w AS (SELECT src, dst, count(*) AS n FROM links GROUP BY 1, 2),
-shares AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM w)"""
+    return G.pagerank(table(spark, d, "part").select(F.col("p_partkey").alias("id")), _links(spark, d)).select("id", F.round("rank", 9).alias("rank"))
 
 
 @query(f"""WITH RECURSIVE {_SHARES}, v AS (SELECT 0 AS k, p_partkey AS id, CAST(p_retailprice AS DOUBLE) AS own, CAST(p_retailprice AS DOUBLE) AS value, CAST(1e300 AS DOUBLE) AS delta FROM part
@@ -255,9 +259,12 @@ def pagerank_converged(spark, d):
     return G.pagerank_converged(table(spark, d, "part").select(F.col("p_partkey").alias("id")), _links(spark, d)).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT p_partkey AS id, 0 AS hops FROM part WHERE p_partkey <= 3 UNION SELECT dst, hops + 1 FROM r JOIN edges ON src = id WHERE hops < 2) SELECT id, min(hops) AS hops FROM r GROUP BY id")
+@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT p_partkey AS id, 0 AS hops FROM part WHERE p_retailprice = (SELECT max(p_retailprice) FROM part) UNION SELECT dst, hops + 1 FROM r JOIN edges ON src = id WHERE hops < 2) SELECT id, min(hops) AS hops FROM r GROUP BY id")
 def reachability(spark, d):
-    return G.reachable(table(spark, d, "part").filter("p_partkey <= 3").select(F.col("p_partkey").alias("id")), _edges(spark, d), 2)
+    """What lies within two references of the dearest parts."""
+    part = table(spark, d, "part")
+    starts = part.join(part.agg(F.max("p_retailprice").alias("p_retailprice")), "p_retailprice").select(F.col("p_partkey").alias("id"))
+    return G.reachable(starts, _edges(spark, d), 2)
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, starts AS (SELECT p_partkey AS id FROM part WHERE p_retailprice = (SELECT max(p_retailprice) FROM part)),
@@ -329,4 +336,4 @@ def near_pattern(spark, d):
     return rows.select("conv_id", "turn", (F.col("answer.turn") - F.col("turn")).alias("gap"), F.length("answer.text").cast("long").alias("n_chars"))
 
 
-from ledgerline.plans import relational  # noqa: E402, F401  each module registers its queries
+from ledgerline.plans import graph, relational  # noqa: E402, F401  each module registers its queries

@@ -13,11 +13,11 @@ def rows(df: pd.DataFrame) -> list:
     df = df[sorted(df.columns)]
     out = []
     for r in df.itertuples(index=False):
-        out.append(tuple(None if pd.isna(v) else str(pd.Timestamp(v)) if hasattr(v, "year") else round(float(v), 6) if isinstance(v, (int, float)) or hasattr(v, "dtype") else v for v in r))
+        out.append(tuple(None if pd.isna(v) else str(pd.Timestamp(v)) if hasattr(v, "year") else round(float(v), 9) if isinstance(v, (int, float)) or hasattr(v, "dtype") else v for v in r))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query(spark, sf_dir, name):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.llm import suffix_dedup as S
 
@@ -58,6 +59,35 @@ def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
     assert result(S.dedup(df)) == plain(docs, 100)
 
 
-def test_documents(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").filter("length(text) < 4000")
-    assert result(S.dedup(docs)) == plain([tuple(r) for r in docs.collect()], 100)
+def test_query_on_all_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    assert result(S.op10_suffix_dedup(spark, sf_dir)) == plain([tuple(r) for r in docs.collect()], 100)
+
+
+@pytest.mark.parametrize("chunk", [3, 40])
+def test_grams_of_many_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(S, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    word = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    core = word(70)
+    docs = [(k, word(rng.randrange(90)) + rng.choice(["x", "yy", "z"]) * 20 + core + rng.choice(["p", "qq"]) * 30 + word(rng.randrange(60))) for k in range(90)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert result(S.dedup(df, batches=3)) == plain(docs, 100)
+
+
+def test_levels_merge_geometrically(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(k, "".join(rng.choice("abcdefghij ") for _ in range(300))) for k in range(40)], "doc long, text string").withColumn("tag", F.lit(0).cast("long"))
+    family, sizes = S.Family(8), []
+    for k in range(0, 40, 5):
+        family.add(docs.filter(f"doc >= {k} and doc < {k + 5}"))
+        sizes.append([n for n, _ in family.levels])
+    assert sizes == [[1], [2], [2, 1], [4], [4, 1], [4, 2], [4, 2, 1], [8]] and family.merges == 7
+    heads = [bytes(r["head"]) for r in family.levels[0][1].sortWithinPartitions("head").filter("shard >= 0").collect()]
+    assert len(heads) == family.levels[0][1].select("doc", "at").distinct().count()
+    family.dropped(spark)
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(TypeError):
+        S.dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"))

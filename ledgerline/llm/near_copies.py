@@ -1,11 +1,11 @@
 """Near copies: groups of texts whose sets of word shingles have a Jaccard similarity of at least a limit.
 
-Candidates come from two places. SimHash fingerprints (of word pairs, which move less than longer shingles) are joined by
-the binary trie of ``simhash``; but even at a similarity of 0.8 most pairs differ in more bits than a trie walk can allow
+Candidates come from two places. SimHash fingerprints are joined by the binary trie of ``simhash``; but at a similarity of 0.8 most pairs differ in more bits than a trie walk can allow
 (README has the figures), so what it misses comes from buckets: BANDS times ROWS minima of hashed shingles, one bucket a
 band. A pair at similarity s shares none with probability (1 - s**ROWS)**BANDS, below 1 in 10,000 at 0.8. Every link is decided by the exact Jaccard similarity of both
-sets. Each member of a bucket is first compared with the bucket's head; then members of a bucket that are still in different
-groups are compared with each other, so a large group of copies costs no square of its size and no link of a bucket is left out.
+sets. Each text is first compared with the smallest head of its buckets, so a text makes one pair; then with the heads of those
+buckets whose group it hasn't joined; then members of a bucket that are still in different groups with each other. So a
+large group of copies costs no square of its size and no link of a bucket is left out.
 
 Shingles are of lower-case (ASCII) words between white space; a text of fewer words is one shingle. Null texts and texts
 without words are alike. Texts of equal sets are one node, however many documents have them.
@@ -25,7 +25,7 @@ from ledgerline.llm.simhash import fingerprints, links, roots
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 #: Words of a shingle of the fingerprints, and the bits in which linked ones may differ.
-FP_SHINGLE, FP_BUDGET = 2, 4
+FP_SHINGLE, FP_BUDGET = 5, 2
 #: Tasks that the pairs of one text are dealt over.
 SALTS = 64
 _rng = np.random.default_rng(20240229)
@@ -115,6 +115,21 @@ def trie_pairs(texts: DataFrame, reps: DataFrame) -> DataFrame:
     return across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(within.select(F.col("first").alias("a"), F.col("id").alias("b")))
 
 
+def _with_heads(placed: DataFrame) -> DataFrame:
+    """Members of a bucket that are in another group than its head, with the head."""
+    first = placed.filter("rep = head").select("bucket", F.col("root").alias("theirs"))
+    return placed.join(first, "bucket").filter("root <> theirs").select(F.col("head").alias("a"), F.col("rep").alias("b"))
+
+
+def _across(placed: DataFrame) -> DataFrame:
+    """Pairs of a bucket whose groups differ, laid out by group so that none within a group is made."""
+    parts = placed.select("bucket", "root").distinct()
+    differ = parts.select("bucket", F.col("root").alias("ra")).join(parts.select("bucket", F.col("root").alias("rb")), "bucket").filter("ra < rb")
+    both = differ.join(placed.select("bucket", F.col("root").alias("ra"), F.col("rep").alias("x")), ["bucket", "ra"])
+    both = both.join(placed.select("bucket", F.col("root").alias("rb"), F.col("rep").alias("y")), ["bucket", "rb"])
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def groups(table: DataFrame, *, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """For ``table`` (row, doc; ``numbered``): the saved signatures, and ``node, root, first`` of every distinct set: first is
     (id, row) of the smallest id and row that have it, root the smallest row of its group. Texts are never shuffled, only
@@ -126,22 +141,23 @@ def groups(table: DataFrame, *, similarity: float = SIMILARITY, shingle: int = S
     heads = posts.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter("n > 1").select("bucket", "head")
     posts = saved(posts.join(heads, "bucket"), "buckets")
     close = trie_pairs(table.select("row", F.col("doc")[text_col].alias("text")), own.select("rep"))
-    pairs = saved(posts.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).union(close).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    lowest = posts.groupBy(F.col("rep").alias("b")).agg(F.min("head").alias("a")).filter("a <> b").select("a", "b")
+    pairs = saved(lowest.union(close).distinct(), "pairs")
+    wanted = posts.select(F.col("rep").alias("row")).union(pairs.select(F.explode(F.array("a", "b")))).distinct()
     texts = picked(table, wanted, "left_semi").select("row", F.col("doc")[text_col].alias("text"))
     sets = saved(_sets(texts, shingle).withColumnRenamed("row", "node"), "sets")
     near = saved(_alike(pairs, sets, similarity), "links")
     tree = saved(roots(near), "groups")
-    # what is left: pairs of a bucket whose groups differ, laid out by group so that none within a group is made
-    placed = saved(posts.join(tree, posts["rep"] == tree["node"], "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root")), "placed")
-    parts = placed.select("bucket", "root").distinct()
-    differ = parts.select("bucket", F.col("root").alias("ra")).join(parts.select("bucket", F.col("root").alias("rb")), "bucket").filter("ra < rb")
-    across = differ.join(placed.select("bucket", F.col("root").alias("ra"), F.col("rep").alias("x")), ["bucket", "ra"])
-    across = across.join(placed.select("bucket", F.col("root").alias("rb"), F.col("rep").alias("y")), ["bucket", "rb"])
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = saved(_alike(across.join(pairs, ["a", "b"], "left_anti"), sets, similarity), "links")
-    if more.limit(1).count():
-        tree = saved(roots(near.union(more)), "groups")
+    for step in (_with_heads, _across):  # only what is still in different groups is compared
+        placed = posts.join(tree, posts["rep"] == tree["node"], "left").select("bucket", "head", "rep", F.coalesce("root", "rep").alias("root"))
+        mixed = placed.select("bucket", "root").distinct().groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+        placed = saved(placed.join(mixed, "bucket", "left_semi"), "placed")
+        fresh = saved(step(placed).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = saved(_alike(fresh, sets, similarity), "links")
+        pairs = pairs.union(fresh)
+        if more.limit(1).count():
+            near = near.union(more)
+            tree = saved(roots(near), "groups")
     tree = tree.withColumnRenamed("node", "rep")
     return marked, saved(own.join(tree, "rep", "left").select("node", F.coalesce("root", "rep").alias("root"), "first"), "grouped")
 

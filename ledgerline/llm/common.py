@@ -31,14 +31,15 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
 
 
 def picked(table: DataFrame, rows: DataFrame, how: str, limit: int = SENT) -> DataFrame:
-    """The rows of ``table`` (saved, with ``row``) that are (left_semi) or aren't (left_anti) among the distinct ``rows``.
+    """The rows of ``table`` (saved, with ``row``) that are (left_semi) or aren't (left_anti) among ``rows``, or (inner) joined
+    to the columns of these.
 
     ``table`` is never shuffled: its number line is cut into stretches that hold at most ``limit`` of ``rows``, each stretch
-    reads its own part of the table (row groups are pruned by their numbers) and gets its own numbers by broadcast."""
-    rows = saved(rows.select("row"), "rows")
+    reads its own part of the table (row groups are pruned by their numbers) and gets its own rows by broadcast."""
+    rows = saved(rows if how == "inner" else rows.select("row"), "rows")
     n, low, high = rows.agg(F.count("*"), F.min("row"), F.max("row")).first()
     if not n:
-        return table if how == "left_anti" else table.limit(0)
+        return table if how == "left_anti" else table.join(rows, "row", how)
     if n <= limit:
         return table.join(F.broadcast(rows), "row", how)
     # exact cuts: count by coarse bins of the number line, then join bins into stretches of at most half the limit and

@@ -26,8 +26,8 @@ from ledgerline.llm.simhash import fingerprints, links, roots
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 #: Words of a shingle of the fingerprints, and the bits in which linked ones may differ.
 FP_SHINGLE, FP_BUDGET = 5, 2
-#: Tasks that the pairs of one text are dealt over.
-SALTS = 64
+#: Partners of a text that are compared in one task.
+SHARE = 256
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -96,10 +96,14 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The rows of ``pairs (a, b)`` whose sets have at least this similarity; a text of many pairs is dealt over SALTS."""
-    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    own = dealt.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
-    both = dealt.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b").join(own, ["a", "salt"])
+    """The rows of ``pairs (a, b)`` whose ``sets`` (row, grams) have at least this similarity. Sets go where their pairs are, once for
+    each b and once for each SHARE partners of an a; the table of all sets stays in place."""
+    pairs = saved(pairs, "pairs")
+    tasks = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("tasks"))
+    dealt = pairs.join(tasks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("tasks")).alias("task"))
+    theirs = picked(sets, dealt.select(F.col("b").alias("row"), "a", "task"), "inner").select(F.col("row").alias("b"), "a", "task", F.col("grams").alias("gb"))
+    own = picked(sets, dealt.select(F.col("a").alias("row"), "task").distinct(), "inner").select(F.col("row").alias("a"), "task", F.col("grams").alias("ga"))
+    both = theirs.join(own, ["a", "task"])
     shared = F.size(F.array_intersect("ga", "gb"))
     return both.filter(shared * (1 + similarity) >= similarity * (F.size("ga") + F.size("gb")) - 1e-9).select("a", "b")
 
@@ -145,7 +149,7 @@ def groups(table: DataFrame, *, similarity: float = SIMILARITY, shingle: int = S
     pairs = saved(lowest.union(close).distinct(), "pairs")
     wanted = posts.select(F.col("rep").alias("row")).union(pairs.select(F.explode(F.array("a", "b")))).distinct()
     texts = picked(table, wanted, "left_semi").select("row", F.col("doc")[text_col].alias("text"))
-    sets = saved(_sets(texts, shingle).withColumnRenamed("row", "node"), "sets")
+    sets = saved(_sets(texts, shingle), "sets")
     near = saved(_alike(pairs, sets, similarity), "links")
     tree = saved(roots(near), "groups")
     for step in (_with_heads, _across):  # only what is still in different groups is compared

@@ -1,22 +1,24 @@
 """Benchmark decontamination: a positional inverted index of the training words, asked for the benchmark's windows.
 
-The index holds, for every document, which words of the test vocabulary stand where; it is stored once in the shared
-folder, dealt by document, so no posting list is longer than a task's share of it. Document frequencies taken from it say
-which words of each test window are rarest. A task turns its postings into lists by word, looks up the rarest word of
-each window, and intersects that list with those of the next rarest, shifted by their distance; what is left is compared
-over the whole window. Lists that meet within a few words, but not exactly, are proximity matches.
+The index is stored once in the shared folder, in shards of some documents: every word of a shard, sorted, in how many of its
+documents it is, and the list of its places. It knows nothing of a benchmark, so any number of them can be asked. Summed over
+the shards, the document frequencies of a benchmark's words say which words of each window are rarest. In a shard, a window's
+rarest word is looked up and its list intersected with those of the next rarest, shifted by their distance; what is left is
+compared over the whole window. Lists that meet within a few words, but not exactly, are proximity matches.
 
-The benchmark is read in blocks of bounded size, and each block is asked against all postings; so nothing that is sent
-to the tasks grows beyond that bound. The vocabulary filter of the index is likewise bounded: a benchmark with more
-distinct words is served by an index of all words.
+The benchmark is hashed in tasks and read in blocks of bounded size. Each block is asked against all shards, its matches
+are saved, and what was sent for it is dropped before the next; so neither plans nor memory grow with the benchmark. A shard
+is a bounded number of bytes of text or one longer text, so a word in every document is a short list in each shard.
 
 Null texts and texts without words have no windows. Items are told apart by id: rows with the same id are one item; rows
-with a null id count for hits, not as items. Repeated documents are judged alike; other columns are ignored.
+with a null id count for hits, not as items. Repeated documents are judged alike; other columns are ignored. Empty tables
+give no rows or no matches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,12 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import ALNUM_WORD, LOWER, blocks, owner, prefix_hash, runs, saved, slice_hash, utf8
 
 WINDOW = 13
-#: Words of the benchmark that one block may have, and distinct words up to which the index leaves out all others.
-BLOCK_WORDS, VOCABULARY = 1 << 20, 1 << 21
+#: Words of the benchmark that one block may have.
+BLOCK_WORDS = 1 << 20
 #: Rarest words of a window that are intersected, and how far apart from their places they may be in a proximity match.
 RAREST, SLACK = 3, 3
-#: Postings that a task looks at together, and candidates that are compared at a time.
-PART, CANDIDATES = 1 << 21, 1 << 20
+#: Words that lie between two documents of a shard at least, more than any window; candidates that are compared at a time.
+GAP, CANDIDATES = 256, 1 << 20
 MATCHES = {"spans_from": "array<long>", "spans_to": "array<long>", "items": "array<string>", "near_items": "array<string>"}
 
 
@@ -48,63 +50,55 @@ def lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)), pa.array(values))
 
 
-def index(docs: DataFrame, vocabulary: np.ndarray | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_words, words, places`` of every row: the hashes of the words of ``vocabulary`` (sorted; None: of all words)
-    in it, and their places. Stored in the shared folder."""
-    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The shards, stored in the shared folder: ``shard`` (a number), ``ids`` and ``n_words`` of its documents, and its
+    inverted lists: ``terms`` (hashes of all its words, ascending), ``n_docs`` of each, ``ends`` of each one's list in ``places``."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = known.value
         for block in blocks(batches):
             h, doc, n = words_of(block.column("text"))
             n_words = np.bincount(doc, minlength=n)
-            places = np.arange(len(h)) - np.repeat(np.cumsum(n_words) - n_words, n_words)
-            if terms is not None:
-                keep = terms[np.minimum(np.searchsorted(terms, h), len(terms) - 1)] == h if len(terms) else np.zeros(len(h), bool)
-                h, doc, places = h[keep], doc[keep], places[keep]
-            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(n_words.astype(np.int64)), lists(h.view(np.int64), doc, n), lists(places.astype(np.int32), doc, n)], names=["id", "n_words", "words", "places"])
+            spot = np.arange(len(h)) + doc * GAP
+            order = np.argsort(h, kind="stable")
+            h, doc, spot = h[order], doc[order], spot[order]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+            fresh = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))[: len(h)]
+            n_docs = np.add.reduceat(fresh, first) if len(first) else first
+            whole = lambda values: lists(values, np.zeros(len(values), np.int64), 1)
+            ids = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), block.column("id"))
+            columns = [ids, whole(n_words.astype(np.int64)), whole(h[first].view(np.int64)), whole(n_docs.astype(np.int32)), whole(np.append(first[1:], len(h))[: len(first)].astype(np.int32)), whole(spot.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["ids", "n_words", "terms", "n_docs", "ends", "places"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return saved(rows.mapInArrow(run, f"id {kind}, n_words long, words array<long>, places array<int>"), "postings")
-
+    got = rows.mapInArrow(run, f"ids array<{kind}>, n_words array<long>, terms array<long>, n_docs array<int>, ends array<int>, places array<int>")
+    return saved(got.withColumn("shard", F.monotonically_increasing_id()), "postings")
 
-def _values(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of all lists, and the row of each."""
-    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
 
-
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut where they have more than PART postings."""
-    for batch in batches:
-        ends, at = batch.column("words").offsets.to_numpy().astype(np.int64), 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + PART, "right")) - 1)
-            yield batch.slice(at, to - at)
-            at = to
+def _list(column: pa.ListArray, row: int) -> np.ndarray:
+    return column[row].values.to_numpy(zero_copy_only=False)
 
 
 def frequencies(postings: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
-    """How many documents each word of ``vocabulary`` is in, summed per task and then over the tasks."""
+    """How many documents each word of ``vocabulary`` (ascending) is in, summed per task and then over the tasks."""
     terms = postings.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = terms.value
         total = np.zeros(len(known), np.int64)
-        for part in _parts(batches):
-            h, doc = _values(part.column("words"))
-            h = h.view(np.uint64)
-            at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-            mine = known[at] == h
-            pairs = np.unique(at[mine].astype(np.int64) * part.num_rows + doc[mine])
-            total += np.bincount(pairs // part.num_rows, minlength=len(known))
+        for b in batches:
+            for row in range(b.num_rows):
+                h, n = _list(b.column("terms"), row).view(np.uint64), _list(b.column("n_docs"), row)
+                if len(h):
+                    at = np.minimum(np.searchsorted(h, known), len(h) - 1)
+                    total += np.where(h[at] == known, n[at], 0)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
 
     out = np.zeros(len(vocabulary), np.int64)
-    if len(vocabulary):
-        got = postings.select("words").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-        out[got["term"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    got = postings.select("terms", "n_docs").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    out[got["term"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    terms.destroy()
     return out
 
 
@@ -129,17 +123,26 @@ class Windows:
         return [(rows, np.argsort(frequency[rows], axis=1, kind="stable"), owners) for rows, owners in self.groups]
 
 
+def hashed(items: DataFrame) -> DataFrame:
+    """(id, words) of the items (id, text) that have words, saved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            h, row, n = words_of(block.column("text"))
+            yield pa.RecordBatch.from_arrays([block.column("id"), lists(h.view(np.int64), row, n)], names=["id", "words"])
+
+    return saved(items.mapInArrow(run, "id string, words array<long>").filter("size(words) > 0"), "items")
+
+
 def item_blocks(items: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, np.ndarray]]]:
-    """(id, word hashes) of the items that have words, in blocks of at most ``limit`` words (or one longer item)."""
+    """(id, word hashes) of ``hashed`` items, in blocks of at most ``limit`` words (or one longer item)."""
     held, total = [], 0
     for r in items.toLocalIterator():
-        h = words_of(pa.array([r[1]], pa.string()))[0]
-        if not len(h):
-            continue
+        h = np.array(r["words"], np.int64).view(np.uint64)
         if held and total + len(h) > limit:
             yield held
             held, total = [], 0
-        held.append((r[0], h))
+        held.append((r["id"], h))
         total += len(h)
     if held:
         yield held
@@ -157,9 +160,9 @@ def _expanded(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, n
         at += CANDIDATES
 
 
-def _ask(terms: np.ndarray, spot: np.ndarray, windows: list[tuple], reach: int, full: int) -> Iterator[tuple]:
-    """(group, exact windows, their starts, windows in proximity, where their rarest word stands) of all matches."""
-    keys = np.sort((terms.astype(np.uint64) << np.uint64(40)) | spot.astype(np.uint64))
+def _ask(keys: np.ndarray, windows: list[tuple], reach: int, full: int) -> Iterator[tuple]:
+    """(group, exact windows, their starts, windows in proximity, where their rarest word stands) of all matches; ``keys``
+    are the places of the benchmark's words, each below its word's number, ascending."""
     shift = np.uint64(40)
 
     def stands(word: np.ndarray, where: np.ndarray, slack: int = 0) -> np.ndarray:
@@ -190,43 +193,52 @@ def _ask(terms: np.ndarray, spot: np.ndarray, windows: list[tuple], reach: int,
             yield group, w[exact], start[exact], w[near], (start + order[w, 0])[near]
 
 
-def matches(found: DataFrame, block: Windows, frequency: np.ndarray, *, window: int = WINDOW, slack: int = SLACK) -> DataFrame:
-    """``found`` (postings and MATCHES so far) with the matches of one block of items added."""
-    sent = found.sparkSession.sparkContext.broadcast((block.vocabulary, block.names, block.ranked(frequency)))
+def matches(postings: DataFrame, block: Windows, frequency: np.ndarray, *, window: int = WINDOW, slack: int = SLACK) -> DataFrame:
+    """``shard, doc`` (its place there), ``spans`` of hit words, ``items`` and ``near`` (found in proximity) of each document in
+    which something of one block of items is found. Saved."""
+    sent = postings.sparkSession.sparkContext.broadcast((block.vocabulary, block.names, block.ranked(frequency)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, names, windows = sent.value
-        for part in _parts(batches):
-            h, doc = _values(part.column("words"))
-            places, _ = _values(part.column("places"))
-            h = h.view(np.uint64)
-            at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-            mine = vocabulary[at] == h
-            n_words = part.column("n_words").to_numpy()
-            gap = 2 * slack + 2 * max(rows.shape[1] for rows, _, _ in windows)
-            base = np.cumsum(n_words + gap) - n_words  # words of two texts are never close
-            spot = base[doc] + places
-            begin, end, exact, near = [], [], set(), set()
-            for group, w, start, w_near, spot_near in _ask(at[mine], spot[mine], windows, slack, window):
-                rows, _, owners = windows[group]
-                begin.append(start)
-                end.append(start + rows.shape[1])
-                exact |= _named(owners, w, np.searchsorted(base, start, "right") - 1)
-                near |= _named(owners, w_near, np.searchsorted(base, spot_near, "right") - 1)
-            old_from, old_doc = _values(part.column("spans_from"))
-            old_to, _ = _values(part.column("spans_to"))
-            begin, end = _merged(np.concatenate([*begin, base[old_doc] + old_from]).astype(np.int64), np.concatenate([*end, base[old_doc] + old_to]).astype(np.int64))
-            d = np.searchsorted(base, begin, "right") - 1
-            columns = [*(part.column(c) for c in ("id", "n_words", "words", "places")), lists(begin - base[d], d, part.num_rows), lists(end - base[d], d, part.num_rows)]
-            for c, found_now in (("items", exact), ("near_items", near)):
-                per_row = part.column(c).to_pylist()
-                for k, item in sorted(found_now):
-                    per_row[k].append(names[item])
-                columns.append(pa.array(per_row, pa.list_(pa.string())))
-            yield pa.RecordBatch.from_arrays(columns, names=found_names)
-
-    found_names = found.columns
-    return found.mapInArrow(run, found.schema)
+        for b in batches:
+            for row in range(b.num_rows):
+                n_words, terms, ends, places = (_list(b.column(c), row) for c in ("n_words", "terms", "ends", "places"))
+                terms = terms.view(np.uint64)
+                if not len(terms):
+                    continue
+                at = np.minimum(np.searchsorted(terms, vocabulary), len(terms) - 1)
+                mine = np.flatnonzero(terms[at] == vocabulary)
+                high = ends[at[mine]].astype(np.int64)
+                low = np.where(at[mine] > 0, ends[at[mine] - 1], 0).astype(np.int64)
+                size = high - low
+                spot = places[np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())].astype(np.uint64)
+                keys = (np.repeat(mine, size).astype(np.uint64) << np.uint64(40)) | spot
+                base = np.cumsum(n_words + GAP) - n_words - GAP
+                begin, end, exact, near = [], [], set(), set()
+                for group, w, start, w_near, spot_near in _ask(keys, windows, slack, window):
+                    rows, _, owners = windows[group]
+                    begin.append(start)
+                    end.append(start + rows.shape[1])
+                    exact |= _named(owners, w, np.searchsorted(base, start, "right") - 1)
+                    near |= _named(owners, w_near, np.searchsorted(base, spot_near, "right") - 1)
+                begin, end = _merged(np.concatenate([np.zeros(0, np.int64), *begin]), np.concatenate([np.zeros(0, np.int64), *end]))
+                d = np.searchsorted(base, begin, "right") - 1
+                found: dict[int, tuple[list, list, list]] = {}
+                for k, x, y in zip(d.tolist(), (begin - base[d]).tolist(), (end - base[d]).tolist(), strict=True):
+                    found.setdefault(k, ([], [], []))[0].append({"from": x, "to": y})
+                for part, pairs in ((1, exact), (2, near)):
+                    for k, item in sorted(pairs):
+                        found.setdefault(k, ([], [], []))[part].append(names[item])
+                if found:
+                    spans, items, close = zip(*found.values(), strict=True)
+                    shard = pa.array([b.column("shard")[row].as_py()] * len(found), pa.int64())
+                    strings = pa.list_(pa.string())
+                    yield pa.RecordBatch.from_arrays([shard, pa.array(list(found), pa.int32()), pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), pa.array(items, strings), pa.array(close, strings)], names=["shard", "doc", "spans", "items", "near"])
+
+    asked = postings.select("shard", "n_words", "terms", "ends", "places")
+    out = saved(asked.mapInArrow(run, "shard long, doc int, spans array<struct<from:long,to:long>>, items array<string>, near array<string>"), "matches")
+    sent.destroy()
+    return out
 
 
 def _named(owners: np.ndarray, w: np.ndarray, rows: np.ndarray) -> set[tuple[int, int]]:
@@ -246,31 +258,69 @@ def _merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return begin[fresh], end[np.append(fresh[1:], True)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, slack: int = SLACK, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, slack: int = SLACK, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row of ``docs``: ``id, n_words, n_hit, items`` (ids as strings, sorted), ``near_items`` (found in proximity
     only), ``spans_from`` and ``spans_to`` (the hit words) and ``contaminated``."""
-    items = benchmark.select(benchmark[item_col].cast("string"), benchmark[item_text_col])
-    vocabulary: np.ndarray | None = np.zeros(0, np.uint64)
-    for block in item_blocks(items):
-        vocabulary = np.union1d(vocabulary, np.concatenate([w for _, w in block]))
-        if len(vocabulary) > VOCABULARY:
-            vocabulary = None
-            break
-    postings = index(docs, vocabulary, id_col=id_col, text_col=text_col)
-    found = postings.select("*", *(F.array().cast(kind).alias(c) for c, kind in MATCHES.items()))
-    for block in item_blocks(items):
+    if not 0 < window + 2 * slack < GAP // 2:
+        raise ValueError(f"windows of {window} words and a slack of {slack} don't fit the gap of {GAP} words between documents")
+    postings = index(docs, id_col=id_col, text_col=text_col)
+    return asked(postings, benchmark, window=window, slack=slack, item_col=item_col, item_text_col=item_text_col, block_words=block_words).withColumnRenamed("id", id_col)
+
+
+def asked(postings: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, slack: int = SLACK, item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The result of ``decontaminate`` for a stored ``index``."""
+    items = hashed(benchmark.select(benchmark[item_col].cast("string").alias("id"), benchmark[item_text_col].alias("text")))
+    found = []
+    for block in item_blocks(items, block_words):
         windows = Windows(block, window)
-        found = matches(found, windows, frequencies(postings, windows.vocabulary), window=window, slack=slack)
-    items_found = F.array_sort(F.array_distinct("items"))
-    n_hit = F.aggregate(F.zip_with("spans_to", "spans_from", lambda e, b: e - b), F.lit(0).cast("long"), lambda a, x: a + x)
-    out = found.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), items_found.alias("items"), F.array_sort(F.array_distinct(F.array_except("near_items", "items"))).alias("near_items"), "spans_from", "spans_to")
+        found.append(matches(postings, windows, frequencies(postings, windows.vocabulary), window=window, slack=slack))
+    rows = postings.select("shard", F.posexplode(F.arrays_zip("ids", "n_words")).alias("doc", "x")).select("shard", "doc", F.col("x.ids").alias("id"), F.col("x.n_words").alias("n_words"))
+    nothing = [F.array().cast(kind).alias(c) for c, kind in MATCHES.items()]
+    if not found:
+        out = rows.select("id", "n_words", F.lit(0).cast("long").alias("n_hit"), *nothing)
+    else:
+        hits = united(reduce(DataFrame.union, found))
+        both = rows.join(hits, ["shard", "doc"], "left")
+        out = both.select("id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), *(F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in MATCHES.items()))
     return out.withColumn("contaminated", contaminated())
 
 
+def united(found: DataFrame) -> DataFrame:
+    """Matches of all blocks as one row a document: its spans are the union of theirs."""
+    per = found.groupBy("shard", "doc").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("near")).alias("near"))
+    span = F.struct(F.lit(0).cast("long").alias("from"), F.lit(0).cast("long").alias("to"))
+
+    def step(state: Column, x: Column) -> Column:
+        joins = x["from"] <= state["last"]["to"]
+        last = F.struct(F.when(joins, state["last"]["from"]).otherwise(x["from"]).alias("from"), F.when(joins, F.greatest(state["last"]["to"], x["to"])).otherwise(x["to"]).alias("to"))
+        return F.struct(last.alias("last"), F.when(joins, state["done"]).otherwise(F.concat(state["done"], F.array(state["last"]))).alias("done"))
+
+    first = F.coalesce(F.get("spans", F.lit(0)), span)
+    start = F.struct(first.alias("last"), F.array().cast("array<struct<from:bigint,to:bigint>>").alias("done"))
+    merged = F.filter(F.aggregate("spans", start, step, lambda s: F.concat(s["done"], F.array(s["last"]))), lambda x: x["to"] > x["from"])
+    own = per.select("shard", "doc", merged.alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"), "near")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["to"] - x["from"])
+    return own.select("shard", "doc", n_hit.alias("n_hit"), F.col("spans.from").alias("spans_from"), F.col("spans.to").alias("spans_to"), "items", F.array_sort(F.array_distinct(F.array_except("near", "items"))).alias("near_items"))
+
+
 def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.size("near_items").cast("long").alias("n_near"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS ws FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark),
+bw AS (SELECT item, n, array_to_string(ws[k + 1:k + n], ' ') AS w FROM (SELECT item, ws, least(len(ws), 13) AS n, unnest(range(0, greatest(len(ws) - 13, 0) + 1)) AS k FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw), words AS (SELECT DISTINCT w, n, item FROM bw),
+dw AS (SELECT r, n, k, array_to_string(ws[k + 1:k + n], ' ') AS w FROM (SELECT r, ws, n, unnest(range(0, len(ws) - n + 1)) AS k FROM d, sizes WHERE len(ws) >= n)),
+hits AS (SELECT r, dw.n, k, item FROM dw JOIN words ON words.w = dw.w AND words.n = dw.n),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT r, n, k FROM hits)) GROUP BY 1),
+found AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN found USING (r)
+"""

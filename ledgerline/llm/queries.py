@@ -1,7 +1,7 @@
 """Queries over the text operators and, where SQL can express them, their DuckDB equivalents."""
 
 from ledgerline.llm.chat_format import OP7_SQL, op7_chat_format
-from ledgerline.llm.decontamination import op3_decontamination
+from ledgerline.llm.decontamination import OP3_SQL, op3_decontamination
 from ledgerline.llm.language_id import op6_language_id
 from ledgerline.llm.license_scan import op2_license_scan
 from ledgerline.llm.packing import op8_packing
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES: dict[str, str] = {"op7_chat_format": OP7_SQL}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op7_chat_format": OP7_SQL}

@@ -44,7 +44,7 @@ def test_all_documents(spark, sf_dir):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     want = plain(docs.select("doc_id", "text").collect(), items.select("item_id", "text").collect())
     assert sum(r[-1] for r in want) > 5
-    got = D.op3_decontamination(spark, sf_dir).drop("n_near").collect()
+    got = D.op3_decontamination(spark, sf_dir).collect()
     assert sorted((tuple(r) for r in got), key=repr) == want
 
 
@@ -56,11 +56,12 @@ def test_odd_rows_and_blocks(spark, monkeypatch):
     it = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, id int")
     want = plain(docs, items)
     assert result(D.decontaminate(ds, it)) == want
-    monkeypatch.setattr(D, "BLOCK_WORDS", 40)
-    monkeypatch.setattr(D, "VOCABULARY", 3)
-    for name, low in (("item_blocks", 40),):
-        monkeypatch.setattr(D, name, lambda items, f=D.item_blocks, n=low: f(items, n))
-    assert result(D.decontaminate(ds, it)) == want
+    asked = []
+    matches = D.matches
+    monkeypatch.setattr(D, "matches", lambda *a, **k: asked.append(matches(*a, **k)) or asked[-1])
+    assert result(D.decontaminate(ds, it, block_words=40)) == want
+    # what many blocks find is read from saved tables: no block makes the plan of the next longer
+    assert len(asked) == 3 and not any("MapInArrow" in x._jdf.queryExecution().toString() for x in asked)
     assert all(r[2] == 0 for r in result(D.decontaminate(ds, it.limit(0))))
     assert D.decontaminate(ds.limit(0), it).count() == 0
 
@@ -72,3 +73,22 @@ def test_proximity(spark):
     it = spark.createDataFrame([("a", item)], "item_id string, text string")
     got = {r["doc_id"]: (r["items"], r["near_items"]) for r in D.decontaminate(ds, it).collect()}
     assert got == {1: (["a"], []), 2: ([], ["a"]), 3: ([], [])}
+
+
+def test_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    got = D.op3_decontamination(spark, sf_dir)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({D.OP3_SQL})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
+
+
+def test_one_index_serves_any_benchmark(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "c d")], "doc_id long, text string")
+    postings = D.index(docs)
+    for text, want in (("a b", {1}), ("c d", {2}), ("c", {1, 2}), ("x", set())):
+        items = spark.createDataFrame([(1, text)], "item_id long, text string")
+        assert {r["id"] for r in D.asked(postings, items).filter("n_hit > 0").collect()} == want

@@ -21,7 +21,7 @@ BLOCK_BYTES = 2 << 20
 
 
 #: Row numbers that one broadcast may hold.
-SENT = 2_000_000
+SENT = 250_000
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import _MULTIPLIERS, BLANK_WORD, LOWER, blocks, gram_hash, mix, numbered, owner, picked, prefix_hash, runs, saved, slice_hash, utf8
@@ -141,9 +141,10 @@ def groups(table: DataFrame, *, similarity: float = SIMILARITY, shingle: int = S
     marked = saved(signatures(table, id_col, text_col, shingle), "signatures")
     own = marked.groupBy("node").agg(F.min("row").alias("rep"), F.min(F.struct(F.col("id").isNotNull().alias("named"), "id", "row")).alias("first"), F.first("buckets").alias("buckets"))
     own = saved(own, "nodes")
-    posts = own.select("rep", F.explode("buckets").alias("bucket"))
-    heads = posts.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter("n > 1").select("bucket", "head")
-    posts = saved(posts.join(heads, "bucket"), "buckets")
+    # one shuffle of the posts: a bucket's head and size come by a window, whose rows are streamed
+    bucket = Window.partitionBy("bucket")
+    posts = own.select("rep", F.explode("buckets").alias("bucket")).withColumn("head", F.min("rep").over(bucket)).withColumn("n", F.count("*").over(bucket))
+    posts = saved(posts.filter("n > 1").select("bucket", "head", "rep"), "buckets")
     close = trie_pairs(table.select("row", F.col("doc")[text_col].alias("text")), own.select("rep"))
     lowest = posts.groupBy(F.col("rep").alias("b")).agg(F.min("head").alias("a")).filter("a <> b").select("a", "b")
     pairs = saved(lowest.union(close).distinct(), "pairs")

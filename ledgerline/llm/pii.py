@@ -34,7 +34,7 @@ BASE = {
 }
 #: Kinds that the method adds, and what may be one.
 MORE = {
-    "key": (r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]{0,64}[0-9])[A-Za-z0-9_]{16,}+", "[0-9]"),
+    "key": (r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{16,}+", "[0-9]"),
     "idnum": (r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[0-9]"),
     "tel": (r"(?<![A-Za-z0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", "[0-9]"),

@@ -57,3 +57,12 @@ def test_round_trip_of_hostile_texts(spark):
     assert out[1]["loss"] == "".join(t or "" for r, t in zip(roles, texts, strict=True) if r == "assistant")
     assert len(out[2]["turns"]) == 2
     assert C.formatted(C.chains(df.limit(0))).count() == 0
+
+
+def test_repeated_rows_count_once(spark):
+    from ledgerline.llm import chat_format as C
+
+    rows = [("t", k, k - 1 if k > 1 else None, "user", f"m{k}", 1.0) for k in range(1, 15)] * 2
+    df = spark.createDataFrame(rows, "tree string, id long, parent long, role string, text string, score double")
+    assert C.paths(df).count() == 14
+    assert [r["n_turns"] for r in C.formatted(df).collect()] == [14]

@@ -7,6 +7,7 @@ from ledgerline.llm.license_scan import op2_license_scan
 from ledgerline.llm.packing import op8_packing
 from ledgerline.llm.pii import op1_pii
 from ledgerline.llm.quality_rules import op5_quality_rules
+from ledgerline.llm.resampling import OP11_SQL, op11_resampling
 from ledgerline.llm.simhash import op4_simhash_near_dedup
 from ledgerline.llm.suffix_dedup import op10_suffix_dedup
 from ledgerline.llm.token_counts import op9_token_counts
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_resampling": op11_resampling,
 }
-ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op7_chat_format": OP7_SQL}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op7_chat_format": OP7_SQL, "op11_resampling": OP11_SQL}

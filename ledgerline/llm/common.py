@@ -6,7 +6,9 @@ size of the corpus, of a partition or of an Arrow batch; only one text is ever h
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -72,6 +74,18 @@ def _cuts(rows: DataFrame, low: int, high: int, limit: int) -> list[int]:
     return out if out[-1] == high else [*out, high]
 
 
+@contextmanager
+def bucketed(df: DataFrame, keys: list[str], n: int, name: str) -> Iterator[DataFrame]:
+    """``df`` as a table in the shared folder, in ``n`` buckets by ``keys``, which tasks read where they would else shuffle.
+    Afterwards its name is taken out of the catalog; the files stay."""
+    spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into blocks of at most ``limit`` bytes of text (or one longer text)."""
     for batch in batches:

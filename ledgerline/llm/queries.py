@@ -2,6 +2,7 @@
 
 from ledgerline.llm.chat_format import OP7_SQL, op7_chat_format
 from ledgerline.llm.decontamination import OP3_SQL, op3_decontamination
+from ledgerline.llm.divergence import OP12_SQL, op12_divergence
 from ledgerline.llm.language_id import op6_language_id
 from ledgerline.llm.license_scan import op2_license_scan
 from ledgerline.llm.packing import op8_packing
@@ -24,5 +25,6 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_resampling": op11_resampling,
+    "op12_divergence": op12_divergence,
 }
-ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op7_chat_format": OP7_SQL, "op11_resampling": OP11_SQL}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op7_chat_format": OP7_SQL, "op11_resampling": OP11_SQL, "op12_divergence": OP12_SQL}

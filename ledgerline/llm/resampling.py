@@ -115,13 +115,27 @@ def gains(source: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
 
 def weights(held: DataFrame, gain_of: DataFrame) -> DataFrame:
     """``id, n_words, n_features, weight`` per document of ``held``; ``gain_of`` has each feature's gain."""
-    posts = held.select("block", F.posexplode("features").alias("k", "feature")).join(gain_of, "feature")
-    of_block = posts.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "gain"))), lambda x: x["gain"]).alias("gains"))
-    rows = held.select("block", "docs").join(of_block, "block", "left").select(F.explode("docs").alias("doc"), "gains")
-    part = F.transform(F.arrays_zip(F.col("doc.places").alias("p"), F.col("doc.counts").alias("c")), lambda x: F.get("gains", x["p"]) * x["c"])
-    total = F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
-    mean = F.when(F.col("doc.n_features") > 0, F.expr("(total - pmod(total, n)) div n")).otherwise(F.lit(0).cast("long"))
-    return rows.select("doc.id", "doc.n_words", "doc.n_features", total.alias("total"), F.col("doc.n_features").alias("n"), "doc").select("id", "n_words", "n_features", mean.alias("weight"))
+    posts = held.select("block", F.posexplode("features").alias("k", "feature")).join(gain_of, "feature").select(F.col("block").alias("of"), "k", F.col("gain").cast("int").alias("gain"))
+    kind = held.schema["docs"].dataType.elementType["id"].dataType.simpleString()
+    pairs = held.select("block", "docs").groupBy("block").cogroup(posts.groupBy("of"))
+    return pairs.applyInArrow(_weighed, f"id {kind}, n_words long, n_features long, weight long")
+
+
+def _weighed(held: pa.Table, posts: pa.Table) -> pa.Table:
+    """The documents of one block with their weights."""
+    docs = held.column("docs").combine_chunks().values if held.num_rows else None
+    if docs is None:
+        raise ValueError("features of a block that is not there")
+    gain = np.zeros(posts.num_rows, np.int64)
+    gain[posts.column("k").to_numpy()] = posts.column("gain").to_numpy()
+    ids, n_words, n_features, places, counts = docs.flatten()
+    part = np.append(gain[places.values.to_numpy()] * counts.values.to_numpy(), 0).cumsum()
+    ends = places.offsets.to_numpy()
+    before = np.concatenate(([0], part))
+    total = before[ends[1:]] - before[ends[:-1]]
+    n = n_features.to_numpy()
+    weight = np.where(n > 0, total // np.maximum(n, 1), 0)  # floors go down
+    return pa.table([ids, n_words, n_features, pa.array(weight)], names=["id", "n_words", "n_features", "weight"])
 
 
 def _noise(seed: int, id_col: Column) -> Column:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -74,16 +73,50 @@ def _cuts(rows: DataFrame, low: int, high: int, limit: int) -> list[int]:
     return out if out[-1] == high else [*out, high]
 
 
-@contextmanager
-def bucketed(df: DataFrame, keys: list[str], n: int, name: str) -> Iterator[DataFrame]:
-    """``df`` as a table in the shared folder, in ``n`` buckets by ``keys``, which tasks read where they would else shuffle.
-    Afterwards its name is taken out of the catalog; the files stay."""
-    spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    df.repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    try:
-        yield spark.table(name)
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+def bucketed(df: DataFrame, keys: list[str], n: int, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, in ``n`` buckets by ``keys``; tasks read buckets where they would else shuffle.
+    Its name is out of the catalog again, the files stay."""
+    spark, name = df.sparkSession, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, *keys).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+#: Buckets that tables of numbered rows have at most, and rows whose marks are kept together.
+SLOTS, CHUNK = 1 << 15, 1 << 14
+
+
+class Numbered:
+    """A stored copy of ``rows`` whose rows later stages name by number, whatever ids, nulls or repeats they have.
+
+    ``table`` has ``row``, a number given once to every row, ``slot`` and all columns. A slot is what one task has written
+    (beyond SLOTS tasks, what several have), and is a bucket of the table: each slot is a number whose hash is another bucket.
+    Marks of rows are laid out in the order of the rows, CHUNK rows an array, stored in the same buckets, and looked up by
+    place: the table is neither shuffled nor sorted, and nothing is broadcast."""
+
+    def __init__(self, rows: DataFrame, name: str) -> None:
+        spark = rows.sparkSession
+        self.slots = min(SLOTS, max(1, rows.rdd.getNumPartitions()))
+        bucket = F.pmod(F.hash("slot"), F.lit(self.slots))
+        tried, keys = 16 * self.slots + 64, []
+        while len(keys) < self.slots:
+            keys = spark.range(tried).select(F.col("id").cast("int").alias("slot")).groupBy(bucket.alias("bucket")).agg(F.min("slot").alias("slot")).collect()
+            tried *= 2
+        slot = F.get(F.array(*(F.lit(k.slot) for k in keys)), F.pmod(F.spark_partition_id(), F.lit(self.slots)))
+        self.table = bucketed(rows.select(F.monotonically_increasing_id().alias("row"), slot.alias("slot"), "*"), ["slot"], self.slots, name)
+
+    def marked(self, marks: DataFrame) -> DataFrame:
+        """``table`` with ``mark``, the other columns of ``marks`` (row, ...; a row has one mark at most) as a struct, or null."""
+        mark = F.struct(*(c for c in marks.columns if c != "row"))
+        of_row = self.table.select("slot", "row").join(marks.select("row", mark.alias("mark")), "row", "left")
+        chunk = F.shiftright("row", CHUNK.bit_length() - 1)
+        rows = of_row.groupBy("slot", chunk.alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "mark"))), lambda x: x["mark"]).alias("marks"))
+        stored = bucketed(rows.repartition(self.slots, "slot"), ["slot"], self.slots, "marks")
+        # the slot alone is the key of the join, or Spark would shuffle both sides by slot and chunk
+        both = self.table.join(stored.withColumnRenamed("slot", "of").hint("shuffle_hash"), (F.col("slot") == F.col("of")) & (chunk - F.col("chunk") == 0), "left")
+        place = (F.col("row") % CHUNK).cast("int")
+        return both.select(*(self.table[c] for c in self.table.columns), F.get("marks", place).alias("mark"))
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -214,15 +214,16 @@ def divergences(docs: DataFrame, *, least_docs: int = 3, ranks: int = 200, text_
     vectors = everywhere.join(own.select("lang", "shard", "terms"), ["lang", "shard"], "left").join(packed, ["lang", "source", "shard"], "left")
     block = F.pmod(F.xxhash64("lang", "source"), F.lit(BLOCKS)).cast("int")
     key = ["lang", "shard", "block"]
-    with bucketed(vectors.select(*key[:2], block.alias("block"), "source", "total", F.coalesce("terms", F.lit(0)).alias("terms"), "gaps", "counts"), key, min(4096, 2 * BLOCKS * shards), "vectors") as home:
-        peers = home.select("lang", "shard", "block", "source", "total", "terms", "gaps", "counts")
-        whole = kept.groupBy("lang", "shard").agg(F.array_sort(F.collect_list(F.struct("id", "term", "n"))).alias("all")).join(langs.withColumn("total", F.col("n") + F.col("v")).select("lang", "total"), "lang")
-        whole = whole.select("lang", "shard", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"), F.transform("all", lambda x: x["term"]).alias("names"), F.transform("all", lambda x: x["n"]).alias("counts"), "total")
-        found = [saved(home.groupBy(*key).cogroup(whole.groupBy(*key)).applyInArrow(_at_home(ranks), _FOUND), "meetings")]
-        for turn in range(BLOCKS - 1):
-            partner = _partner(F.col("block"), turn)
-            guests = peers.filter(F.col("block") > partner).withColumn("block", partner)
-            found.append(saved(home.groupBy(*key).cogroup(guests.groupBy(*key)).applyInArrow(_met, _FOUND).groupBy("part", "lang", "source", "item").agg(F.sum("value").alias("value")), "meetings"))
+    n = min(4096, 2 * BLOCKS * shards)
+    home = bucketed(vectors.select(*key[:2], block.alias("block"), "source", "total", F.coalesce("terms", F.lit(0)).alias("terms"), "gaps", "counts").repartition(n, *key), key, n, "vectors")
+    peers = home.select("lang", "shard", "block", "source", "total", "terms", "gaps", "counts")
+    whole = kept.groupBy("lang", "shard").agg(F.array_sort(F.collect_list(F.struct("id", "term", "n"))).alias("all")).join(langs.withColumn("total", F.col("n") + F.col("v")).select("lang", "total"), "lang")
+    whole = whole.select("lang", "shard", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"), F.transform("all", lambda x: x["term"]).alias("names"), F.transform("all", lambda x: x["n"]).alias("counts"), "total")
+    found = [saved(home.groupBy(*key).cogroup(whole.groupBy(*key)).applyInArrow(_at_home(ranks), _FOUND), "meetings")]
+    for turn in range(BLOCKS - 1):
+        partner = _partner(F.col("block"), turn)
+        guests = peers.filter(F.col("block") > partner).withColumn("block", partner)
+        found.append(saved(home.groupBy(*key).cogroup(guests.groupBy(*key)).applyInArrow(_met, _FOUND).groupBy("part", "lang", "source", "item").agg(F.sum("value").alias("value")), "meetings"))
     every = found[0]
     for x in found[1:]:
         every = every.union(x)

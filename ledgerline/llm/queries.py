@@ -12,6 +12,7 @@ from ledgerline.llm.resampling import OP11_SQL, op11_resampling
 from ledgerline.llm.simhash import op4_simhash_near_dedup
 from ledgerline.llm.suffix_dedup import op10_suffix_dedup
 from ledgerline.llm.token_counts import op9_token_counts
+from ledgerline.llm.warc import OP13_SQL, op13_warc
 
 QUERIES = {
     "op1_pii": op1_pii,
@@ -26,5 +27,6 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_resampling": op11_resampling,
     "op12_divergence": op12_divergence,
+    "op13_warc": op13_warc,
 }
-ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op7_chat_format": OP7_SQL, "op11_resampling": OP11_SQL, "op12_divergence": OP12_SQL}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op7_chat_format": OP7_SQL, "op11_resampling": OP11_SQL, "op12_divergence": OP12_SQL, "op13_warc": OP13_SQL}

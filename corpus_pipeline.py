@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import language_id, near_copies, pii
-from ledgerline.llm.common import numbered, picked, saved
+from ledgerline.llm.common import Numbered, saved
 from ledgerline.llm.decontamination import decontaminate
 from ledgerline.llm.packing import pack
 
@@ -34,9 +34,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
-    table = numbered(docs, "documents")
-    found = decontaminate(table.select("row", F.col("doc.text").alias("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row")
-    return picked(table, found.filter("contaminated"), "left_anti").select("doc.*")
+    stored = Numbered(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc")), "documents")
+    found = decontaminate(stored.table.select("row", F.col("doc.text").alias("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row")
+    return stored.marked(found.filter("contaminated").select("row", "contaminated")).filter("mark IS NULL").select("doc.*")
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,58 +20,6 @@ from ledgerline.scratch import saved, shared_dir  # noqa: F401
 BLOCK_BYTES = 2 << 20
 
 
-#: Row numbers that one broadcast may hold.
-SENT = 250_000
-
-
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """A saved copy of ``docs``: ``row``, a number given once to every row, and ``doc``, all its columns. Later stages name
-    rows by that number, whatever ids, nulls or repeats the rows have; numbers ascend within and across files."""
-    return saved(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(docs[c] for c in docs.columns)).alias("doc")), name)
-
-
-def picked(table: DataFrame, rows: DataFrame, how: str, limit: int = SENT) -> DataFrame:
-    """The rows of ``table`` (saved, with ``row``) that are (left_semi) or aren't (left_anti) among ``rows``, or (inner) joined
-    to the columns of these.
-
-    ``table`` is never shuffled: its number line is cut into stretches that hold at most ``limit`` of ``rows``, each stretch
-    reads its own part of the table (row groups are pruned by their numbers) and gets its own rows by broadcast."""
-    rows = saved(rows if how == "inner" else rows.select("row"), "rows")
-    n, low, high = rows.agg(F.count("*"), F.min("row"), F.max("row")).first()
-    if not n:
-        return table if how == "left_anti" else table.join(rows, "row", how)
-    if n <= limit:
-        return table.join(F.broadcast(rows), "row", how)
-    # exact cuts: count by coarse bins of the number line, then join bins into stretches of at most half the limit and
-    # halve the bins that alone hold more
-    edges = _cuts(rows, int(low), int(high) + 1, limit)
-    parts = []
-    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-        inside = (F.col("row") >= a) & (F.col("row") < b)
-        own = table.filter(F.col("row") < b if k == 0 else F.col("row") >= a if k == len(edges) - 2 else inside)
-        parts.append(own.join(F.broadcast(rows.filter(inside)), "row", how))
-    return reduce(DataFrame.union, parts)
-
-
-def _cuts(rows: DataFrame, low: int, high: int, limit: int) -> list[int]:
-    """Ascending edges from ``low`` to ``high`` between which at most ``limit`` of the distinct ``rows`` lie."""
-    bins = 1024
-    width = max(1, -(-(high - low) // bins))
-    counts = dict(rows.filter((F.col("row") >= low) & (F.col("row") < high)).groupBy(F.floor((F.col("row") - low) / F.lit(width)).alias("bin")).count().collect())
-    out, held = [low], 0
-    for k in range(bins):
-        n, start = counts.get(k, 0), low + k * width
-        if held + n > limit and start > out[-1]:
-            out.append(start)
-            held = 0
-        if n > limit and width > 1:
-            out += _cuts(rows, start, min(start + width, high), limit)[1:]
-            held = 0
-        else:
-            held += n
-    return out if out[-1] == high else [*out, high]
-
-
 def bucketed(df: DataFrame, keys: list[str], n: int, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, in ``n`` buckets by ``keys``; tasks read buckets where they would else shuffle.
     Its name is out of the catalog again, the files stay."""

@@ -1,11 +1,14 @@
 """Near copies: groups of texts whose sets of word shingles have a Jaccard similarity of at least a limit.
 
-Candidates come from two places. SimHash fingerprints are joined by the binary trie of ``simhash``; but at a similarity of 0.8 most pairs differ in more bits than a trie walk can allow
-(README has the figures), so what it misses comes from buckets: BANDS times ROWS minima of hashed shingles, one bucket a
-band. A pair at similarity s shares none with probability (1 - s**ROWS)**BANDS, below 1 in 10,000 at 0.8. Every link is decided by the exact Jaccard similarity of both
-sets. Each text is first compared with the smallest head of its buckets, so a text makes one pair; then with the heads of those
-buckets whose group it hasn't joined; then members of a bucket that are still in different groups with each other. So a
-large group of copies costs no square of its size and no link of a bucket is left out.
+Candidates come from two places. SimHash fingerprints are joined by the binary trie of ``simhash``; but at a similarity of 0.8
+most pairs differ in more bits than a trie walk can allow (README has the figures), so what it misses comes from buckets: BANDS
+times ROWS minima of hashed shingles, one bucket a band. A pair at similarity s shares none with probability
+(1 - s**ROWS)**BANDS, below 1 in 10,000 at 0.8. Every link is decided by the exact Jaccard similarity of both sets. Each text is
+first compared with the smallest head of its buckets, so a text makes one pair; then with the heads of those buckets whose
+group it hasn't joined. Members of buckets that still hold several groups are joined by prefixes: of sets of n shingles, in
+one order of all shingles, two at the limit L share one of the larger set's first n - ceil(L n) + 1 that is also one of the smaller
+set's first n - ceil(2 L n / (1 + L)) + 1. The order takes rare shingles first, as a sketch of fixed size counts them, so texts that share a frequent passage and little more make no pairs. So a large group
+of copies, or of texts just below the limit, costs no square of its size, and no link of a bucket is left out.
 
 Shingles are of lower-case (ASCII) words between white space; a text of fewer words is one shingle. Null texts and texts
 without words are alike. Texts of equal sets are one node, however many documents have them.
@@ -20,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import _MULTIPLIERS, BLANK_WORD, LOWER, blocks, gram_hash, mix, numbered, owner, picked, prefix_hash, runs, saved, slice_hash, utf8
+from ledgerline.llm.common import _MULTIPLIERS, BLANK_WORD, LOWER, Numbered, blocks, bucketed, gram_hash, mix, owner, prefix_hash, runs, saved, slice_hash, utf8
 from ledgerline.llm.simhash import fingerprints, links, roots
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 #: Words of a shingle of the fingerprints, and the bits in which linked ones may differ.
 FP_SHINGLE, FP_BUDGET = 5, 2
-#: Partners of a text that are compared in one task.
-SHARE = 256
+#: Partners of a text that are compared in one task; rows of a bucket of the stored sets; counters of the sketch.
+SHARE, SET_ROWS, SKETCH = 256, 20_000, 1 << 18
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -84,25 +87,30 @@ def signatures(table: DataFrame, id_col: str, text_col: str, shingle: int = SHIN
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """``row, grams``: the set of each text."""
+    """``row, size, grams``: the set of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             h, at = shingles(block.column("text"), shingle)
-            ends = np.append(0, np.cumsum(np.bincount(at, minlength=block.num_rows))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([block.column("row"), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["row", "grams"])
+            sizes = np.bincount(at, minlength=block.num_rows)
+            ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([block.column("row"), pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["row", "size", "grams"])
 
-    return texts.mapInArrow(run, "row long, grams array<long>")
+    return texts.mapInArrow(run, "row long, size long, grams array<long>")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The rows of ``pairs (a, b)`` whose ``sets`` (row, grams) have at least this similarity. Sets go where their pairs are, once for
-    each b and once for each SHARE partners of an a; the table of all sets stays in place."""
-    pairs = saved(pairs, "pairs")
+    """The rows of ``pairs (a, b)`` whose ``sets`` (row, size, grams; bucketed by row) have at least this similarity. Pairs whose sizes
+    rule that out end first. Sets go where their pairs are, once for each b and once for each SHARE partners of an a; the
+    table of all sets stays in place."""
+    sizes = sets.select("row", "size")
+    sized = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    pairs = saved(sized.filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9).select("a", "b"), "pairs")
     tasks = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("tasks"))
     dealt = pairs.join(tasks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("tasks")).alias("task"))
-    theirs = picked(sets, dealt.select(F.col("b").alias("row"), "a", "task"), "inner").select(F.col("row").alias("b"), "a", "task", F.col("grams").alias("gb"))
-    own = picked(sets, dealt.select(F.col("a").alias("row"), "task").distinct(), "inner").select(F.col("row").alias("a"), "task", F.col("grams").alias("ga"))
+    grams = sets.select("row", "grams")
+    theirs = dealt.join(grams.toDF("b", "gb"), "b")
+    own = dealt.select("a", "task").distinct().join(grams.toDF("a", "ga"), "a")
     both = theirs.join(own, ["a", "task"])
     shared = F.size(F.array_intersect("ga", "gb"))
     return both.filter(shared * (1 + similarity) >= similarity * (F.size("ga") + F.size("gb")) - 1e-9).select("a", "b")
@@ -125,19 +133,58 @@ def _with_heads(placed: DataFrame) -> DataFrame:
     return placed.join(first, "bucket").filter("root <> theirs").select(F.col("head").alias("a"), F.col("rep").alias("b"))
 
 
-def _across(placed: DataFrame) -> DataFrame:
-    """Pairs of a bucket whose groups differ, laid out by group so that none within a group is made."""
-    parts = placed.select("bucket", "root").distinct()
-    differ = parts.select("bucket", F.col("root").alias("ra")).join(parts.select("bucket", F.col("root").alias("rb")), "bucket").filter("ra < rb")
-    both = differ.join(placed.select("bucket", F.col("root").alias("ra"), F.col("rep").alias("x")), ["bucket", "ra"])
-    both = both.join(placed.select("bucket", F.col("root").alias("rb"), F.col("rep").alias("y")), ["bucket", "rb"])
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+def _counted(sets: DataFrame) -> np.ndarray:
+    """How many sets have a shingle of each of SKETCH counters; partial counts are summed by slices."""
+    width = SKETCH // 64
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column("grams").flatten().to_numpy() & (SKETCH - 1), minlength=SKETCH)
+        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([x.tobytes() for x in total.reshape(64, width)], pa.binary())], names=["slice", "counts"])
+
+    def summed(parts: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in parts.column("counts").to_pylist())
+        return pa.table([parts.column("slice")[:1], pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
+
+    rows = sets.select("grams").mapInArrow(run, "slice int, counts binary").groupBy("slice").applyInArrow(summed, "slice int, counts binary").collect()
+    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows)]) if rows else np.zeros(SKETCH, np.int64)
 
-def groups(table: DataFrame, *, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """For ``table`` (row, doc; ``numbered``): the saved signatures, and ``node, root, first`` of every distinct set: first is
+
+def _across(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of the members of ``placed`` in different groups that share a shingle of both prefixes."""
+    members = sets.join(placed.select(F.col("rep").alias("row"), "root").distinct(), "row")
+    members = saved(members.select("row", "root", "size", "grams"), "members")
+    sent = members.sparkSession.sparkContext.broadcast(_counted(members))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sent.value
+        for batch in batches:
+            for row, root, size, grams in zip(*(batch.column(c) for c in ("row", "root", "size", "grams")), strict=True):
+                h = grams.values.to_numpy()
+                n = counts[h & (SKETCH - 1)]
+                longest, own = (len(h) - int(np.ceil(part * len(h) - 1e-9)) + 1 for part in (similarity, 2 * similarity / (1 + similarity)))
+                first = np.lexsort((h, n))[:longest]
+                short = np.arange(len(first)) < own
+                some = n[first] > 1
+                k = int(some.sum())
+                one = lambda x, k=k: pa.array(np.full(k, x.as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(h[first][some]), pa.array(short[some]), one(row), one(root), one(size)], names=["gram", "short", "rep", "root", "size"])
+
+    posts = members.mapInArrow(run, "gram long, short boolean, rep long, root long, size long")
+    shared = posts.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("gram")
+    posts = saved(posts.join(shared, "gram", "left_semi"), "prefixes")
+    other = posts.toDF("gram", "sb", "y", "rb", "nb")
+    near = (F.least("size", "nb") >= similarity * F.greatest("size", "nb") - 1e-9) & F.when(F.col("size") <= F.col("nb"), F.col("short")).otherwise(F.col("sb"))
+    both = posts.join(other, "gram").filter((F.col("root") < F.col("rb")) & near)
+    return both.select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b"))
+
+
+def groups(stored: Numbered, *, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """For ``stored`` (numbered rows with a struct ``doc``): the saved signatures, and ``node, root, first`` of every distinct set: first is
     (id, row) of the smallest id and row that have it, root the smallest row of its group. Texts are never shuffled, only
     the sets of those that have candidates."""
+    table = stored.table
     marked = saved(signatures(table, id_col, text_col, shingle), "signatures")
     own = marked.groupBy("node").agg(F.min("row").alias("rep"), F.min(F.struct(F.col("id").isNotNull().alias("named"), "id", "row")).alias("first"), F.first("buckets").alias("buckets"))
     own = saved(own, "nodes")
@@ -149,11 +196,13 @@ def groups(table: DataFrame, *, similarity: float = SIMILARITY, shingle: int = S
     lowest = posts.groupBy(F.col("rep").alias("b")).agg(F.min("head").alias("a")).filter("a <> b").select("a", "b")
     pairs = saved(lowest.union(close).distinct(), "pairs")
     wanted = posts.select(F.col("rep").alias("row")).union(pairs.select(F.explode(F.array("a", "b")))).distinct()
-    texts = picked(table, wanted, "left_semi").select("row", F.col("doc")[text_col].alias("text"))
-    sets = saved(_sets(texts, shingle), "sets")
+    wanted = saved(wanted.withColumn("wanted", F.lit(True)), "wanted")
+    texts = stored.marked(wanted).filter("mark.wanted").select("row", F.col("doc")[text_col].alias("text"))
+    n = 8 + wanted.count() // SET_ROWS
+    sets = bucketed(_sets(texts, shingle).repartition(n, "row"), ["row"], n, "sets")
     near = saved(_alike(pairs, sets, similarity), "links")
     tree = saved(roots(near), "groups")
-    for step in (_with_heads, _across):  # only what is still in different groups is compared
+    for step in (_with_heads, lambda placed: _across(placed, sets, similarity)):  # only what is still in different groups is compared
         placed = posts.join(tree, posts["rep"] == tree["node"], "left").select("bucket", "head", "rep", F.coalesce("root", "rep").alias("root"))
         mixed = placed.select("bucket", "root").distinct().groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
         placed = saved(placed.join(mixed, "bucket", "left_semi"), "placed")
@@ -169,7 +218,8 @@ def groups(table: DataFrame, *, similarity: float = SIMILARITY, shingle: int = S
 
 def near_copies(docs: DataFrame, *, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, component_id`` per row of ``docs``: the smallest id of the row's group (null first)."""
-    marked, grouped = groups(numbered(docs.select(id_col, text_col), "texts"), similarity=similarity, shingle=shingle, id_col=id_col, text_col=text_col)
+    stored = Numbered(docs.select(F.struct(docs[id_col], docs[text_col]).alias("doc")), "texts")
+    marked, grouped = groups(stored, similarity=similarity, shingle=shingle, id_col=id_col, text_col=text_col)
     smallest = grouped.groupBy("root").agg(F.min("first.id").alias("component_id"))
     return marked.select("id", "node").join(grouped.select("node", "root"), "node").join(smallest, "root").select(F.col("id").alias(id_col), "component_id")
 
@@ -177,9 +227,8 @@ def near_copies(docs: DataFrame, *, similarity: float = SIMILARITY, shingle: int
 def one_of_each_group(docs: DataFrame, **options: object) -> DataFrame:
     """``docs`` with one row of each group of near copies: that of the smallest id (null first), then the first row.
 
-    The rows that go are those whose number isn't their group's chosen one; they are taken out of the numbered table by
-    ``picked``, so the texts stay where they are."""
-    table = numbered(docs, "documents")
-    marked, grouped = groups(table, **options)
-    chosen = grouped.groupBy("root").agg(F.min("first").alias("first")).select("first.row")
-    return picked(table, marked.select("row").join(chosen, "row", "left_anti"), "left_anti").select("doc.*")
+    The rows that go are those whose number isn't their group's chosen one; the texts stay where they are."""
+    stored = Numbered(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc")), "documents")
+    _, grouped = groups(stored, **options)
+    chosen = grouped.groupBy("root").agg(F.min("first").alias("first")).select("first.row", F.lit(True).alias("chosen"))
+    return stored.marked(chosen).filter("mark.chosen").select("doc.*")

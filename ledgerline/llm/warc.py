@@ -194,7 +194,7 @@ def archive(pages: DataFrame, *, least: int = 0, date: str = "2024-01-01T00:00:0
 
 
 def read_archive(index: DataFrame, kind: str = "long", id_col: str = "page_id") -> DataFrame:
-    """All records of the bundles that ``index`` names, read frame by frame: ``page_id, url, record_type, refers_to,
+    """All records of the bundles that ``index`` names, read frame by frame, a task for each: ``page_id, url, record_type, refers_to,
     payload_bytes, payload_digest, html``; ids are cast to ``kind``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +205,8 @@ def read_archive(index: DataFrame, kind: str = "long", id_col: str = "page_id")
                     for place in seek_table(data):
                         yield _batch([_parsed(fields, block) for _, fields, block in records(frame(data, *place))])
 
-    return _typed(index.select("bundle").distinct().mapInArrow(read, _READ), kind, id_col)
+    bundles = index.select("bundle").distinct()
+    return _typed(bundles.repartition(max(1, bundles.count())).mapInArrow(read, _READ), kind, id_col)
 
 
 def lookup(index: DataFrame, record_ids: DataFrame, kind: str = "long", id_col: str = "page_id") -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline as C
 
+from ledgerline.llm import near_copies as N
 from ledgerline.llm.near_copies import near_copies
 
 
@@ -54,6 +55,23 @@ def test_planted_near_copies_are_found(spark):
     assert near_copies(df.limit(0)).count() == 0
 
 
+def test_texts_just_below_the_limit_make_few_pairs(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, texts = [word() for _ in range(300)], []
+    for _ in range(120):  # all share four fifths of their words, any two about 0.7 of their shingles
+        texts.append(" ".join([*base[:250], *(word() for _ in range(50))]))
+    texts += [" ".join([*texts[k].split(" ")[:296], *(word() for _ in range(4))]) for k in range(0, 120, 4)]
+    stored = N.Numbered(spark.createDataFrame(list(enumerate(texts)), "row long, text string").select(N.F.struct("row", "text").alias("doc")), "texts")
+    sets = N.saved(N._sets(stored.table.select("doc.row", "doc.text"), 5), "sets")
+    placed = stored.table.select(N.F.col("doc.row").alias("rep"), N.F.col("doc.row").alias("root"))
+    pairs = {tuple(r) for r in N._across(placed, sets, 0.8).distinct().collect()}
+    exact = plain_sets(texts)
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if len(exact[i] & exact[j]) >= 0.8 * len(exact[i] | exact[j])}
+    assert want <= pairs and len(want) >= 30 and len(pairs) < 4 * len(want)
+    assert {tuple(r) for r in N._alike(N._across(placed, sets, 0.8).distinct(), sets, 0.8).collect()} == want
+
+
 def test_stage_keeps_one_of_each_group(spark, sf_dir):
     texts = planted(random.Random(6))[8:]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -55,14 +55,3 @@ def test_null_ids_and_clashing_columns_lose_no_text(spark, sf_dir):
     assert clean.columns == docs.columns and clean.count() == 20000
     assert C.without_personal_data(spark, clean.limit(50), sf_dir).columns == docs.columns
 
-
-def test_rows_are_picked_in_stretches(spark):
-    table = common.numbered(spark.range(5000).repartition(7), "numbers")
-    numbers = [r["row"] for r in table.select("row").collect()]
-    chosen = numbers[::3] + numbers[:900]
-    rows = spark.createDataFrame([(n,) for n in set(chosen)], "row long")
-    for limit in (500, 10**6):
-        semi = common.picked(table, rows, "left_semi", limit)
-        assert sorted(r["row"] for r in semi.collect()) == sorted(set(chosen))
-        anti = common.picked(table, rows, "left_anti", limit)
-        assert sorted(r["row"] for r in anti.collect()) == sorted(set(numbers) - set(chosen))

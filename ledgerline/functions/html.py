@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import StringType
 
 ALLOWED = {"p": (), "b": (), "i": (), "em": (), "strong": (), "ul": (), "ol": (), "li": (), "h1": (), "h2": (), "h3": (), "table": (), "tr": (), "td": ("colspan",), "th": ("colspan",), "a": ("href",), "br": ()}
 VOID = ("br", "hr", "img", "input", "meta", "link")
@@ -100,15 +100,3 @@ def marked(pages: pd.Series, snippets: pd.Series) -> pd.Series:
 
 def text_of(html: str) -> str:
     return unescape(re.sub(r"<[^>]*>", "", html))
-
-
-def similarity(a: str | None, b: str | None) -> float | None:
-    """Ratcliff and Obershelp's ratio of two texts' words; null if one is."""
-    from difflib import SequenceMatcher
-
-    return None if a is None or b is None else SequenceMatcher(None, a.split(), b.split(), autojunk=False).ratio()
-
-
-@pandas_udf(DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([similarity(a, b) for a, b in zip(left, right, strict=True)], dtype=float)

@@ -1,5 +1,6 @@
 """Library functions without SQL: identity, pages, streams, readers, allocations, against plain Python and by hand."""
 
+import random
 import tempfile
 
 import pytest
@@ -50,7 +51,6 @@ def test_pages_are_cleaned_balanced_and_marked():
     page = "<p>one <b>two</b> three four</p><p>five</p>"
     assert H.highlighted(page, ["two three", "three", "five", "six", ""]) == "<p>one <b><mark>two</mark></b><mark> three</mark> four</p><p><mark>five</mark></p>"
     assert H.highlighted(None, ["a"]) is None and H.highlighted("a", None) == "a"
-    assert H.similarity("a b c d", "a b d") == pytest.approx(6 / 7) and H.similarity(None, "a") is None
 
 
 def test_page_queries(spark, sf_dir):
@@ -60,27 +60,66 @@ def test_page_queries(spark, sf_dir):
     for r in catalog.QUERIES["sanitised_pages"](spark, sf_dir).collect():
         assert r["html_sha256"] == hashlib.sha256(H.cleaned(pages[r["page_id"]]).encode()).hexdigest()
         assert H.text_of(r["marked"]) == H.text_of(H.cleaned(pages[r["page_id"]]))
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").orderBy("p_partkey").collect()
-    before, want = {}, {}
-    for p in parts:
-        if p["p_brand"] in before:
-            want[p["p_partkey"]] = round(H.similarity(p["p_name"], before[p["p_brand"]]), 6)
-        before[p["p_brand"]] = p["p_name"]
-    assert {r["p_partkey"]: r["ratio"] for r in catalog.QUERIES["sequence_ratio"](spark, sf_dir).collect()} == want
 
 
-def test_identity_query_keeps_elections_apart(spark, sf_dir):
+def plain_clusters(rows):
+    """Clusters of one key's (id, year, age), joined pair by pair as the docstring says."""
+    of = {r[0]: frozenset([r]) for r in rows}
+    one_birth = lambda rs: max(y - a - 1 for _, y, a in rs) <= min(y - a for _, y, a in rs)
+    for x in sorted(rows):
+        for y in sorted(rows):
+            a, b = of[x[0]], of[y[0]]
+            both = a | b
+            if y <= x or x[1] == y[1] or a == b or len({r[1] for r in both}) < len(both) or not one_birth(both):
+                continue
+            if not any(r != y and r[1] == y[1] and one_birth(a | {r}) for r in rows):
+                of.update({r[0]: both for r in both})
+    return {i: min(r[0] for r in members) for i, members in of.items()}
+
+
+def test_identity_query_equals_plain_python(spark, sf_dir):
     from ledgerline.plans.evidence import _people
 
-    got = catalog.QUERIES["identity_clusters"](spark, sf_dir).join(_people(spark, sf_dir).select("id", "year", "age"), "id").collect()
-    groups = {}
-    for r in got:
-        groups.setdefault(r["cluster"], []).append(r)
-    assert len(got) == _people(spark, sf_dir).count() and any(len(g) > 1 for g in groups.values()) and any(r["status"] == "MP_UNIQUE" for r in got)
-    for g in groups.values():
-        assert len({r["year"] for r in g}) == len(g)
-        if len(g) > 1:
-            assert max(r["year"] - r["age"] - 1 for r in g) <= min(r["year"] - r["age"] for r in g)
+    people = _people(spark, sf_dir).withColumn("key", P.name_key(F.col("first"), F.col("last"))).collect()
+    keys, want = {}, {}
+    for r in people:
+        if r["key"] is None or r["age"] is None:
+            want[r["id"]] = r["id"]
+        else:
+            keys.setdefault(r["key"], []).append((r["id"], r["year"], int(r["age"])))
+    for rows in keys.values():
+        want |= plain_clusters(rows)
+    got = catalog.QUERIES["identity_clusters"](spark, sf_dir).collect()
+    assert {r["id"]: r["cluster"] for r in got} == want and len(got) == len(people)
+    assert len(set(want.values())) < len(people) and any(r["status"] == "MP_UNIQUE" for r in got)
+
+
+def test_random_candidacies(spark):
+    rng = random.Random(11)
+    rows = [(k, f"n{rng.randrange(25)}", 1999 + 4 * rng.randrange(6), 0) for k in range(260)]
+    rows = [(k, n, y, y - 1960 - 3 * rng.randrange(3) + rng.randrange(3)) for k, n, y, _ in rows] + [(300 + k, "hot", 1999 + 4 * (k % 7), 30 + k % 5) for k in range(80)]
+    keys = {}
+    for k, n, y, a in rows:
+        keys.setdefault(n, []).append((k, y, a))
+    want = {}
+    for group in keys.values():
+        want |= plain_clusters(group)
+    got = {r["id"]: r["cluster"] for r in P.clustered(spark.createDataFrame(rows, "id long, key string, year int, age int"), id_col="id", key="key", year="year", age="age").collect()}
+    assert got == want and len(set(want.values())) < len(want) - 50
+
+
+def test_known_cases_of_namesakes(spark):
+    cases = {
+        "same year": [(1, 2023, 40), (2, 2023, 40)],
+        "age gap": [(3, 2019, 40), (4, 2023, 60)],
+        "one person": [(5, 2019, 40), (6, 2023, 44)],
+        "later namesake": [(10, 2015, 24), (11, 2019, 28), (12, 2023, 32), (13, 2023, 32)],
+        "windows don't chain": [(20, 2011, 30), (21, 2015, 35), (22, 2019, 40)],
+    }
+    rows = [(i, key, y, a) for key, group in cases.items() for i, y, a in group]
+    got = {r["id"]: r["cluster"] for r in P.clustered(spark.createDataFrame(rows, "id long, key string, year int, age int"), id_col="id", key="key", year="year", age="age").collect()}
+    assert got[5] == got[6] and got[10] == got[11] and got[20] != got[22]
+    assert len({got[1], got[2]}) == len({got[3], got[4]}) == 2 and len({got[10], got[12], got[13]}) == 3
 
 
 def test_ballots_of_odd_sources(spark):

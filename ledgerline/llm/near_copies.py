@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 #: Words of a shingle of the fingerprints, and the bits in which linked ones may differ.
 FP_SHINGLE, FP_BUDGET = 5, 2
 #: Partners of a text that are compared in one task; rows of a bucket of the stored sets; counters of the sketch.
-SHARE, SET_ROWS, SKETCH = 256, 20_000, 1 << 18
+SHARE, SET_ROWS, SKETCH = 256, 20_000, 1 << 21
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -134,21 +135,26 @@ def _with_heads(placed: DataFrame) -> DataFrame:
 
 
 def _counted(sets: DataFrame) -> np.ndarray:
-    """How many sets have a shingle of each of SKETCH counters; partial counts are summed by slices."""
+    """How many sets have a shingle of each of SKETCH counters, up to 65,535; each task's counts are summed slice by slice."""
     width = SKETCH // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(SKETCH, np.uint32)
         for batch in batches:
-            total += np.bincount(batch.column("grams").flatten().to_numpy() & (SKETCH - 1), minlength=SKETCH)
-        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([x.tobytes() for x in total.reshape(64, width)], pa.binary())], names=["slice", "counts"])
+            at, n = np.unique(batch.column("grams").flatten().to_numpy() & (SKETCH - 1), return_counts=True)
+            total[at] += n.astype(np.uint32)
+        small = zstandard.ZstdCompressor(level=1)
+        parts = [small.compress(x.tobytes()) for x in np.minimum(total, 65535).astype(np.uint16).reshape(64, width)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
 
     def summed(parts: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in parts.column("counts").to_pylist())
-        return pa.table([parts.column("slice")[:1], pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
+        total = np.zeros(width, np.uint32)
+        for x in parts.column("counts"):
+            total = np.minimum(total + np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), np.uint16), 65535)
+        return pa.table([parts.column("slice")[:1], pa.array([total.astype(np.uint16).tobytes()], pa.binary())], names=["slice", "counts"])
 
     rows = sets.select("grams").mapInArrow(run, "slice int, counts binary").groupBy("slice").applyInArrow(summed, "slice int, counts binary").collect()
-    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows)]) if rows else np.zeros(SKETCH, np.int64)
+    return np.concatenate([np.frombuffer(r["counts"], np.uint16) for r in sorted(rows)]) if rows else np.zeros(SKETCH, np.uint16)
 
 
 def _across(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

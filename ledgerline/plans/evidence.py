@@ -199,20 +199,68 @@ def media_kinds(spark, d):
     return table(spark, d, "pages").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
+#: Parts in which the events arrive.
+ARRIVALS = 4
+
+
+def _arrivals(spark, d):
+    """The events by the part of time in which they arrive; every 97th comes a part later."""
+    rows = table(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    low, high = rows.agg(F.min("us"), F.max("us")).first()
+    part = F.floor((F.col("us") - (low or 0)) * ARRIVALS / ((high or 0) - (low or 0) + 1)) + F.when(F.col("event_id") % 97 == 0, 1).otherwise(0)
+    return rows.withColumn("part", F.least(part, F.lit(ARRIVALS - 1)))
+
+
+def _run_parts(arrivals, sink, feed):
+    for k in range(ARRIVALS):
+        feed.arrive(arrivals.filter(F.col("part") == k))
+        sink.run()
+    return sink.rows()
+
+
+_ARRIVALS = f"""a AS (SELECT *, least(((epoch_us(ts) - min(epoch_us(ts)) OVER ()) * {ARRIVALS}) // (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () + 1) + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END, {ARRIVALS - 1}) AS part FROM events)"""
+
+
+@query(f"""WITH {_ARRIVALS}, m AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 HOUR AS mark FROM a GROUP BY part),
+k AS (SELECT date_trunc('hour', ts) AS start, event_type, value FROM a JOIN m USING (part) WHERE mark IS NULL OR date_trunc('hour', ts) + INTERVAL 1 HOUR > mark)
+SELECT start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM k WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM a) GROUP BY 1, 2""")
 def stream_windows(spark, d):
-    """``tumbling_window`` as a stream with a watermark; what it holds at the end goes out, since nothing more comes."""
-    schema = table(spark, d, "events")
-    rows = S.counted(S.followed(spark, f"{d}/events.parque[t]", schema), at="ts", width="1 hour", late="40 days", keys=["event_type"])
-    got = S.totals(rows, "event-windows")
+    """Hourly windows in append mode: rows that come after their window has gone out are dropped, windows that aren't over stay in."""
+    arrivals = _arrivals(spark, d)
+    feed = S.Feed(arrivals, "events")
+    got = _run_parts(arrivals, S.Sink(S.counted(feed.stream, at="ts", width="1 hour", late="2 hours", keys=["event_type"]), "event-windows"), feed)
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 3).alias("total"))
 
 
+@query(f"""WITH {_ARRIVALS}, t AS (SELECT part, event_type, max(max(ts)) OVER (PARTITION BY event_type ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM a WHERE event_type IN ('purchase', 'signup') GROUP BY 1, 2),
+m AS (SELECT part, CASE WHEN count(top) = 2 THEN min(top) - INTERVAL 2 HOUR END AS mark FROM t GROUP BY 1), k AS (SELECT a.* FROM a JOIN m USING (part) WHERE mark IS NULL OR ts > mark)
+SELECT p.event_id AS purchase, s.event_id AS signup, p.user_id FROM k p JOIN k s ON p.user_id = s.user_id AND p.event_type = 'purchase' AND s.event_type = 'signup' AND p.ts >= s.ts AND p.ts <= s.ts + INTERVAL 6 HOUR""")
+def stream_interval_join(spark, d):
+    """Purchases up to six hours after a signup of the same user, two streams joined with bounded state."""
+    arrivals = _arrivals(spark, d)
+    feed = S.Feed(arrivals, "events")
+    left = feed.stream.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase"), "ts")
+    right = feed.stream.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("signup"), F.col("ts").alias("signed_up"))
+    return _run_parts(arrivals, S.Sink(S.joined(left, right, keys=["user_id"], at=("ts", "signed_up"), within="6 HOURS", late="2 hours"), "event-pairs"), feed).select("purchase", "signup", "user_id")
+
+
+@query(f"""WITH {_ARRIVALS}, m AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 HOUR AS mark FROM a GROUP BY part),
+k AS (SELECT user_id, epoch_us(ts) // 1000 AS ms FROM a JOIN m USING (part) WHERE mark IS NULL OR ts > mark), g AS (SELECT *, CASE WHEN ms - lag(ms) OVER w < 3600000 THEN 0 ELSE 1 END AS fresh FROM k WINDOW w AS (PARTITION BY user_id ORDER BY ms)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS s FROM g), x AS (SELECT user_id, min(ms) AS a, max(ms) AS b, count(*) AS n FROM s GROUP BY user_id, s)
+SELECT user_id, a AS start_ms, b AS end_ms, n FROM x WHERE b + 3600000 <= (SELECT epoch_us(max(ts)) // 1000 - 7200000 FROM a)""")
+def stream_sessions(spark, d):
+    """Each user's sessions by state and timers; a session goes out when no row can join it any more."""
+    arrivals = _arrivals(spark, d)
+    feed = S.Feed(arrivals, "events")
+    got = _run_parts(arrivals, S.Sink(S.closed_sessions(feed.stream.select("user_id", "ts"), key="user_id", at="ts", gap_ms=3_600_000, late="2 hours"), "sessions"), feed)
+    return got.select("user_id", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), "n")
+
+
 @query("SELECT user_id, max_by(event_type, struct_pack(t := ts, e := event_id)) AS event_type, max_by(event_id, struct_pack(t := ts, e := event_id)) AS event_id FROM events GROUP BY 1")
 def stream_upsert(spark, d):
     """Each user's last event, kept up to date batch by batch."""
     stream = S.followed(spark, f"{d}/events.parque[t]", table(spark, d, "events")).select("user_id", "event_type", "event_id", "ts")
-    return S.latest_by_key(stream, ["user_id"], ["ts", "event_id"], "last-events").select("user_id", "event_type", "event_id")
+    return S.Latest(stream, ["user_id"], ["ts", "event_id"], "last-events").run().select("user_id", "event_type", "event_id")
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, 'a \"b\", ' || chr(10) || c_mktsegment AS note FROM customer")

@@ -1,57 +1,146 @@
-"""Event streams: windows with a watermark, and keyed upserts batch by batch."""
+"""Event streams: windows, joins and sessions whose state a watermark bounds, and keyed upserts.
+
+Every result is a ``Sink``: a folder of results, the checkpoint beside it, and ``run``, which takes in all that has arrived since
+the last run and ends. Runs go on where the last one was, also after a crash: the checkpoint says which files a batch had, and what a
+batch wrote counts once. In append mode a window, pair or session goes out when the watermark (the greatest time seen before,
+less the delay) has passed it, its state is dropped then, and rows that come later still are dropped."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerline.scratch import shared_dir
 
+#: Batches after which an upsert's deltas are merged.
+MERGED = 8
 
-def counted(events: DataFrame, *, at: str, width: str, late: str, keys: list[str]) -> DataFrame:
-    """Rows and sums of ``value`` by tumbling window and keys; a stream drops windows older than the watermark."""
-    timed = events.withColumn(at, F.col(at).cast("timestamp"))
-    own = timed.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), *keys)
-    return own.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), *keys, "n", "total")
 
+class Sink:
+    """The rows of a stream in append mode, written by Spark's file sink."""
 
-def _run(stream: DataFrame, mode: str, name: str, write: Callable[[DataFrame, int, str], None]) -> DataFrame:
-    """Run a stream over all there is now; ``write`` makes table ``where/number`` of each batch, and the last one is read back.
-    The checkpoint lies beside them, so a query that lost its executors goes on where it was; a batch run twice writes the
-    same table again."""
-    spark, where, done = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}", []
+    def __init__(self, stream: DataFrame, name: str) -> None:
+        self.stream, self.where = stream, f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
 
-    def batch(rows: DataFrame, number: int) -> None:
-        write(rows, number, where)
-        done.append(number)
+    def run(self) -> list[dict[str, Any]]:
+        """Take in what has arrived; the progress of each batch."""
+        writer = self.stream.writeStream.format("parquet").outputMode("append").option("path", f"{self.where}/rows")
+        query = writer.option("checkpointLocation", f"{self.where}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return list(query.recentProgress)
 
-    query = stream.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{where}/{done[-1]}") if done else spark.createDataFrame([], stream.schema)
+    def rows(self) -> DataFrame:
+        spark = self.stream.sparkSession
+        return spark.read.schema(self.stream.schema).parquet(f"{self.where}/rows")
 
 
-def totals(stream: DataFrame, name: str) -> DataFrame:
-    """The complete result of an aggregation after all batches."""
-    return _run(stream, "complete", name, lambda rows, number, where: rows.write.mode("overwrite").parquet(f"{where}/{number}"))
+class Feed:
+    """A folder into which rows arrive part by part, and the stream of what is in it."""
 
+    def __init__(self, rows: DataFrame, name: str) -> None:
+        self.schema, self.where = rows.schema, f"{shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+        rows.limit(0).write.parquet(self.where)
+        self.stream = rows.sparkSession.readStream.schema(self.schema).parquet(self.where)
 
-def latest_by_key(stream: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """The last row of each key after all batches: each batch is reduced to its own last rows and united with the table so far,
-    which is written anew."""
+    def arrive(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.where)
 
-    def last(rows: DataFrame) -> DataFrame:
-        rest = [c for c in rows.columns if c not in keys]
-        best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_best")
-        return rows.groupBy(*keys).agg(best).select(*keys, *(F.col("_best")[c].alias(c) for c in rest))
 
-    def merge(rows: DataFrame, number: int, where: str) -> None:
-        before = rows.sparkSession.read.schema(stream.schema).parquet(f"{where}/{number - 1}") if number else None
-        last(rows if before is None else before.unionByName(rows)).select(*stream.columns).write.mode("overwrite").parquet(f"{where}/{number}")
+def counted(events: DataFrame, *, at: str, width: str, late: str, keys: list[str]) -> DataFrame:
+    """Rows and sums of ``value`` by tumbling window and keys."""
+    timed = events.withColumn(at, F.col(at).cast("timestamp"))
+    own = timed.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), *keys)
+    return own.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), *keys, "n", "total")
+
 
-    return _run(stream, "append", name, merge)
+def joined(left: DataFrame, right: DataFrame, *, keys: list[str], at: tuple[str, str], within: str, late: str) -> DataFrame:
+    """Rows of both streams with equal keys of which the left one comes at the time of the right one or at most ``within`` after; the
+    columns other than the keys must have different names. A row is held only as long as a partner may still come."""
+    a = left.withColumn(at[0], F.col(at[0]).cast("timestamp")).withWatermark(at[0], late)
+    b = right.withColumn(at[1], F.col(at[1]).cast("timestamp")).withWatermark(at[1], late).select(*(F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in right.columns))
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    near = (F.col(at[0]) >= F.col(at[1])) & (F.col(at[0]) <= F.col(at[1]) + F.expr(f"INTERVAL {within}"))
+    return a.join(b, same & near).drop(*(f"_{k}" for k in keys))
+
+
+def closed_sessions(events: DataFrame, *, key: str, at: str, gap_ms: int, late: str) -> DataFrame:
+    """``key, start, end, n``: sessions of rows less than ``gap_ms`` apart, by a state for each key and a timer at which its first open session
+    can't grow any more. Rows out of order join, bridge or begin sessions as long as they aren't late. Times are milliseconds."""
+
+    def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        open_ = [list(x) for x in zip(*state.get, strict=True)] if state.exists else []
+        if not state.hasTimedOut:
+            for part in parts:
+                open_ += [[ms, ms, 1] for ms in part["ms"].tolist()]
+        spans: list[list[int]] = []
+        for start, end, n in sorted(open_):
+            if spans and start - spans[-1][1] < gap_ms:
+                spans[-1][1] = max(spans[-1][1], end)
+                spans[-1][2] += n
+            else:
+                spans.append([start, end, n])
+        mark = state.getCurrentWatermarkMs()
+        done, left = [s for s in spans if s[1] + gap_ms <= mark], [s for s in spans if s[1] + gap_ms > mark]
+        if left:
+            state.update(tuple([s[k] for s in left] for k in range(3)))
+            state.setTimeoutTimestamp(min(s[1] for s in left) + gap_ms)
+        elif state.exists:
+            state.remove()
+        if done:
+            yield pd.DataFrame({key: [name[0]] * len(done), "start": [s[0] for s in done], "end": [s[1] for s in done], "n": [s[2] for s in done]})
+
+    kind = events.schema[key].dataType.simpleString()
+    timed = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).select(key, at, F.unix_millis(at).alias("ms"))
+    spans = "starts array<bigint>, ends array<bigint>, sizes array<bigint>"
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, start long, end long, n long", spans, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class Latest:
+    """The last row of each key: a batch adds its own last rows as a delta, every MERGED batches the deltas become one table, so a row
+    is rewritten once in MERGED batches and not in each. A batch run twice writes its delta again."""
+
+    def __init__(self, stream: DataFrame, keys: list[str], order: list[str], name: str) -> None:
+        self.stream, self.keys, self.order = stream, keys, order
+        self.where = f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+    def _last(self, rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c not in self.keys]
+        best = F.max_by(F.struct(*rest), F.struct(*self.order)).alias("_best")
+        return rows.groupBy(*self.keys).agg(best).select(*self.keys, *(F.col("_best")[c].alias(c) for c in rest)).select(*rows.columns)
+
+    def _parts(self, number: int) -> list[str]:
+        """The tables that hold all rows up to a batch: the merged one of the last full round, and the deltas since."""
+        full = number - (number + 1) % MERGED
+        merged = [f"{self.where}/merged-{full}"] if full >= 0 else []
+        return merged + [f"{self.where}/delta-{k}" for k in range(max(full, -1) + 1, number + 1)]
+
+    def _write(self, rows: DataFrame, number: int) -> None:
+        self._last(rows).write.mode("overwrite").parquet(f"{self.where}/delta-{number}")
+        if (number + 1) % MERGED == 0:
+            before = self._parts(number - 1) + [f"{self.where}/delta-{number}"]
+            self._last(rows.sparkSession.read.schema(self.stream.schema).parquet(*before)).write.mode("overwrite").parquet(f"{self.where}/merged-{number}")
+
+    def run(self, each: Callable[[int], None] = lambda number: None) -> DataFrame:
+        """Take in what has arrived; the last row of every key so far."""
+        done = []
+
+        def batch(rows: DataFrame, number: int) -> None:
+            self._write(rows, number)
+            done.append(number)
+            each(number)
+
+        query = self.stream.writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", f"{self.where}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        spark = self.stream.sparkSession
+        return self._last(spark.read.schema(self.stream.schema).parquet(*self._parts(done[-1]))) if done else spark.createDataFrame([], self.stream.schema)
 
 
 def followed(spark: SparkSession, path: str, schema: DataFrame) -> DataFrame:

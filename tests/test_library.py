@@ -16,7 +16,6 @@ from ledgerline.operators import matching as M
 from ledgerline.operators import rollups as R
 from ledgerline.plans import catalog
 from ledgerline.sources import readers
-from ledgerline.streaming import windows as S
 
 
 def folder():
@@ -146,18 +145,6 @@ def test_allocation_leaves_children_without_parents(spark):
     assert sorted((r["first"], r["second"], r["n"]) for r in pairs) == [("a", "b", 1), ("a", "c", 1), ("b", "c", 1), ("d", "e", 1)]
 
 
-def test_streams_end_with_the_batch_result(spark):
-    path = folder()
-    rows = [(k, f"2024-01-01 0{k % 5}:30:00", k % 3, float(k)) for k in range(30)]
-    df = spark.createDataFrame(rows, "id long, ts string, user long, value double").withColumn("ts", F.col("ts").cast("timestamp"))
-    df.repartition(6).write.parquet(path)
-    got = S.totals(S.counted(S.followed(spark, path, df), at="ts", width="1 hour", late="1 day", keys=["user"]), "w").collect()
-    want = S.counted(df, at="ts", width="1 hour", late="1 day", keys=["user"]).collect()
-    assert sorted(got) == sorted(want) and len(got) == 15
-    last = S.latest_by_key(S.followed(spark, path, df).select("user", "id", "ts"), ["user"], ["ts", "id"], "l").collect()
-    assert sorted((r["user"], r["id"]) for r in last) == [(0, 24), (1, 19), (2, 29)]
-
-
 def test_readers_keep_errors_and_replace_partitions(spark):
     path = folder()
     spark.createDataFrame([('{"a": 1, "b": "x"}',), ("",), ("{oops",), ('{"a": "no"}',), ('{"b": null}',)], "value string").coalesce(1).write.text(path)

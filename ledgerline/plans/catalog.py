@@ -336,4 +336,4 @@ def near_pattern(spark, d):
     return rows.select("conv_id", "turn", (F.col("answer.turn") - F.col("turn")).alias("gap"), F.length("answer.text").cast("long").alias("n_chars"))
 
 
-from ledgerline.plans import clauses, evidence, graph, linking, markup, matching, relational, sequences, texts  # noqa: E402, F401  each module registers its queries
+from ledgerline.plans import clauses, evidence, graph, linking, markup, matching, records, relational, sequences, texts  # noqa: E402, F401  each module registers its queries

@@ -1,44 +1,35 @@
-"""License scans: a positional index of rare template words.
-
-Licence notices and texts are templates of words. Counting in how many files each template word occurs tells which words
-of a template are rarest; the index holds those words with their places in the templates. A file's places of these words
-are looked up, and each hit says where the template would begin: hits that agree on that, within a few words, support one
-alignment. A template is found where enough of its rare words support one alignment and its mandatory phrase stands in
-the aligned stretch. All of it is DataFrame operations; only words of the templates leave the rows of their texts.
-
-Base labels are given by three phrases alone. Null texts are empty: no words, no labels, score 0. Repeated rows are
-scanned alike; columns other than the id and the text are ignored.
+"""License scans: a positional index of rare licence words.
+
+Licence notices and texts are templates of words; the index holds the places of every template word. A file is a candidate for
+a template if it has SUPPORT of the template's distinct words. Of the file's words that the template has, those RAREST of the highest inverse
+document frequency are looked up: each place of such a word and each of its postings in the template say where the
+template would begin, and hits that agree on that within REACH words support one alignment. An alignment holds if SUPPORT of the
+template's places of these words are met. It is then verified: every mandatory phrase of the template stands in the
+aligned stretch, and the share of all the template's words that stand where the alignment puts them (again within REACH) is
+COVERED or more; that share is the file's score. All of it is DataFrame operations; only words of the templates leave the rows of
+their texts, and the templates, which are fixed, are all that is sent to the tasks, besides one count for each of their words.
+
+Base labels are given by three phrases alone; a file with such a label and no verified template scores 0.5. Null texts are empty: no
+words, no labels, score 0. Repeated rows are scanned alike, of words with equal frequencies the first by letter is the rarer one,
+and an empty table gives no rows; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import saved
+from ledgerline.llm.license_texts import TEMPLATES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The phrases of the base labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Label, words and mandatory phrase of each template.
-TEMPLATES = (
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted"),
-    ("apache", "licensed under the apache license version 2 0", "apache license"),
-    ("gpl", "this work is licensed under the gnu general public license version 3", "general public license"),
-    ("gpl", "free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public license"),
-    ("lgpl", "licensed under the gnu lesser general public license version", "lesser general public license"),
-    ("agpl", "licensed under the gnu affero general public license version", "affero general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    ("mpl", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "fee is hereby granted"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
-)
-#: Rare words of a template that are indexed, the words within which hits agree, and the share of them that is asked for.
-RAREST, REACH, SUPPORT = 6, 8, 0.6
+#: Words of a file that are looked up, words within which hits agree, and the shares that an alignment must support and cover.
+RAREST, REACH, SUPPORT, COVERED = 8, 8, 0.6, 0.6
 
 
 def words(text: Column) -> Column:
@@ -46,8 +37,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS, -1), lambda w: w != "")
 
 
+def template_words(text: str) -> list[str]:
+    return [w for w in re.split(SEPARATORS, text.lower()) if w]
+
+
 def phrases() -> list[str]:
-    return list(dict.fromkeys([*BASE, *(phrase for _, _, phrase in TEMPLATES)]))
+    return list(dict.fromkeys([*BASE, *(phrase for *_, ps in TEMPLATES for phrase in ps)]))
 
 
 def places(terms: Column, phrase: str) -> Column:
@@ -66,61 +61,62 @@ def places(terms: Column, phrase: str) -> Column:
 
 def scanned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row, id, n_words, terms, found``: the template words of each text with their places, and each phrase's places."""
-    known = sorted({w for _, t, p in TEMPLATES for w in f"{t} {p}".split()})
+    known = sorted({w for _, t, ps in TEMPLATES for w in template_words(" ".join([t, *ps]))})
     own = docs.select(docs[id_col].alias("id"), words(docs[text_col]).alias("all"))
     marked = own.select("id", F.size("all").cast("long").alias("n_words"), F.filter(F.transform("all", lambda w, i: F.struct(i.cast("long").alias("i"), w.alias("w"))), lambda x: x["w"].isin(known)).alias("terms"))
     table = saved(marked.select(F.monotonically_increasing_id().alias("row"), "id", "n_words", "terms"), "license-words")
     return table.withColumn("found", F.struct(*(places(F.col("terms"), p).alias(p) for p in phrases())))
 
 
-def postings(table: DataFrame) -> dict[str, list[tuple[int, int]]]:
-    """(template, place) of each indexed word: the RAREST words of each template by the number of files they are in."""
-    counts = table.select(F.explode(F.array_distinct(F.transform("terms", lambda x: x["w"]))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    n = {r["w"]: r["n"] for r in counts.collect()}  # one row for each word of the templates at most
-    out: dict[str, list[tuple[int, int]]] = {}
-    for k, (_, text, _) in enumerate(TEMPLATES):
-        own = text.split()
-        for w in sorted(set(own), key=lambda w: (n.get(w, 0), -len(w), w))[:RAREST]:
-            out.setdefault(w, []).extend((k, i) for i, x in enumerate(own) if x == w)
-    return out
-
-
-def aligned(table: DataFrame, index: dict[str, list[tuple[int, int]]]) -> DataFrame:
-    """``row, template, support`` of the templates that are found, support being the share of rare words in place."""
-    size = {k: sum(1 for ps in index.values() for t, _ in ps if t == k) for k in range(len(TEMPLATES))}
-    lookup = F.create_map(*(x for w, ps in sorted(index.items()) for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("template"), F.lit(i).cast("long").alias("at")) for t, i in ps)))))
-    rare = F.filter("terms", lambda x: x["w"].isin(sorted(index)))
-    hits = table.select("row", F.explode(rare).alias("x")).select("row", F.col("x.i").alias("i"), F.explode(F.element_at(lookup, F.col("x.w"))).alias("p"))
-    starts = hits.select("row", "p.template", "p.at", (F.col("i") - F.col("p.at")).alias("start"))
-    both = starts.select("row", "template", "at", "start", F.explode(F.array(F.floor(F.col("start") / REACH) * 2, F.floor((F.col("start") + REACH // 2) / REACH) * 2 + 1)).alias("bin"))
-    sizes = F.element_at(F.create_map(*(x for k, n in size.items() for x in (F.lit(k), F.lit(n)))), F.col("template"))
-    return (
-        both.groupBy("row", "template", "bin")
-        .agg(F.size(F.collect_set("at")).alias("n"), F.min("start").alias("low"), F.max("start").alias("high"))
-        .withColumn("support", F.col("n") / sizes)
-        .filter(F.col("support") >= SUPPORT)
-        .select("row", "template", "support", "low", "high")
-    )
+def candidates(table: DataFrame) -> DataFrame:
+    """``row, template, terms, found`` of the templates of which a file has SUPPORT of the distinct words."""
+    have = F.array_distinct(F.transform("terms", lambda x: x["w"]))
+    of = [sorted(set(template_words(t))) for _, t, _ in TEMPLATES]
+    some = F.array_compact(F.array(*(F.when(F.size(F.array_intersect("have", F.array(*map(F.lit, ws)))) >= SUPPORT * len(ws), F.lit(k)) for k, ws in enumerate(of))))
+    return table.select("row", "terms", "found", have.alias("have")).filter(F.size("have") > 1).select("row", "terms", "found", F.explode(some).alias("template"))
+
+
+def verified(table: DataFrame) -> DataFrame:
+    """``row, label, score`` of the templates that a file carries."""
+    spark = table.sparkSession
+    places_of = [(k, w, i) for k, (_, t, _) in enumerate(TEMPLATES) for i, w in enumerate(template_words(t))]
+    postings = F.broadcast(spark.createDataFrame(places_of, "template int, w string, at long"))  # the templates' words
+    near = saved(candidates(table), "license-candidates")
+    counts = table.select(F.explode(F.array_distinct(F.transform("terms", lambda x: x["w"]))).alias("w")).groupBy("w").agg(F.count("*").alias("files"))
+    often = F.broadcast(counts)  # one row for each word of the templates at most
+
+    rarest = F.dense_rank().over(Window.partitionBy("row", "template").orderBy("files", "w"))
+    own = near.select("row", "terms").dropDuplicates(["row"])
+    have = near.select("row", "template", F.explode(F.array_distinct(F.transform("terms", lambda x: x["w"]))).alias("w"))
+    asked = have.join(postings, ["template", "w"]).join(often, "w").withColumn("rarity", rarest).filter(F.col("rarity") <= RAREST)
+    asked = saved(asked.select("row", "template", "w", "at"), "license-postings")
+    expected = asked.groupBy("row", "template").agg(F.count("*").alias("expected"))
+    spots = own.select("row", F.inline("terms"))
+    starts = asked.join(spots, ["row", "w"]).withColumn("start", F.col("i") - F.col("at"))
+    bins = F.explode(F.array(F.floor(F.col("start") / REACH) * 2, F.floor((F.col("start") + REACH // 2) / REACH) * 2 + 1))
+    aligned = starts.withColumn("bin", bins).groupBy("row", "template", "bin").agg(F.count_distinct("at").alias("met"), F.min("start").alias("low"), F.max("start").alias("high"))
+    aligned = saved(aligned.join(expected, ["row", "template"]).filter(F.col("met") >= SUPPORT * F.col("expected")).select("row", "template", "low", "high"), "license-alignments")
+
+    n_words = [len(template_words(t)) for _, t, _ in TEMPLATES]
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("template") + 1)
+    inside = lambda p: F.exists(F.col("found")[p], lambda i: (i >= F.col("low") - REACH) & (i <= F.col("high") + F.col("length") + REACH))
+    every = lambda ps: F.array(*map(inside, ps))
+    must = F.coalesce(*(F.when(F.col("template") == k, F.forall(every(ps), lambda x: x)) for k, (*_, ps) in enumerate(TEMPLATES)))
+    keyed = aligned.withColumn("length", pick(n_words)).join(near.select("row", "template", "found"), ["row", "template"]).filter(must).select("row", "template", "low", "high", "length")
+    stretch = keyed.join(spots, "row").filter(F.col("i").between(F.col("low") - REACH, F.col("high") + F.col("length") + REACH))
+    placed = stretch.join(postings, ["template", "w"]).filter((F.col("i") - F.col("at")).between(F.col("low") - REACH, F.col("high") + REACH))
+    share = placed.groupBy("row", "template", "low", "high", "length").agg((F.count_distinct("at") / F.col("length")).alias("score")).filter(F.col("score") >= COVERED)
+    return share.select("row", pick([label for label, *_ in TEMPLATES]).alias("label"), "score")
 
 
 def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_words, places`` (of the base phrases), ``base_labels, method_labels`` (sorted arrays) and ``score`` per row."""
     table = scanned(docs, id_col=id_col, text_col=text_col)
-    index = postings(table)
-    key = F.coalesce(*(F.when(F.col("template") == k, F.col("found")[p]) for k, (_, _, p) in enumerate(TEMPLATES)))
-    length = F.coalesce(*(F.when(F.col("template") == k, F.lit(len(t.split()))) for k, (_, t, _) in enumerate(TEMPLATES)))
-    label = F.coalesce(*(F.when(F.col("template") == k, F.lit(name)) for k, (name, _, _) in enumerate(TEMPLATES)))
-    verified = (
-        aligned(table, index)
-        .join(table.select("row", "found"), "row")
-        .filter(F.exists(key, lambda i: (i >= F.col("low") - REACH) & (i <= F.col("high") + length + REACH)))
-        .groupBy("row")
-        .agg(F.array_sort(F.collect_set(label)).alias("method_labels"), F.max("support").alias("best"))
-    )
+    carried = verified(table).groupBy("row").agg(F.array_sort(F.collect_set("label")).alias("method_labels"), F.max("score").alias("best"))
     own = [F.col("found")[p] for p in BASE]
     base = F.array_sort(F.array_distinct(F.filter(F.array(*(F.when(F.size(c) > 0, F.lit(name)) for c, name in zip(own, BASE.values(), strict=True))), lambda x: x.isNotNull())))
     rows = table.select("row", "id", "n_words", F.array_sort(F.concat(*own)).alias("places"), base.alias("base_labels"))
-    out = rows.join(verified, "row", "left").withColumn("method_labels", F.coalesce("method_labels", F.array().cast("array<string>")))
+    out = rows.join(carried, "row", "left").withColumn("method_labels", F.coalesce("method_labels", F.array().cast("array<string>")))
     score = F.greatest(F.coalesce("best", F.lit(0.0)), F.when(F.size("base_labels") > 0, F.lit(0.5)).otherwise(F.lit(0.0)))
     return out.select(F.col("id").alias(id_col), "n_words", "places", "base_labels", "method_labels", score.alias("score"))
 

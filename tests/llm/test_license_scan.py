@@ -1,5 +1,6 @@
 """Phrases against a search through all words; templates on small texts."""
 
+import random
 import re
 
 from ledgerline.llm import license_scan as S
@@ -35,3 +36,30 @@ def test_odd_rows(spark):
     assert [i for i, r in got.items() if r["method_labels"] == ["bsd"]] == [6, 9, 10, 11] and got[7]["score"] == 0
     assert got[None]["base_labels"] == ["apache"]
     assert S.license_scan(df.limit(0)).count() == 0
+
+
+def test_templates_are_found_and_graded(spark):
+    rng = random.Random(3)
+    filler = lambda n: " ".join(rng.choice("the of and source software public version free work copy alpha beta gamma delta".split()) for _ in range(n))
+    texts, want = [], []
+    for label, text, _ in S.TEMPLATES:
+        texts.append(f"{filler(200)}\n# {text}.\n{filler(100)}")
+        want.append((label, 1.0))
+    mit, apache = S.TEMPLATES[2][1], S.TEMPLATES[6][1]
+    words = mit.split(" ")
+    texts += [" ".join(w for k, w in enumerate(words) if k % 7 or k < 20), " ".join(sorted(words)), mit.replace("free of charge", "at a price"), f"{mit} {filler(50)} {apache}", filler(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in S.license_scan(df).collect()}
+    for k, (label, score) in enumerate(want):
+        assert label in got[k]["method_labels"] and got[k]["score"] == score, S.TEMPLATES[k]
+    n = len(want)
+    assert got[n]["method_labels"] == ["mit"] and 0.7 < got[n]["score"] <= 1.0  # a word in seven is gone
+    assert not got[n + 1]["method_labels"] and "mit" not in got[n + 2]["method_labels"]  # words out of order; a key phrase is missing
+    assert got[n + 3]["method_labels"] == ["apache", "mit"] and not got[n + 4]["method_labels"] and got[n + 4]["score"] == 0
+
+
+def test_licences_that_most_files_have_are_found(spark):
+    notice = S.TEMPLATES[19][1]
+    texts = [f"{k} {notice}" if k % 3 else f"{k} nothing here" for k in range(60)]
+    got = S.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got if r["method_labels"] == ["bsd"]} == {k for k in range(60) if k % 3}

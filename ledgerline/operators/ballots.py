@@ -122,3 +122,22 @@ def label_sensitivity(judged: DataFrame, person: str, label: str) -> DataFrame:
         person, "n_labels", F.round("mean", 6).alias("mean_within_label"), F.col("top.label").alias("largest_label"), F.col("top.n").alias("largest_count"),
         share(F.col("top.m"), F.col("top.n")).alias("largest_rate"), share(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("rate_without_largest"),
     )
+
+
+def person_summary(ballots: DataFrame, sources: DataFrame, *, vote: str, person: str, group: str, response: str) -> DataFrame:
+    """Per person over all votes: how many of its votes' sources are VALID, of these the states of its own ballots against the others of
+    its group, the same among contested votes, and a status.
+
+    ``sources`` is the result of ``diagnosed``: votes in another state than VALID (with a duplicate or blank person among other
+    reasons) are counted and judge nobody. Ballots without a group are NO_GROUP."""
+    both = ballots.join(sources.select(vote, F.col("state").alias("_source"), "contested"), vote, "left").withColumn("_valid", F.coalesce(F.col("_source") == "VALID", F.lit(False)))
+    usable = both.filter("_valid")
+    grouped = leave_one_out(usable.filter(F.col(group).isNotNull()), vote=vote, group=group, response=response, yes="JAA", no="EI")
+    judged = grouped.select(person, "state", "contested").union(usable.filter(F.col(group).isNull()).select(person, F.lit("NO_GROUP"), "contested"))
+    judged = judged.union(both.filter("NOT _valid").select(person, F.lit("EXCLUDED"), F.lit(False)))
+    n = lambda s, more=F.lit(True): F.count(F.when((F.col("state") == s) & more, 1))
+    states = ("MATCH", "DIFFER", "TIE", "TOO_FEW_PEERS", "NON_SUBSTANTIVE", "NO_GROUP", "EXCLUDED")
+    out = judged.groupBy(person).agg(*(n(s).alias(f"n_{s.lower()}") for s in states), n("MATCH", F.col("contested")).alias("contested_match"), n("DIFFER", F.col("contested")).alias("contested_differ"))
+    decided, contested = F.col("n_match") + F.col("n_differ"), F.col("contested_match") + F.col("contested_differ")
+    status = F.when(decided > 0, "COMPARABLE").when(F.col("n_excluded") == sum(F.col(f"n_{s.lower()}") for s in states), "NO_VALID_SOURCE").otherwise("NOT_COMPARABLE")
+    return out.withColumns({"agreement": share(F.col("n_match"), decided), "contested_agreement": share(F.col("contested_match"), contested), "status": status})

@@ -64,6 +64,25 @@ def response_buckets(spark, d):
     return seen.select("vote", F.col("rows").alias("n_rows"), F.col("JAA").alias("jaa"), F.col("EI").alias("ei"), F.col("TYHJAA").alias("tyhjaa"), F.col("POISSA").alias("poissa"), (F.col("UNKNOWN") + F.col("BLANK")).alias("unknown_or_blank"), F.col("DUPLICATES").alias("duplicates"))
 
 
+@query("""WITH b AS (SELECT l_orderkey AS vote, l_suppkey AS person, CASE l_returnflag WHEN 'N' THEN 'JAA' WHEN 'R' THEN 'EI' ELSE 'TYHJAA' END AS said, CASE WHEN l_suppkey % 13 <> 0 THEN n_regionkey END AS grp FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+v AS (SELECT vote, vote % 31 <> 0 AND vote % 41 <> 0 AND count(*) = count(DISTINCT person) AS ok, count(*) FILTER (said = 'JAA') > 0 AND count(*) FILTER (said = 'EI') > 0 AS contested FROM b GROUP BY 1),
+g AS (SELECT b.*, ok, contested, count(*) FILTER (said = 'JAA') OVER w - CASE WHEN said = 'JAA' THEN 1 ELSE 0 END AS f, count(*) FILTER (said = 'EI') OVER w - CASE WHEN said = 'EI' THEN 1 ELSE 0 END AS a FROM b JOIN v USING (vote) WINDOW w AS (PARTITION BY vote, grp)),
+j AS (SELECT person, ok AND contested AS contested, CASE WHEN NOT ok THEN 'EXCLUDED' WHEN grp IS NULL THEN 'NO_GROUP' WHEN said = 'TYHJAA' THEN 'NON_SUBSTANTIVE' WHEN f + a < 2 THEN 'TOO_FEW_PEERS' WHEN f = a THEN 'TIE' WHEN (said = 'JAA') = (f > a) THEN 'MATCH' ELSE 'DIFFER' END AS state FROM g),
+p AS (SELECT person, count(*) FILTER (state = 'MATCH') AS n_match, count(*) FILTER (state = 'DIFFER') AS n_differ, count(*) FILTER (state = 'TIE') AS n_tie, count(*) FILTER (state = 'TOO_FEW_PEERS') AS n_too_few_peers, count(*) FILTER (state = 'NON_SUBSTANTIVE') AS n_non_substantive,
+ count(*) FILTER (state = 'NO_GROUP') AS n_no_group, count(*) FILTER (state = 'EXCLUDED') AS n_excluded, count(*) FILTER (state = 'MATCH' AND contested) AS contested_match, count(*) FILTER (state = 'DIFFER' AND contested) AS contested_differ, count(*) AS n FROM j GROUP BY 1)
+SELECT * EXCLUDE (n), round(n_match / nullif(n_match + n_differ, 0), 6) AS agreement, round(contested_match / nullif(contested_match + contested_differ, 0), 6) AS contested_agreement,
+ CASE WHEN n_match + n_differ > 0 THEN 'COMPARABLE' WHEN n_excluded = n THEN 'NO_VALID_SOURCE' ELSE 'NOT_COMPARABLE' END AS status FROM p""")
+def valid_source_agreement(spark, d):
+    """Each person's agreement with the own group, over sources that hold: none that is void, unreconciled or has a person twice."""
+    seats = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("person"), F.when(F.col("s_suppkey") % 13 != 0, F.col("n_regionkey")).alias("grp"))
+    raw = F.when(F.col("l_returnflag") == "N", "jaa").when(F.col("l_returnflag") == "R", " EI").otherwise("tyhjää")
+    ballots = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("vote"), F.col("l_suppkey").alias("person"), B.response(raw).alias("said")).join(seats, "person")
+    seen = B.observed(ballots, "vote", "person", "said")
+    total = F.col("JAA") + F.col("EI") + F.col("TYHJAA") + F.col("POISSA")
+    votes = seen.select("vote", F.lit("2000-01-01").cast("date").alias("day"), (F.col("vote") % 31 == 0).alias("void"), F.col("JAA").alias("published_JAA"), (F.col("EI") + F.when(F.col("vote") % 41 == 0, 1).otherwise(0)).alias("published_EI"), F.col("TYHJAA").alias("published_TYHJAA"), F.col("POISSA").alias("published_POISSA"), total.alias("published_TOTAL"))
+    return B.person_summary(ballots, B.diagnosed(votes, seen, "vote", "2001-01-01"), vote="vote", person="person", group="grp", response="said")
+
+
 _NUMBERED = "e AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM events)"
 
 

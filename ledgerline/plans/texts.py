@@ -9,7 +9,7 @@ from ledgerline.functions import text as T
 from ledgerline.plans.registry import query, table
 
 _STRIP = "regexp_replace(regexp_replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'), '^ | $', '', 'g')"
-_CLEAN = f"replace(replace(replace(replace({_STRIP}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+_CLEAN = r"regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '[\s\pZ\x{{85}}]+', ' ', 'g'), '^ | $', '', 'g')"
 
 
 @query(f"SELECT page_id, sha256(x) AS text_sha256, length(x) AS n_chars FROM (SELECT page_id, {_CLEAN.format('html')} AS x FROM pages)")

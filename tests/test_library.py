@@ -188,3 +188,22 @@ def test_f1_counts_classes_that_never_occur(spark):
     got = {r["class"]: (r["tp"], r["fp"], r["fn"], r["f1"]) for r in M.classification(pairs, [0, 1, 2]).collect()}
     assert got == {0: (0, 1, 1, 0.0), 1: (1, 0, 1, 0.666667), 2: (0, 0, 0, 0.0)}
     assert M.classification(pairs.limit(0), [5]).collect()[0]["f1"] == 0.0
+
+
+def test_sources_with_duplicates_judge_nobody(spark):
+    rows = [("v1", p, g, s) for p, g, s in [("a", "x", "JAA"), ("b", "x", "JAA"), ("c", "x", "JAA"), ("d", "x", "EI"), ("e", None, "JAA"), ("f", "y", "EI")]]
+    rows += [("v2", p, "x", s) for p, s in [("a", "JAA"), ("b", "JAA"), ("c", "JAA"), ("c", "EI")]] + [("v3", p, "x", s) for p, s in [("a", "EI"), ("b", "JAA"), ("d", "EI"), ("c", "JAA")]] + [("v9", "z", "x", "JAA")]
+    ballots = spark.createDataFrame(rows, "vote string, person string, grp string, said string")
+    seen = B.observed(ballots, "vote", "person", "said")
+    votes = seen.filter("vote <> 'v9'").select("vote", F.lit("2020-01-01").cast("date").alias("day"), F.lit(False).alias("void"), *(F.col(r).alias(f"published_{r}") for r in B.RESPONSES), F.col("rows").alias("published_TOTAL"))
+    got = {r["person"]: r.asDict() for r in B.person_summary(ballots, B.diagnosed(votes, seen, "vote", "2025-01-01"), vote="vote", person="person", group="grp", response="said").collect()}
+    assert (got["a"]["n_match"], got["a"]["n_differ"], got["a"]["n_tie"], got["a"]["n_excluded"]) == (1, 1, 0, 1)  # v3: one EI and two JAA among the others
+    assert got["c"]["n_excluded"] == 2 and got["d"]["n_differ"] == 2 and got["e"]["n_no_group"] == 1 and got["f"]["n_too_few_peers"] == 1
+    assert (got["a"]["status"], got["f"]["status"], got["z"]["status"]) == ("COMPARABLE", "NOT_COMPARABLE", "NO_VALID_SOURCE")
+    assert got["a"]["agreement"] == 0.5 and got["a"]["contested_agreement"] == 0.5 and got["z"]["agreement"] is None
+
+
+def test_html_is_decoded_before_white_space_goes(spark):
+    rows = [("<p>a&nbsp;&nbsp; b</p>", "a b"), ("&amp;lt;", "<"), ("x \n y &quot;", "x y &quot;"), ("", ""), ("<>", "<>")]
+    got = spark.createDataFrame([(k, h) for k, (h, _) in enumerate(rows)], "k int, h string").orderBy("k").select(T.clean_html(F.col("h")).alias("t")).collect()
+    assert [r["t"] for r in got] == [t for _, t in rows]

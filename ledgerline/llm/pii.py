@@ -2,8 +2,11 @@
 
 Base spans come from four patterns. Their forms here are possessive and anchored to the start of a run where that gives
 the same matches, so that long runs cost linear time and no stack. Candidates for further spans (keys, identity and bank
-numbers, telephone numbers without a plus) are put before labelers: two look at the shape by regex, one looks for cue
-words of a gazetteer, two look at the surrounding characters, each voting yes, no or nothing. Votes are counted by
+numbers, telephone numbers without a plus) are put before five labelers, each voting yes, no or nothing: does the number
+hold by its kind's own rules (known prefixes and hexadecimal keys, areas and groups that are given out, the check digits of bank
+numbers, exchange codes); is there a cue word of its kind before it, or one that announces another thing (versions, orders, parts);
+does an assignment or a path stand before it; does its make-up fit (digits and letters in turn, a country that has such bank
+numbers and their length, one kind of separator); is it set apart from its surroundings. Votes are counted by
 pattern over all documents (at most 3**5 patterns). Expectation maximisation over these counts estimates how reliable
 each labeler is and how likely each pattern means personal data. These likelihoods are soft labels for the final
 classifier, a naive Bayes model over span features in hashed buckets, summed over all candidates of the corpus. What it
@@ -40,9 +43,20 @@ MORE = {
     "tel": (r"(?<![A-Za-z0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", "[0-9]"),
 }
 KINDS = [*BASE, *MORE]
-#: Words that announce personal data or secrets.
-CUES = "password|passwd|pwd|token|secret|api|key|credential|auth|ssn|social security|iban|account|phone|tel|call|mobile|fax|contact"
-LABELERS, BUCKETS, FEATURES, ROUNDS = 5, 256, 6, 25
+#: Gazetteers: words that announce a kind, in the languages of the corpus, and words that announce something else.
+CUES = {
+    "key": "password|passwd|pwd|passphrase|token|secret|api|key|apikey|credential|credentials|auth|authorization|bearer|passwort|kennwort|motdepasse|passe|contraseña|clave|session|signature|access",
+    "idnum": "ssn|social security|social|security|tax id|tin|itin|identity|national id|id number|identification|ausweis|steuer|sécurité sociale|nir|dni|seguridad social",
+    "iban": "iban|account|acct|bank|bic|konto|kontonummer|bankverbindung|compte|bancaire|virement|cuenta|transferencia|überweisung|wire|payment|beneficiary",
+    "tel": "tel|telephone|phone|call|mobile|cell|fax|contact|dial|sms|telefon|handy|anruf|rufnummer|téléphone|portable|appelez|teléfono|móvil|llame|whatsapp|hotline",
+}
+OTHER = "version|release|build|order|invoice|part|model|serial|sku|isbn|issn|page|pages|section|chapter|figure|table|room|article|commit|revision|bestellung|rechnung|facture|commande|pedido|factura|seite|página"
+#: Countries with international bank numbers, and how long these are.
+BANKS = {
+    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26,
+    "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
+}
+LABELERS, BUCKETS, FEATURES, ROUNDS = 5, 256, 7, 25
 #: Votes that each labeler is credited with in advance, and how often they are right.
 PRIOR_VOTES, HONEST = 16, 0.75
 CONTEXT, CHUNK, ACCEPT = 24, 2048, 0.9
@@ -110,20 +124,52 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 2).when(no, 0).otherwise(1)
 
 
+def _checked(iban: Column) -> Column:
+    """Whether a bank number's remainder by 97 is 1, letters counting from 10 and the first four characters last."""
+    code = F.regexp_replace(iban, " ", "")
+    turned = F.concat(F.substr(code, F.lit(5), F.length(code)), F.substr(code, F.lit(1), F.lit(4)))
+
+    def step(rest: Column, c: Column) -> Column:
+        n = F.ascii(c)
+        return F.when(n < 65, (rest * 10 + n - 48) % 97).otherwise((rest * 100 + n - 55) % 97)
+
+    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step) == 1
+
+
+def _by_kind(kind: Column, votes: dict[str, Column]) -> Column:
+    return F.coalesce(*(F.when(kind == KINDS.index(k), v) for k, v in votes.items()))
+
+
 def _votes(kind: Column, match: Column, before: Column, after: Column) -> list[Column]:
     digits = F.length(_digits(match)) / F.length(match)
     changes = F.size(F.regexp_extract_all(match, F.lit("[0-9][A-Za-z]|[A-Za-z][0-9]"), F.lit(0)))
-    key = kind == KINDS.index("key")
+    code, low = F.regexp_replace(match, " ", ""), F.lower(before)
+    length = F.coalesce(*(F.when(F.substr(code, F.lit(1), F.lit(2)) == c, n) for c, n in BANKS.items()))
+    given = ~match.rlike("^(?:000|666|9)|-00-|-0000$")
+    one_separator = match.rlike(r"^(?:[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}|\([0-9]{3}\) [0-9]{3}-[0-9]{4})$")
+    all_of = "|".join(CUES.values())
+    cue = _by_kind(kind, {k: low.rlike(rf"(?:^|[^\p{{L}}])(?:{ws})[^\p{{L}}0-9]{{0,4}}(?:(?:no|nr|number|num|is|at|us|me|n°|est|ist|es)[^\p{{L}}0-9]{{0,4}}){{0,2}}$") for k, ws in CUES.items()})
     return [
-        _vote(match.rlike("^(?:AKIA|ASIA|ghp_|sk_|xox)[A-Za-z0-9_]{12,}$|^(?=.{0,63}[a-f])(?=.{0,63}[0-9])[0-9a-f]{16,64}$") | ~key, match.rlike("[a-z]{12}")),
-        _vote(F.lower(before).rlike(f"(?:^|[^a-z])(?:{CUES})[^a-z0-9]*$"), F.lit(False)),
+        _by_kind(kind, {
+            "key": _vote(match.rlike("^(?:AKIA|ASIA|ghp_|sk_|xox)[A-Za-z0-9_]{12,}$|^(?=.{0,63}[a-f])(?=.{0,63}[0-9])[0-9a-f]{16,64}$"), match.rlike("[a-z]{12}")),
+            "idnum": _vote(given, ~given),
+            "iban": F.when(_checked(match), 2).otherwise(0),
+            "tel": _vote(match.rlike(r"^\(?[2-9][0-9]{2}\)?[ .-][2-9]"), match.rlike(r"^\(?[01]|^\(?[0-9]{3}\)?[ .-][01]")),
+        }),
+        _vote(cue, low.rlike(rf"(?:^|[^\p{{L}}])(?:{OTHER})[^\p{{L}}0-9]{{0,4}}$")),
         _vote(before.rlike(r"[=:]\s*[\"']?$"), before.rlike(r"[/.\\]$")),
-        _vote(digits.between(0.1, 0.9) & (changes >= 3) | ~key & (digits > 0.6), changes < 2),
+        _by_kind(kind, {
+            "key": _vote(digits.between(0.1, 0.9) & (changes >= 3), changes < 2),
+            "idnum": _vote(low.rlike(f"(?:{all_of})"), F.size(F.array_distinct(F.split(_digits(match), ""))) < 4),
+            "iban": _vote(F.coalesce(length == F.length(code), F.lit(False)), length.isNull() | (length != F.length(code))),
+            "tel": _vote(one_separator, ~one_separator),
+        }),
         _vote(after.rlike(r"^[\s\"'.,;)]|^$") & before.rlike(r"[\s=:\"'(]$|^$"), after.rlike("^[A-Za-z0-9]") | after.rlike(r"^[/\\@]")),
-    ]
+    ]
 
 
-def _features(kind: Column, match: Column, before: Column, after: Column) -> list[Column]:
+def _features(kind: Column, match: Column, before: Column, after: Column, held: Column, made: Column) -> list[Column]:
+    """What the classifier sees; ``held`` and ``made`` are the votes on the number's own rules and make-up."""
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.substr(match, F.lit(1), F.lit(12)), "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "9")
     return [
         kind.cast("string"),
@@ -132,6 +178,7 @@ def _features(kind: Column, match: Column, before: Column, after: Column) -> lis
         F.concat_ws(":", kind, shape),
         F.concat_ws(":", kind, F.substr(before, F.greatest(F.length(before), F.lit(1)), F.lit(1)), F.substr(after, F.lit(1), F.lit(1))),
         F.lower(F.regexp_extract(before, r"([A-Za-z]+)[^A-Za-z]*$", 1)),
+        F.concat_ws(":", kind, held, made),
     ]
 
 
@@ -142,8 +189,9 @@ def candidates(text: Column, base: Column) -> Column:
     def judged(x: Column) -> Column:
         before = F.substr(text, F.greatest(x["s"] - CONTEXT + 1, F.lit(1)), F.least(x["s"], F.lit(CONTEXT)))
         after = F.substr(text, x["e"] + 1, F.lit(2))
-        codes = [(F.pmod(F.xxhash64(f), F.lit(BUCKETS)) + i * BUCKETS).cast("int") for i, f in enumerate(_features(x["k"], x["m"], before, after))]
-        return F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.array(*_votes(x["k"], x["m"], before, after)).alias("votes"), F.array(*codes).alias("features"))
+        votes = _votes(x["k"], x["m"], before, after)
+        codes = [(F.pmod(F.xxhash64(f), F.lit(BUCKETS)) + i * BUCKETS).cast("int") for i, f in enumerate(_features(x["k"], x["m"], before, after, votes[0], votes[3]))]
+        return F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.array(*votes).alias("votes"), F.array(*codes).alias("features"))
 
     free = F.filter(F.concat(*(_found(text, kind) for kind in MORE)), lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     return F.transform(free, judged)

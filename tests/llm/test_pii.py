@@ -1,6 +1,7 @@
 """Base spans against Python's re, the added spans on planted keys, redaction against slices."""
 
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -74,3 +75,47 @@ def test_redaction(spark):
                 want += (t or "")[at:s] + f"<{P.KINDS[k].upper()}>"
             at = max(at, e)
         assert got[i]["text"] == (None if t is None else want + t[at:]) and got[i]["doc"] == 5
+
+
+def bank_number(rng, country="DE"):
+    body = "".join(rng.choice("0123456789") for _ in range(P.BANKS[country] - 4))
+    turned = "".join(str(int(c, 36)) for c in body + country + "00")
+    return f"{country}{98 - int(turned) % 97:02d}{body}"
+
+
+def planted_numbers(rng, n=40):
+    """Texts with one number each: (text, the number or None if it is none)."""
+    word = lambda: rng.choice("the house of a green river runs by old stone walls and no one knows why".split())
+    line = lambda: " ".join(word() for _ in range(8))
+    digits = lambda k, first="0123456789": rng.choice(first) + "".join(rng.choice("0123456789") for _ in range(k - 1))
+    out = []
+    for k in range(n):
+        iban = bank_number(rng, rng.choice(["DE", "FI", "FR", "NL"]))
+        spaced = " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))
+        bad = iban[:2] + f"{(int(iban[2:4]) + 5) % 90 + 5:02d}" + iban[4:]
+        ssn, tel = f"{digits(3, '12345')}-{digits(2, '1234')}-{digits(4, '123')}", f"{digits(3, '23456789')}{'-'}{digits(3, '23456789')}-{digits(4)}"
+        for cue, good in (("IBAN: ", rng.choice([iban, spaced])), ("SSN: ", ssn), ("phone: ", tel), ("password = ", "".join(rng.choice("0123456789abcdef") for _ in range(32)))):
+            out.append((f"{line()} {cue}{good} {line()}", good))
+        for cue, other in (("part ", bad), ("order ", f"000-00-{digits(4)}"), ("version ", f"{digits(3, '01')}.{digits(3, '01')}.{digits(4)}"), ("page /", "averylonglowercasename1234567")):
+            out.append((f"{line()} {cue}{other} {line()}", None))
+    return out
+
+
+def test_planted_numbers_of_all_kinds(spark):
+    rng = random.Random(12)
+    made = planted_numbers(rng)
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(made)], "doc_id long, text string")
+    found = {r["doc_id"]: [made[r["doc_id"]][0][x["s"] : x["e"]] for x in r["spans"]] for r in P.pii_spans(df).collect()}
+    for kind, name in enumerate(("iban", "idnum", "tel", "key")):
+        good = [k for k in range(len(made)) if k % 8 == kind]
+        assert sum(made[k][1] in found[k] for k in good) >= 0.9 * len(good), name
+    wrong = [k for k in range(len(made)) if made[k][1] is None]
+    assert sum(bool(found[k]) for k in wrong) <= 0.1 * len(wrong)
+
+
+def test_check_digits(spark):
+    rng = random.Random(2)
+    good = [bank_number(rng, c) for c in P.BANKS] + ["GB82 WEST 1234 5698 7654 32"]
+    rows = [(x, True) for x in good] + [(x[:-1] + str((int(x[-1]) + 1) % 10), False) for x in good]
+    got = spark.createDataFrame(rows, "x string, ok boolean").select("ok", P._checked(F.col("x")).alias("c")).collect()
+    assert all(r["ok"] == r["c"] for r in got)

@@ -5,9 +5,10 @@ most pairs differ in more bits than a trie walk can allow (README has the figure
 times ROWS minima of hashed shingles, one bucket a band. A pair at similarity s shares none with probability
 (1 - s**ROWS)**BANDS, below 1 in 10,000 at 0.8. Every link is decided by the exact Jaccard similarity of both sets. Each text is
 first compared with the smallest head of its buckets, so a text makes one pair; then with the heads of those buckets whose
-group it hasn't joined. Members of buckets that still hold several groups are joined by prefixes: of sets of n shingles, in
-one order of all shingles, two at the limit L share one of the larger set's first n - ceil(L n) + 1 that is also one of the smaller
-set's first n - ceil(2 L n / (1 + L)) + 1. The order takes rare shingles first, as a sketch of fixed size counts them, so texts that share a frequent passage and little more make no pairs. So a large group
+group it hasn't joined. Members of buckets that still hold several groups are joined by prefixes: in one order of all shingles,
+two sets of n and m at the limit L have a first shingle in common, and from there on each must have L (n + m) / (1 + L) left; so both
+have it among their first n - ceil(L n) + 1. The order takes rare shingles first, as a sketch of fixed size counts them, so
+texts that share a frequent passage and little more make no pairs. So a large group
 of copies, or of texts just below the limit, costs no square of its size, and no link of a bucket is left out.
 
 Shingles are of lower-case (ASCII) words between white space; a text of fewer words is one shingle. Null texts and texts
@@ -169,20 +170,18 @@ def _across(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             for row, root, size, grams in zip(*(batch.column(c) for c in ("row", "root", "size", "grams")), strict=True):
                 h = grams.values.to_numpy()
                 n = counts[h & (SKETCH - 1)]
-                longest, own = (len(h) - int(np.ceil(part * len(h) - 1e-9)) + 1 for part in (similarity, 2 * similarity / (1 + similarity)))
-                first = np.lexsort((h, n))[:longest]
-                short = np.arange(len(first)) < own
-                some = n[first] > 1
-                k = int(some.sum())
-                one = lambda x, k=k: pa.array(np.full(k, x.as_py(), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(h[first][some]), pa.array(short[some]), one(row), one(root), one(size)], names=["gram", "short", "rep", "root", "size"])
-
-    posts = members.mapInArrow(run, "gram long, short boolean, rep long, root long, size long")
+                first = np.lexsort((h, n))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
+                some = np.flatnonzero(n[first] > 1)
+                one = lambda x, k=len(some): pa.array(np.full(k, x.as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(h[first][some]), pa.array(some), one(row), one(root), one(size)], names=["gram", "place", "rep", "root", "size"])
+
+    posts = members.mapInArrow(run, "gram long, place long, rep long, root long, size long")
     shared = posts.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("gram")
     posts = saved(posts.join(shared, "gram", "left_semi"), "prefixes")
-    other = posts.toDF("gram", "sb", "y", "rb", "nb")
-    near = (F.least("size", "nb") >= similarity * F.greatest("size", "nb") - 1e-9) & F.when(F.col("size") <= F.col("nb"), F.col("short")).otherwise(F.col("sb"))
-    both = posts.join(other, "gram").filter((F.col("root") < F.col("rb")) & near)
+    other = posts.toDF("gram", "pb", "y", "rb", "nb")
+    # what two sets have in common from their first common shingle on is at most what either has left there
+    enough = F.least(F.col("size") - F.col("place"), F.col("nb") - F.col("pb")) >= similarity / (1 + similarity) * (F.col("size") + F.col("nb")) - 1e-9
+    both = posts.join(other, "gram").filter((F.col("root") < F.col("rb")) & enough)
     return both.select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b"))
 
 

@@ -22,6 +22,23 @@ def retrieved(documents: DataFrame, queries: DataFrame, *, top: int, scope: list
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
 
 
+def holding(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """``query_id, doc_id`` of the documents (doc_id, text) whose text holds a passage (query_id, passage).
+
+    A passage's words between its first and last blank stand whole in every text that holds it; documents are looked up by
+    the one that the fewest of them have, and searched only then. Passages of fewer words are searched in all documents."""
+    words = documents.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    pieces = F.split("passage", " ")
+    asked = passages.withColumn("words", F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))))
+    inner = asked.select("query_id", F.explode(F.array_distinct("words")).alias("word"))
+    posts = words.join(inner.select("word").distinct(), "word", "left_semi")
+    often = posts.groupBy("word").agg(F.count("*").alias("n"))
+    rarest = inner.join(often, "word", "left").groupBy("query_id").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    met = rarest.join(posts, "word").join(passages, "query_id").join(documents, "doc_id").filter(F.contains("text", "passage")).select("query_id", "doc_id")
+    short = asked.filter(F.size("words") == 0)
+    return met.union(documents.join(short, F.contains("text", "passage")).select("query_id", "doc_id"))
+
+
 def recall_at(ranked: DataFrame, relevant: DataFrame, ks: list[int]) -> DataFrame:
     """``k, n_relevant, n_found, recall`` over all pairs of ``relevant`` (query_id, doc_id)."""
     both = relevant.select("query_id", "doc_id").distinct().join(ranked.select("query_id", "doc_id", "rank"), ["query_id", "doc_id"], "left")

@@ -37,7 +37,7 @@ SELECT first, second, n FROM (SELECT a.p AS first, b.p AS second, count(*) AS n
 def co_occurrence_in_groups(spark, d):
     """Suppliers together in orders of 2 to 50 suppliers that share no part sold at the highest discount."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_discount")
-    known = R.pairs_by_key(lines.filter("l_discount > 0.095"), "l_partkey", "l_suppkey", salts=2).select("first", "second")
+    known = R.pairs_by_key(lines.filter("l_discount > 0.095"), "l_partkey", "l_suppkey").select("first", "second")
     return R.in_groups_of(lines, "l_orderkey", "l_suppkey", 2, 50).join(known, ["first", "second"], "left_anti")
 
 

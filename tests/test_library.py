@@ -141,8 +141,9 @@ def test_allocation_leaves_children_without_parents(spark):
     parents = spark.createDataFrame([(1, 100.0), (2, 10.0)], "k int, amount double")
     got = {r["c"]: r["share"] for r in R.allocated(children, parents, "k", "amount", "w").collect()}
     assert got == {"a": 60.0, "b": 20.0, "c": 20.0, "d": 9.0, "e": 4.0, "f": None}
-    pairs = R.pairs_by_key(children, "k", "c", salts=3).collect()
-    assert sorted((r["first"], r["second"], r["n"]) for r in pairs) == [("a", "b", 1), ("a", "c", 1), ("b", "c", 1), ("d", "e", 1)]
+    for tile in (1, 2, 512):
+        pairs = R.pairs_by_key(children, "k", "c", tile=tile).collect()
+        assert sorted((r["first"], r["second"], r["n"]) for r in pairs) == [("a", "b", 1), ("a", "c", 1), ("b", "c", 1), ("d", "e", 1)]
 
 
 def test_readers_keep_errors_and_replace_partitions(spark):

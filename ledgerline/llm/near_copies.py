@@ -6,8 +6,8 @@ times ROWS minima of hashed shingles, one bucket a band. A pair at similarity s
 (1 - s**ROWS)**BANDS, below 1 in 10,000 at 0.8. Every link is decided by the exact Jaccard similarity of both sets. Each text is
 first compared with the smallest head of its buckets, so a text makes one pair; then with the heads of those buckets whose
 group it hasn't joined. Members of buckets that still hold several groups are joined by prefixes: in one order of all shingles,
-two sets of n and m at the limit L have a first shingle in common, and from there on each must have L (n + m) / (1 + L) left; so both
-have it among their first n - ceil(L n) + 1. The order takes rare shingles first, as a sketch of fixed size counts them, so
+two sets of n and m at the limit L have L (n + m) / (1 + L) in common; from the k-th of these on each must have all but k - 1 of
+them left, so both have the first COMMON among their first n - ceil(L n) + COMMON. The order takes rare shingles first, as a sketch of fixed size counts them, so
 texts that share a frequent passage and little more make no pairs. So a large group
 of copies, or of texts just below the limit, costs no square of its size, and no link of a bucket is left out.
 
@@ -33,6 +33,8 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 FP_SHINGLE, FP_BUDGET = 5, 2
 #: Partners of a text that are compared in one task; rows of a bucket of the stored sets; counters of the sketch.
 SHARE, SET_ROWS, SKETCH = 256, 20_000, 1 << 21
+#: Shingles that a pair's prefixes must have in common.
+COMMON = 3
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -170,7 +172,7 @@ def _across(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             for row, root, size, grams in zip(*(batch.column(c) for c in ("row", "root", "size", "grams")), strict=True):
                 h = grams.values.to_numpy()
                 n = counts[h & (SKETCH - 1)]
-                first = np.lexsort((h, n))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
+                first = np.lexsort((h, n))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + COMMON]
                 some = np.flatnonzero(n[first] > 1)
                 one = lambda x, k=len(some): pa.array(np.full(k, x.as_py(), np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(h[first][some]), pa.array(some), one(row), one(root), one(size)], names=["gram", "place", "rep", "root", "size"])
@@ -179,10 +181,12 @@ def _across(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     shared = posts.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("gram")
     posts = saved(posts.join(shared, "gram", "left_semi"), "prefixes")
     other = posts.toDF("gram", "pb", "y", "rb", "nb")
-    # what two sets have in common from their first common shingle on is at most what either has left there
-    enough = F.least(F.col("size") - F.col("place"), F.col("nb") - F.col("pb")) >= similarity / (1 + similarity) * (F.col("size") + F.col("nb")) - 1e-9
+    need = similarity / (1 + similarity) * (F.col("size") + F.col("nb")) - 1e-9
+    # what two sets have in common from their k-th common shingle on is at most what either has left there
+    enough = F.least(F.col("size") - F.col("place"), F.col("nb") - F.col("pb")) >= need - (COMMON - 1)
     both = posts.join(other, "gram").filter((F.col("root") < F.col("rb")) & enough)
-    return both.select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b"))
+    pairs = both.groupBy(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b")).agg(F.count("*").alias("n"), F.min(F.ceil(need)).alias("need"))
+    return pairs.filter(F.col("n") >= F.least(F.lit(COMMON), "need")).select("a", "b")
 
 
 def groups(stored: Numbered, *, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 import random
 import tempfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,6 +147,18 @@ def test_allocation_leaves_children_without_parents(spark):
         assert sorted((r["first"], r["second"], r["n"]) for r in pairs) == [("a", "b", 1), ("a", "c", 1), ("b", "c", 1), ("d", "e", 1)]
 
 
+def test_pairs_in_blocks_are_those_by_key(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice((None, *range(7))), rng.choice((None, *"abcdefghijklmnopq"))) for _ in range(150)]
+    df = spark.createDataFrame(rows, "k int, c string")
+    members = {k: {c for j, c in rows if j == k and c is not None} for k, _ in rows if k is not None}
+    want = Counter((a, b) for ms in members.values() for a in ms for b in ms if a < b)
+    for block, least in ((1, 1), (3, 2), (4096, 1)):
+        got = R.pairs_in_blocks(df, "k", "c", least=least, block=block)
+        assert sorted((r["first"], r["second"], r["n"]) for r in got.collect()) == sorted((*p, n) for p, n in want.items() if n >= least)
+    assert R.pairs_in_blocks(df.limit(0), "k", "c").count() == 0
+
+
 def test_readers_keep_errors_and_replace_partitions(spark):
     path = folder()
     spark.createDataFrame([('{"a": 1, "b": "x"}',), ("",), ("{oops",), ('{"a": "no"}',), ('{"b": null}',)], "value string").coalesce(1).write.text(path)

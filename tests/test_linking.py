@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerline.operators import assignment as A
+from ledgerline.operators import blocks
 from ledgerline.operators import temporal as N
 from ledgerline.operators import vectors as V
 
@@ -104,6 +106,33 @@ def test_similar_rows(spark):
         assert got == want
 
 
+def test_similar_rows_in_many_blocks(spark):
+    """Every row has the two words that are in all others, so every two rows are candidates; several blocks a side, a null key."""
+    rng = random.Random(9)
+    side = lambda: [(k, rng.choice(("x", "y", None)), ["all", "both", *(rng.choice("abcdefghijkl") for _ in range(rng.randrange(5)))]) for k in range(50)]
+    left, right = side(), side()
+    frame = lambda rows: spark.createDataFrame(rows, "id long, grp string, words array<string>")
+    alike = lambda x, y: len(set(x) & set(y)) >= 0.5 * len(set(x) | set(y))
+    want = {(g, a, b) for a, g, x in left for b, h, y in right if g is not None and g == h and alike(x, y)}
+    got = A.similar_rows(frame(left), frame(right), keys=["grp"], id_col="id", tokens="words", least=0.5, block=7)
+    assert "block" in A.similar_rows.__kwdefaults__ and sorted(tuple(r)[:3] for r in got.collect()) == sorted(want)
+
+
+def test_common_counts_frequent_and_rare_keys(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [rng.random((n, 60)) < rng.random(60) ** 3 for n in (31, 45)]
+    for n, m in ((1, 10), (0, 7), (10**9, 1 << 22)):
+        monkeypatch.setattr(blocks, "WORTH", n)
+        monkeypatch.setattr(blocks, "PAIRS", m)
+        sides = []
+        for held in sets:
+            rows, keys = np.nonzero(held)
+            ms, ks, ends, places = blocks.packed(pa.chunked_array([rows]), pa.chunked_array([keys]))
+            sides.append((ms.to_numpy(), blocks.Block(pa.array([{"ms": ms.to_pylist(), "ks": ks.to_pylist(), "ends": ends, "places": places}])[0])))
+        (a, one), (b, two) = sides
+        assert (blocks.common(one, two) == sets[0][a].astype(int) @ sets[1][b].astype(int).T).all()
+
+
 def test_batches_of_one_chain(spark, monkeypatch):
     monkeypatch.setattr(A, "STRETCH", 16)
     rng = random.Random(1)

@@ -1,7 +1,7 @@
 """Clauses of impact assessments that admit, defer or hedge, and rule detectors over bills.
 
 All patterns go over a text in the JVM. The clause patterns are one alternation, so at a place the first that matches wins and
-matches don't overlap; texts without any of the patterns' fixed stems are passed over by plain search before. Which pattern a hit
+matches don't overlap. Which pattern a hit
 belongs to is told from the hit alone: an earlier one that could match it would have won. The detectors share one profile:
 each text is counted once for all vocabularies, counts are summed by bill, joined with the bill's claims, and every detector is an
 expression over that row."""
@@ -119,12 +119,6 @@ DOMAINS = [
     (r"makeisvero|virvoitusjuomavero|valmistevero.*elintarvike", "Valtiovarainvaliokunta"),
 ]
 
-#: Of each clause pattern one stem that all its matches have, in lower case.
-STEMS = (
-    "arvioida", "arvioimaan", "haastava", "voida", "ennakoida", "mittaluokkaa", "epävarmuu", "epävarma", "luotettavuus", "puutteellinen", "riippu", "arvioitu", "tunnistamaan", "huomioitu",
-    "huomioiduksi", "rekisteri", "riittävästi", "lukumäärää", "erikseen", "asetuksella", "tarkempia", "myöhemmin", "jatkovalmistel", "erillisellä", "päivitetään", "suuntaa", "karkeasti",
-    "arviolta", "suuruusluokaltaan", "pyritään", "tavoitteena", "mahdollisuuksien", "mahdollistaa", "tekemättömistä",
-)
 RUNS = [(kind, "|".join(p for *_, p in run)) for kind, run in groupby(CLAUSES, key=lambda c: c[:2])]
 ANY = "(?iU)" + "|".join(f"(?:{p})" for *_, p in CLAUSES)
 
@@ -142,18 +136,10 @@ def spots(text: Column, pattern: str) -> Column:
     return F.aggregate(pieces, start, step, lambda s: s["found"])
 
 
-def may_have_clauses(text: Column) -> Column:
-    low = F.lower(text)
-    out = F.lit(False)
-    for stem in STEMS:
-        out = out | F.contains(low, F.lit(stem))
-    return out
-
-
 def clauses(texts: DataFrame, *, id_col: str, text_col: str, reach: int = 60) -> DataFrame:
     """``id, at, category, subtype, said, context`` of every clause; the context has ``reach`` characters on either side."""
     text = F.col(text_col)
-    found = texts.filter(may_have_clauses(text)).select(F.col(id_col), text.alias("_text"), F.explode(spots(text, ANY)).alias("x"))
+    found = texts.filter(text.isNotNull()).select(F.col(id_col), text.alias("_text"), F.explode(spots(text, ANY)).alias("x"))
     kind = F.coalesce(*(F.when(F.col("x.hit").rlike(f"(?iU)^(?:{p})$"), F.struct(F.lit(c).alias("category"), F.lit(s).alias("subtype"))) for (c, s), p in RUNS))
     first = F.greatest(F.col("x.at") - reach, F.lit(0))
     context = F.trim(F.replace(F.substring("_text", first + 1, F.col("x.at") + F.length("x.hit") + reach - first), F.lit("\n"), F.lit(" ")))
@@ -211,7 +197,7 @@ def profile(atoms: DataFrame, years: DataFrame) -> DataFrame:
     text, low = F.col("text"), F.lower("text")
     impact = F.col("part") == "IMPACT"
     only = lambda c: F.when(impact, c)
-    hits = F.when(impact & may_have_clauses(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    hits = F.when(impact, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     kinds = {c: "|".join(p for k, _, p in CLAUSES if k == c) for c in ("confession", "deferral", "escape")}
     kind = F.transform(hits, lambda h: F.coalesce(*(F.when(h.rlike(f"(?iU)^(?:{p})$"), c) for c, p in kinds.items())))
     row = atoms.filter("text IS NOT NULL").join(years, "bill").select(

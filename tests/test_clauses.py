@@ -80,3 +80,9 @@ def test_detectors_by_hand(spark):
 
 def test_all_detectors_are_met(spark, sf_dir):
     assert {r["detector"] for r in catalog.QUERIES["bill_detectors"](spark, sf_dir).select("detector").distinct().collect()} >= {"sign_cross", "confession_proceed", "static_fiscal", "impl_zero", "epistemic_buffer", "stale_data", "frozen_parameter", "juridical_shield", "domain_committee_mismatch"}
+
+
+def test_clauses_with_letters_that_only_fold_alike(spark):
+    """A long s is an s to a pattern that ignores case, but no plain search for stems finds it."""
+    texts = spark.createDataFrame([(1, "Tästä säädetään erikſeen."), (2, None), (3, "Ei mitään")], "id long, text string")
+    assert [(r["id"], r["at"], r["said"]) for r in C.clauses(texts, id_col="id", text_col="text").collect()] == [(1, 6, "säädetään erikſeen")]

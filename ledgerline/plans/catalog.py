@@ -9,6 +9,7 @@ from ledgerline.functions import text as T
 from ledgerline.operators import ballots as B
 from ledgerline.operators import graphs as G
 from ledgerline.operators import intervals as I
+from ledgerline.operators import rollups as R
 from ledgerline.plans.registry import ORACLES, QUERIES, cents, query, table  # noqa: F401
 
 def _ballots(spark: SparkSession, d: str) -> DataFrame:
@@ -90,9 +91,7 @@ def rollup_conditional_counts(spark, d):
 @query("""WITH s AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS p FROM lineitem) SELECT a.p AS first, b.p AS second, count(*) AS n FROM s a JOIN s b ON a.k = b.k AND a.p < b.p GROUP BY 1, 2 HAVING count(*) >= 2""")
 def co_occurrence_pairs(spark, d):
     # pairs are made from each order's own small array, so the lines are shuffled once and not joined with themselves
-    of_order = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("ps"))
-    pairs = of_order.select(F.posexplode("ps").alias("i", "first"), "ps").select("first", F.explode(F.slice("ps", F.col("i") + 2, F.size("ps"))).alias("second"))
-    return pairs.groupBy("first", "second").agg(F.count("*").alias("n")).filter("n >= 2")
+    return R.in_groups_of(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey", 2, None).filter("n >= 2")
 
 
 @query("""SELECT l_partkey, round(sum(o_totalprice * l_extendedprice / total), 1) AS allocated FROM lineitem JOIN orders ON l_orderkey = o_orderkey

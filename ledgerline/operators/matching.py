@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.scratch import saved, spread
+
 
 def retrieved(documents: DataFrame, queries: DataFrame, *, top: int, scope: list[str] | None = None) -> DataFrame:
     """``query_id, doc_id, score, rank``: the ``top`` documents of each query by the summed weights ln(1 + N / df) of the tokens they
@@ -49,10 +51,13 @@ def recall_at(ranked: DataFrame, relevant: DataFrame, ks: list[int]) -> DataFram
 
 def similar_sets(rows: DataFrame, key: str, member: str, least: float) -> DataFrame:
     """Pairs ``first < second`` of keys whose sets of members have a Jaccard similarity of ``least`` or more, by counting shared
-    members from an inverted list; sets are never gathered."""
-    own = rows.select(F.col(key).alias("k"), F.col(member).alias("m")).distinct()
+    members from an inverted list; sets are never gathered. Pairs are dealt to tasks before they are counted."""
+    own = saved(spread(rows.select(F.col(key).alias("k"), F.col(member).alias("m")), rows.count(), "k", "m").distinct(), "members")
     size = own.groupBy("k").agg(F.count("*").alias("n"))
-    shared = own.select("m", F.col("k").alias("first")).join(own.select("m", F.col("k").alias("second")), "m").filter("first < second").groupBy("first", "second").agg(F.count("*").alias("both"))
+    dealt = spread(own.filter("m IS NOT NULL"), own.count(), "m")
+    pairs = dealt.select("m", F.col("k").alias("first")).join(dealt.select("m", F.col("k").alias("second")), "m").filter("first < second").select("first", "second")
+    n = own.filter("m IS NOT NULL").groupBy("m").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
+    shared = spread(pairs, int(n or 0), "first", "second").groupBy("first", "second").agg(F.count("*").alias("both"))
     sized = shared.join(size.select(F.col("k").alias("first"), F.col("n").alias("na")), "first").join(size.select(F.col("k").alias("second"), F.col("n").alias("nb")), "second")
     jaccard = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
     return sized.withColumn("jaccard", F.round(jaccard, 6)).filter(jaccard >= least).select("first", "second", "jaccard")

@@ -6,7 +6,11 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.operators import incremental as N
+from ledgerline.operators import intervals as I
+from ledgerline.operators import matching as M
 from ledgerline.operators import rollups as R
+from ledgerline.plans import catalog
 from ledgerline.scratch import spread
 
 
@@ -38,3 +42,43 @@ def test_pairs_by_key_in_tasks(spark, one_partition):
     rows = spark.createDataFrame([(k % 3, k) for k in range(60)], "k long, m long")
     got = R.pairs_by_key(rows, "k", "m", tile=8)
     assert got.count() == 3 * 190 and got.rdd.getNumPartitions() > 1
+
+
+def test_similar_sets_in_tasks(spark, one_partition):
+    sets = {k: {(k * j) % 13 for j in range(1, 6)} for k in range(1, 20)}
+    rows = spark.createDataFrame([(k, m) for k, ms in sets.items() for m in ms for _ in range(2)] + [(99, None)], "k long, m long")
+    got = M.similar_sets(rows, "k", "m", 0.4)
+    want = {(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.4}
+    assert {(r["first"], r["second"]) for r in got.collect()} == want and want
+    assert got.rdd.getNumPartitions() > 1
+
+
+def test_merged_intervals_in_tasks(spark, one_partition):
+    rows = [(k, a, a + (a * k) % 7) for k in range(9) for a in [0, 0, 3, 3, 9, 10, 10, 20, 26, 26, 33]]
+    want = []
+    for k in range(9):
+        runs = []
+        for _, a, b in sorted(r for r in rows if r[0] == k):
+            if runs and a <= runs[-1][2]:
+                runs[-1] = [k, runs[-1][1], max(runs[-1][2], b), runs[-1][3] + 1]
+            else:
+                runs.append([k, a, b, 1])
+        want += map(tuple, runs)
+    got = I.merged(spark.createDataFrame(rows, "k long, a long, b long"), "k", "a", "b")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert got.rdd.getNumPartitions() > 1
+
+
+def test_repaired_sets_in_tasks(spark, one_partition):
+    frame = lambda rows: spark.createDataFrame(rows, "g long, m long")
+    have = frame([(1, 1), (1, 1), (2, 1), (3, 1), (None, 4), (5, None)])
+    more = frame([(1, 2), (1, 2), (2, 2), (3, 1), (4, 7), (5, 1)])
+    expected = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 1)], "g long, n long")
+    got = N.repaired(have, more, "g", "m", expected)
+    assert Counter(tuple(r) for r in got.collect()) == Counter([(1, 1), (1, 1), (1, 2), (2, 1), (3, 1), (None, 4), (4, 7), (5, None), (5, 1)])
+    assert got.rdd.getNumPartitions() > 1
+
+
+def test_agreement_judges_in_tasks(spark, sf_dir, one_partition):
+    plan = catalog.QUERIES["valid_source_agreement"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.scratch import spread
+
 
 def stale(keys: DataFrame, stamps: DataFrame, on: list[str], version: str) -> DataFrame:
     """The ``keys`` without a stamp of this version."""
@@ -31,12 +33,14 @@ def restored(new: DataFrame, old: DataFrame, key: str, hashed: str, column: str)
 
 def repaired(have: DataFrame, more: DataFrame, group: str, member: str, expected: DataFrame) -> DataFrame:
     """Rows of ``have``, and those of ``more`` for the groups that are short of ``expected`` (group, n) and complete with them."""
-    both = have.select(group, member).union(more.select(group, member)).distinct()
-    size = lambda df, name: df.groupBy(group).agg(F.count_distinct(member).alias(name))
-    short = expected.join(size(have, "had"), group, "left").join(size(both, "got"), group, "left")
-    good = short.filter((F.coalesce("had", F.lit(0)) < F.col("n")) & (F.col("got") == F.col("n"))).select(group)
-    added = more.join(good, group, "left_semi").join(have.select(group, member), [group, member], "left_anti")
-    return have.select(group, member).union(added.select(group, member).distinct())
+    g, m = F.col(group), F.col(member)
+    both = have.select(group, member, F.lit(1).alias("_had")).union(more.select(group, member, F.lit(0)))
+    rows = spread(both, both.count(), group).groupBy(group, member).agg(F.sum("_had").alias("_times"), F.min("_had").alias("_only"))
+    sizes = rows.groupBy(group).agg(F.count(F.when(F.col("_times") > 0, m)).alias("had"), F.count(m).alias("got"))
+    good = sizes.join(expected, group).filter((F.col("had") < F.col("n")) & (F.col("got") == F.col("n"))).select(group, F.lit(1).alias("_good"))
+    new = (F.col("_only") == 0) & ((F.col("_times") == 0) | m.isNull()) & F.col("_good").isNotNull()
+    copies = F.array_repeat(F.lit(1), (F.col("_times") + F.when(new, 1).otherwise(0)).cast("int"))
+    return rows.join(good, group, "left").select(g, m, F.explode(copies).alias("_copy")).select(group, member)
 
 
 def contract(tables: dict[str, DataFrame]) -> DataFrame:

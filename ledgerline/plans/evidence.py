@@ -13,7 +13,7 @@ from ledgerline.operators import detectors as D
 from ledgerline.operators import identity as P
 from ledgerline.operators import incremental as N
 from ledgerline.plans.registry import cents, n_if, query, table
-from ledgerline.scratch import shared_dir
+from ledgerline.scratch import shared_dir, spread
 from ledgerline.sources import readers as R
 from ledgerline.streaming import windows as S
 
@@ -179,10 +179,9 @@ SELECT g, m FROM h UNION SELECT g, m FROM m WHERE g IN (FROM k)""")
 def repair_short_sets(spark, d):
     """Short sets are filled up only where that makes them complete."""
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_suppkey").alias("m"), "l_linenumber")
-    expected = lines.groupBy("g").agg(F.count_distinct("m").alias("n"))
-    have = lines.filter("l_linenumber % 3 <> 0").select("g", "m").distinct()
-    more = lines.filter("l_linenumber % 3 = 0 and g % 4 <> 0").select("g", "m").distinct()
-    return N.repaired(have, more, "g", "m", expected)
+    expected = spread(lines.select("g", "m"), lines.count(), "g").groupBy("g").agg(F.count_distinct("m").alias("n"))
+    have, more = lines.filter("l_linenumber % 3 <> 0"), lines.filter("l_linenumber % 3 = 0 and g % 4 <> 0")
+    return N.repaired(have, more, "g", "m", expected).distinct()
 
 
 @query("SELECT 'orders' AS name, count(*) AS n, count(*) > 0 AS ok FROM orders UNION ALL SELECT 'none', 0, false UNION ALL SELECT 'documents', count(*), true FROM documents")

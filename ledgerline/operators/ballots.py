@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.scratch import saved, spread
+
 
 def one_ballot(rows: DataFrame, keys: list[str], response: str) -> DataFrame:
     """One ballot for each key: the smallest response."""
@@ -130,9 +132,11 @@ def person_summary(ballots: DataFrame, sources: DataFrame, *, vote: str, person:
 
     ``sources`` is the result of ``diagnosed``: votes in another state than VALID (with a duplicate or blank person among other
     reasons) are counted and judge nobody. Ballots without a group are NO_GROUP."""
-    both = ballots.join(sources.select(vote, F.col("state").alias("_source"), "contested"), vote, "left").withColumn("_valid", F.coalesce(F.col("_source") == "VALID", F.lit(False)))
+    known = ballots.select(vote, person, group, response).join(sources.select(vote, F.col("state").alias("_source"), "contested"), vote, "left")
+    both = saved(known.withColumn("_valid", F.coalesce(F.col("_source") == "VALID", F.lit(False))), "ballots")
     usable = both.filter("_valid")
-    grouped = leave_one_out(usable.filter(F.col(group).isNotNull()), vote=vote, group=group, response=response, yes="JAA", no="EI")
+    dealt = spread(usable.filter(F.col(group).isNotNull()), both.count(), vote, group)
+    grouped = leave_one_out(dealt, vote=vote, group=group, response=response, yes="JAA", no="EI")
     judged = grouped.select(person, "state", "contested").union(usable.filter(F.col(group).isNull()).select(person, F.lit("NO_GROUP"), "contested"))
     judged = judged.union(both.filter("NOT _valid").select(person, F.lit("EXCLUDED"), F.lit(False)))
     n = lambda s, more=F.lit(True): F.count(F.when((F.col("state") == s) & more, 1))

@@ -1,6 +1,7 @@
 """Citation-graph metrics by iterated joins with map-side sums; each round's table is written to the shared folder.
 
-Edges point from the citing to the cited vertex. Loops end by their own rule: an aggregate of the round just written."""
+Edges point from the citing to the cited vertex. Loops end by their own rule: an aggregate of the round just written.
+Where values are handed on, the edges lie in buckets by source, so a round shuffles no edges, and no table goes through the driver."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.scratch import saved
+from ledgerline.scratch import bucketed, saved, spread
 
 
 def propagation(vertices: DataFrame, edges: DataFrame, *, rounds: int = 3, alpha: float = 0.3) -> DataFrame:
@@ -23,8 +24,8 @@ def pagerank(vertices: DataFrame, edges: DataFrame, *, rounds: int = 3, damping:
     n, dealt = vertices.count(), _shares(edges)
     now = _cut(vertices.select("id", F.lit(1.0 / max(n, 1)).alias("rank")))
     for _ in range(rounds):
-        gained = dealt.join(now.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("gain"))
-        now = _cut(now.select("id").join(gained, "id", "left").select("id", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("gain", F.lit(0.0))).alias("rank")))
+        gained = _along(dealt, now).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("gain"))
+        now = _cut(now.select("id").join(gained.hint("merge"), "id", "left").select("id", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("gain", F.lit(0.0))).alias("rank")))
     return now
 
 
@@ -43,10 +44,24 @@ def _cut(df: DataFrame) -> DataFrame:
     return saved(df, "round")
 
 
-def _shares(edges: DataFrame) -> DataFrame:
-    """``src, dst, share`` of the distinct edges; each row of ``edges`` (src, dst) is one unit of weight, a source's shares sum to one."""
-    weights = edges.groupBy("src", "dst").agg(F.count("*").alias("w"))
-    return _cut(weights.join(weights.groupBy("src").agg(F.sum("w").alias("out")), "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")))
+def _by_source(edges: DataFrame, n: int) -> DataFrame:
+    """``edges``, ``n`` rows, in buckets by ``src`` of about a million rows, a file each."""
+    dealt = spread(edges, n, "src")
+    return bucketed(dealt, ["src"], max(-(-n // (1 << 20)), edges.sparkSession.sparkContext.defaultParallelism), "edges")
+
+
+def _along(edges: DataFrame, state: DataFrame) -> DataFrame:
+    """``edges`` with the columns of ``state`` (id, ...) of their source; the state is hashed to the edges' buckets."""
+    return edges.join(state.withColumnRenamed("id", "src").hint("shuffle_hash"), "src")
+
+
+def _shares(edges: DataFrame, weight: str | None = None) -> DataFrame:
+    """``src, dst, share`` of the distinct edges; each row of ``edges`` (src, dst) is one unit of weight (or ``weight``), a source's shares
+    sum to one."""
+    rows = _cut(edges.select("src", "dst", (F.col(weight) if weight else F.lit(1)).alias("w")))
+    n = rows.count()
+    weights = spread(rows, n, "src", each=1 << 18).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    return _by_source(weights.select("src", "dst", (F.col("w") / F.sum("w").over(Window.partitionBy("src"))).alias("share")), n)
 
 
 def propagation_converged(vertices: DataFrame, edges: DataFrame, *, alpha: float = 0.3, least: float = 1.0, rounds: int = 20) -> DataFrame:
@@ -56,9 +71,9 @@ def propagation_converged(vertices: DataFrame, edges: DataFrame, *, alpha: float
     ends = dealt.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(vertices, "id", "left_anti")
     now = _cut(vertices.select("id", F.col("own").cast("double").alias("own")).union(ends.select("id", F.lit(0.0))).withColumn("value", F.col("own")))
     for _ in range(rounds):
-        gained = dealt.join(now.select(F.col("id").alias("src"), "value"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("value") * F.col("share")).alias("gain"))
+        gained = _along(dealt, now.select("id", "value")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("value") * F.col("share")).alias("gain"))
         value = F.col("own") + alpha * F.coalesce("gain", F.lit(0.0))
-        now = _cut(now.join(gained, "id", "left").select("id", "own", value.alias("value"), F.abs(value - F.col("value")).alias("delta")))
+        now = _cut(now.join(gained.hint("merge"), "id", "left").select("id", "own", value.alias("value"), F.abs(value - F.col("value")).alias("delta")))
         if (now.agg(F.max("delta")).first()[0] or 0.0) < least:
             break
     return now.select("id", "own", "value")
@@ -72,9 +87,9 @@ def pagerank_converged(vertices: DataFrame, edges: DataFrame, *, damping: float
     dealt, n = _shares(inside.select("src", "dst")), known.count()
     now = _cut(known.withColumn("rank", F.lit(1.0 / max(n, 1))))
     for _ in range(rounds):
-        gained = dealt.join(now.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("gain"))
+        gained = _along(dealt, now).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("gain"))
         rank = F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("gain", F.lit(0.0))
-        now = _cut(now.join(gained, "id", "left").select("id", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("delta")))
+        now = _cut(now.join(gained.hint("merge"), "id", "left").select("id", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("delta")))
         if (now.agg(F.sum("delta")).first()[0] or 0.0) < least:
             break
     top = now.agg(F.max("rank")).first()[0]
@@ -110,13 +125,14 @@ def weighted_degrees(edges: DataFrame, weight: str) -> DataFrame:
 def katz(vertices: DataFrame, edges: DataFrame, *, alpha: float = 0.031, least: float = 1.0, rounds: int = 30) -> DataFrame:
     """``id, own, value``: value = own + alpha * sum over edges (src, dst) of the source's value, repeated edges counted, until
     no value changes by ``least`` (at most ``rounds`` times). Settles where alpha is below 1 / the graph's spectral radius."""
-    weights = _cut(edges.groupBy("src", "dst").agg(F.count("*").alias("w")))
+    rows = _cut(edges.select("src", "dst"))
+    weights = _by_source(spread(rows, n := rows.count(), "src").groupBy("src", "dst").agg(F.count("*").alias("w")), n)
     ends = weights.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(vertices, "id", "left_anti")
     now = _cut(vertices.select("id", F.col("own").cast("double").alias("own")).union(ends.select("id", F.lit(0.0))).withColumn("value", F.col("own")))
     for _ in range(rounds):
-        gained = weights.join(now.select(F.col("id").alias("src"), "value"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("value") * F.col("w")).alias("gain"))
+        gained = _along(weights, now.select("id", "value")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("value") * F.col("w")).alias("gain"))
         value = F.col("own") + alpha * F.coalesce("gain", F.lit(0.0))
-        now = _cut(now.join(gained, "id", "left").select("id", "own", value.alias("value"), F.abs(value - F.col("value")).alias("delta")))
+        now = _cut(now.join(gained.hint("merge"), "id", "left").select("id", "own", value.alias("value"), F.abs(value - F.col("value")).alias("delta")))
         if (now.agg(F.max("delta")).first()[0] or 0.0) < least:
             break
     return now.select("id", "own", "value")
@@ -125,15 +141,15 @@ def katz(vertices: DataFrame, edges: DataFrame, *, alpha: float = 0.031, least:
 def pagerank_undirected(edges: DataFrame, weight: str, *, damping: float = 0.85, least: float = 1e-8, rounds: int = 100) -> DataFrame:
     """``id, rank`` over the vertices of the undirected weighted ``edges`` (src, dst, weight; repeats add up), as shares of the
     largest: a vertex hands its rank on by weight. Rounds end when the ranks' changes sum to less than ``least``."""
-    both = edges.select("src", "dst", weight).union(edges.select("dst", "src", weight)).groupBy("src", "dst").agg(F.sum(weight).alias("w"))
-    dealt = _cut(both.join(both.groupBy("src").agg(F.sum("w").alias("out")), "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")))
+    once = _cut(edges.select("src", "dst", weight))
+    dealt = _shares(once.union(once.select("dst", "src", weight)), weight)
     ids = dealt.select(F.col("src").alias("id")).distinct()
     n = ids.count()
     now = _cut(ids.withColumn("rank", F.lit(1.0 / max(n, 1))))
     for _ in range(rounds):
-        gained = dealt.join(now.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("gain"))
+        gained = _along(dealt, now).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("gain"))
         rank = F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("gain", F.lit(0.0))
-        now = _cut(now.join(gained, "id", "left").select("id", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("delta")))
+        now = _cut(now.join(gained.hint("merge"), "id", "left").select("id", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("delta")))
         if (now.agg(F.sum("delta")).first()[0] or 0.0) < least:
             break
     top = now.agg(F.max("rank")).first()[0]

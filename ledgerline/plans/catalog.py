@@ -11,6 +11,7 @@ from ledgerline.operators import graphs as G
 from ledgerline.operators import intervals as I
 from ledgerline.operators import rollups as R
 from ledgerline.plans.registry import ORACLES, QUERIES, cents, query, table  # noqa: F401
+from ledgerline.scratch import spread
 
 def _ballots(spark: SparkSession, d: str) -> DataFrame:
     one = B.one_ballot(table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("vote"), F.col("l_suppkey").alias("person"), F.col("l_returnflag").alias("response")), ["vote", "person"], "response")
@@ -199,9 +200,15 @@ def slug(spark, d):
     return table(spark, d, "part").select("p_type", T.slug(F.col("p_type")).alias("slug")).distinct()
 
 
+def _dealt_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines by order, in tasks of about a million rows."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    return spread(lines, lines.count(), "l_orderkey")
+
+
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    steps = table(spark, d, "lineitem").withColumn("dst", F.lead("l_partkey").over(order)).select(F.col("l_partkey").alias("src"), "dst")
+    steps = _dealt_lines(spark, d).withColumn("dst", F.lead("l_partkey").over(order)).select(F.col("l_partkey").alias("src"), "dst")
     return steps.filter("dst is not null and src <> dst").distinct()
 
 
@@ -211,7 +218,7 @@ _EDGES = """edges AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, le
 def _links(spark: SparkSession, d: str) -> DataFrame:
     """The edges with repeats: one row for each step of an order."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    steps = table(spark, d, "lineitem").withColumn("dst", F.lead("l_partkey").over(order)).select(F.col("l_partkey").alias("src"), "dst")
+    steps = _dealt_lines(spark, d).withColumn("dst", F.lead("l_partkey").over(order)).select(F.col("l_partkey").alias("src"), "dst")
     return steps.filter("dst is not null and src <> dst")
 
 

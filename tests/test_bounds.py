@@ -6,6 +6,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.operators import graphs as G
 from ledgerline.operators import incremental as N
 from ledgerline.operators import intervals as I
 from ledgerline.operators import matching as M
@@ -82,3 +83,11 @@ def test_repaired_sets_in_tasks(spark, one_partition):
 def test_agreement_judges_in_tasks(spark, sf_dir, one_partition):
     plan = catalog.QUERIES["valid_source_agreement"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_shares_lie_in_buckets(spark, one_partition):
+    edges = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (2, 3)], "src long, dst long")
+    dealt = G._shares(edges)
+    assert {(r["src"], r["dst"]): round(r["share"], 6) for r in dealt.collect()} == {(1, 2): 0.666667, (1, 3): 0.333333, (2, 3): 1.0}
+    plan = G._along(dealt, spark.range(5))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and plan.count("Exchange hashpartitioning") <= 1

@@ -70,6 +70,16 @@ def test_shapes(spark):
     ]
 
 
+def test_nested_values_know_their_arrays(spark):
+    docs = [(1, '{"evidence_ids": ["a", ["b"]], "evidence_ids[7]": "no", "x.y": [{"evidence_ids": ["c\\u0022"]}], "n": [1, 1.5, true, null, 1e99, "2"]}'), (2, ' [["d"]]')]
+    walked = N.walked(spark.createDataFrame(docs, "id long, json string"), "id", "json")
+    refs = N.references(walked, "id", "evidence_ids")
+    assert sorted(tuple(r) for r in refs.collect()) == [(1, "$.evidence_ids[0]", "a"), (1, "$.evidence_ids[1]", '["b"]'), (1, "$.x.y[0].evidence_ids[0]", 'c"')]
+    assert [r["kind"] for r in walked.filter("id = 1 and path like '$.n[%'").orderBy("path").collect()] == ["BIGINT", "DECIMAL", "BOOLEAN", "VOID", "DOUBLE", "STRING"]
+    plan = refs._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
 def test_sketches_merge(spark):
     rng = random.Random(3)
     rows = [("a" if k % 3 else "b", k % 4, rng.randrange(3000), rng.random()) for k in range(6000)]

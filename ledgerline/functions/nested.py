@@ -59,13 +59,13 @@ def schema_errors(values: DataFrame, id_col: str, shape: dict[str, tuple[str, bo
     that the shape doesn't name, KIND for others than it says, MISSING where a container lacks what it must have, INVALID for
     what isn't JSON."""
     spark = values.sparkSession
-    general = F.regexp_replace("path", r"\[[0-9]+\]", "[]")
     parent = lambda p: F.regexp_replace(p, r"(\.[^.\[\]]+|\[[0-9]*\])$", "")
     declared = spark.createDataFrame([(p, k, must) for p, (k, must) in shape.items()], "general string, wanted string, must boolean")
-    seen = values.withColumn("general", general)
-    checked = seen.join(F.broadcast(declared), "general", "left")  # as large as the shape
+    needed = declared.filter("must").groupBy(parent(F.col("general")).alias("general")).agg(F.collect_list(F.regexp_extract("general", r"\.([^.\[\]]+)$", 1)).alias("fields"))
+    checked = values.join(F.broadcast(declared), "general", "left").join(F.broadcast(needed), "general", "left")  # as large as the shape
     error = F.when(F.col("kind") == "INVALID", "INVALID").when(F.col("wanted").isNull() & (F.col("path") != "$"), "EXTRA").when(F.col("wanted") != F.col("kind"), "KIND")
-    wrong = checked.withColumn("error", error).filter("error IS NOT NULL").select(id_col, "path", "error")
-    needed = declared.filter("must").select(parent(F.col("general")).alias("general"), F.regexp_extract("general", r"\.([^.\[\]]+)$", 1).alias("field"))
-    due = seen.filter("kind = 'OBJECT'").join(F.broadcast(needed), "general").select(id_col, F.concat("path", F.lit("."), "field").alias("path"))
-    return wrong.union(due.join(values.select(id_col, "path"), [id_col, "path"], "left_anti").withColumn("error", F.lit("MISSING")))
+    lacked = F.when((F.col("kind") == "OBJECT") & F.col("fields").isNotNull(), F.array_except("fields", F.json_object_keys("value")))
+    own = F.when(error.isNotNull(), F.array(F.struct("path", error.alias("error"))))
+    lacking = F.transform(lacked, lambda field: F.struct(F.concat("path", F.lit("."), field).alias("path"), F.lit("MISSING").alias("error")))
+    none = F.array().cast("array<struct<path:string,error:string>>")
+    return checked.filter(error.isNotNull() | (F.size(lacked) > 0)).select(id_col, F.explode(F.concat(F.coalesce(own, none), F.coalesce(lacking, none))).alias("x")).select(id_col, "x.path", "x.error")

@@ -80,6 +80,14 @@ def test_nested_values_know_their_arrays(spark):
     assert "Join" not in plan and "Exchange" not in plan
 
 
+def test_missing_fields_without_a_shuffle_of_values(spark):
+    shape = {"$": ("OBJECT", False), "$.a": ("OBJECT", True), "$.a.b": ("BIGINT", True)}
+    docs = [(1, '{"a": {}, "a.b": 1}'), (2, '{"a": {"b": null}}'), (3, "{}")]
+    got = N.schema_errors(N.walked(spark.createDataFrame(docs, "id long, json string"), "id", "json"), "id", shape)
+    assert {tuple(r) for r in got.filter("error = 'MISSING'").collect()} == {(1, "$.a.b", "MISSING"), (3, "$.a", "MISSING")}
+    assert "SortMergeJoin" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "LeftAnti" not in plan
+
+
 def test_sketches_merge(spark):
     rng = random.Random(3)
     rows = [("a" if k % 3 else "b", k % 4, rng.randrange(3000), rng.random()) for k in range(6000)]

@@ -251,7 +251,8 @@ def stream_sessions(spark, d):
     """Each user's sessions by state and timers; a session goes out when no row can join it any more."""
     arrivals = _arrivals(spark, d)
     feed = S.Feed(arrivals, "events")
-    got = _run_parts(arrivals, S.Sink(S.closed_sessions(feed.stream.select("user_id", "ts"), key="user_id", at="ts", gap_ms=3_600_000, late="2 hours"), "sessions"), feed)
+    buckets = max(arrivals.count() >> 14, spark.sparkContext.defaultParallelism)  # about 16,000 events each
+    got = _run_parts(arrivals, S.Sink(S.closed_sessions(feed.stream.select("user_id", "ts"), key="user_id", at="ts", gap_ms=3_600_000, late="2 hours", buckets=buckets), "sessions"), feed)
     return got.select("user_id", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), "n")
 
 

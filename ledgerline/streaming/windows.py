@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,36 +72,41 @@ def joined(left: DataFrame, right: DataFrame, *, keys: list[str], at: tuple[str,
     return a.join(b, same & near).drop(*(f"_{k}" for k in keys))
 
 
-def closed_sessions(events: DataFrame, *, key: str, at: str, gap_ms: int, late: str) -> DataFrame:
-    """``key, start, end, n``: sessions of rows less than ``gap_ms`` apart, by a state for each key and a timer at which its first open session
-    can't grow any more. Rows out of order join, bridge or begin sessions as long as they aren't late. Times are milliseconds."""
+def closed_sessions(events: DataFrame, *, key: str, at: str, gap_ms: int, late: str, buckets: int = 200) -> DataFrame:
+    """``key, start, end, n``: sessions of rows less than ``gap_ms`` apart. Keys are hashed to ``buckets``; a bucket has one state with its keys' open
+    sessions, and a timer at which the first of them can't grow any more. So a batch costs Python a call a bucket and not one a key.
+    Rows out of order join, bridge or begin sessions as long as they aren't late; rows without a time have none. Times are milliseconds."""
 
     def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_ = [list(x) for x in zip(*state.get, strict=True)] if state.exists else []
+        known = name[0] >= 0  # the bucket -1 is that of the null key
+        held = [[np.asarray(x) for x in state.get]] if state.exists else []
         if not state.hasTimedOut:
-            for part in parts:
-                open_ += [[ms, ms, 1] for ms in part["ms"].tolist()]
-        spans: list[list[int]] = []
-        for start, end, n in sorted(open_):
-            if spans and start - spans[-1][1] < gap_ms:
-                spans[-1][1] = max(spans[-1][1], end)
-                spans[-1][2] += n
-            else:
-                spans.append([start, end, n])
-        mark = state.getCurrentWatermarkMs()
-        done, left = [s for s in spans if s[1] + gap_ms <= mark], [s for s in spans if s[1] + gap_ms > mark]
-        if left:
-            state.update(tuple([s[k] for s in left] for k in range(3)))
-            state.setTimeoutTimestamp(min(s[1] for s in left) + gap_ms)
+            held += [[part[key].to_numpy(), ms := part["ms"].to_numpy(np.int64), ms, np.ones(len(ms), np.int64)] for part in parts]
+        keys, start, end, n = (np.concatenate(x) for x in zip(*(x for x in held if len(x[1])), strict=True))
+        code = pd.factorize(keys)[0] if known else np.zeros(len(keys), np.int64)
+        order = np.lexsort((end, start, code))
+        keys, start, end, n, code = keys[order], start[order], end[order], n[order], code[order]
+        reach = pd.Series(end).groupby(code).cummax().to_numpy()
+        fresh = np.concatenate(([True], (code[1:] != code[:-1]) | (start[1:] - reach[:-1] >= gap_ms)))
+        first = np.flatnonzero(fresh)
+        spans = [keys[first], start[first], np.maximum.reduceat(end, first), np.add.reduceat(n, first)]
+        over = spans[2] + gap_ms <= state.getCurrentWatermarkMs()
+        left = [x[~over] for x in spans]
+        if len(left[1]):
+            state.update(tuple(x.tolist() if known or k else [None] * len(x) for k, x in enumerate(left)))
+            state.setTimeoutTimestamp(int(left[2].min()) + gap_ms)
         elif state.exists:
             state.remove()
-        if done:
-            yield pd.DataFrame({key: [name[0]] * len(done), "start": [s[0] for s in done], "end": [s[1] for s in done], "n": [s[2] for s in done]})
+        if over.any():
+            done = [x[over] for x in spans]
+            yield pd.DataFrame({key: done[0] if known else [None] * len(done[0]), "start": done[1], "end": done[2], "n": done[3]})
 
     kind = events.schema[key].dataType.simpleString()
-    timed = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).select(key, at, F.unix_millis(at).alias("ms"))
-    spans = "starts array<bigint>, ends array<bigint>, sizes array<bigint>"
-    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, start long, end long, n long", spans, "append", GroupStateTimeout.EventTimeTimeout)
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.hash(key), F.lit(buckets)))
+    timed = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).filter(F.col(at).isNotNull())
+    rows = timed.select(bucket.alias("_bucket"), key, at, F.unix_millis(at).alias("ms"))
+    spans = f"keys array<{kind}>, starts array<bigint>, ends array<bigint>, sizes array<bigint>"
+    return rows.groupBy("_bucket").applyInPandasWithState(step, f"{key} {kind}, start long, end long, n long", spans, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class Latest:

@@ -77,3 +77,25 @@ def test_latest_survives_batches_run_twice_and_restarts(spark, monkeypatch):
                 latest.run(dies)
         got = latest.run()
         assert {r["user"]: (r["ts"].strftime("%Y-%m-%d %H:%M"), r["value"]) for r in got.collect()} == want
+
+
+def test_sessions_of_many_keys_share_states(spark):
+    rows = [(u if u != "k0" else None, 60 * ((7 * k * k + 13 * j * k) % 500), 1.0) for k, u in enumerate(f"k{i}" for i in range(30)) for j in range(9)]
+    arrived = spark.createDataFrame(rows, "user string, s long, value double").select("user", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("s")).alias("ts"), "value")
+    want = []
+    for user in {r[0] for r in rows}:
+        runs = []
+        for s in sorted(r[1] for r in rows if r[0] == user):
+            if runs and s - runs[-1][1] < 900:
+                runs[-1][1:] = [s, runs[-1][2] + 1]
+            else:
+                runs.append([s, s, 1])
+        want += [(user, b - a, n) for a, b, n in runs]
+    feed = S.Feed(arrived, "feed")
+    sink = S.Sink(S.closed_sessions(feed.stream.select("user", "ts"), key="user", at="ts", gap_ms=900_000, late="1 day", buckets=3), "sessions")
+    feed.arrive(arrived.filter("s % 120 = 0"))
+    assert sink.run()[-1]["stateOperators"][0]["numRowsTotal"] <= 4  # three buckets and the null key's
+    feed.arrive(arrived.filter("s % 120 <> 0"))
+    feed.arrive(events(spark, [("later", "2024-02-01 00:00", 1.0)]))
+    sink.run()
+    assert sorted(map(str, ((r["user"], (r["end"] - r["start"]) // 1000, r["n"]) for r in sink.rows().collect()))) == sorted(map(str, want))

@@ -13,7 +13,7 @@ from ledgerline.operators import detectors as D
 from ledgerline.operators import identity as P
 from ledgerline.operators import incremental as N
 from ledgerline.plans.registry import cents, n_if, query, table
-from ledgerline.scratch import shared_dir, spread
+from ledgerline.scratch import saved, shared_dir, spread
 from ledgerline.sources import readers as R
 from ledgerline.streaming import windows as S
 
@@ -42,12 +42,14 @@ def name_key(spark, d):
 @query(None)
 def identity_clusters(spark, d):
     """Candidacies that may be one person, and the register's member they are."""
-    rows = _people(spark, d).withColumn("key", P.name_key(F.col("first"), F.col("last")))
+    rows = saved(_people(spark, d).withColumn("key", P.name_key(F.col("first"), F.col("last"))), "people")
+    n = rows.count()
     found = P.clustered(rows, id_col="id", key="key", year="year", age="age")
     members = rows.filter("year = 1998 and age is not null").groupBy("key", (F.col("year") - F.col("age")).alias("birth_year")).agg(F.min("id").alias("person_id"))
     members = members.select("person_id", "key", F.when(F.col("person_id") % 19 != 0, F.col("birth_year")).alias("birth_year"))
-    actors = P.matched_members(found.join(rows.select("id", "key", "year", "age"), "id"), members)
-    return found.join(actors, "cluster").select("id", "cluster", "person_id", "status")
+    told = spread(found, n, "id", each=P.EACH).join(spread(rows.select("id", "key", "year", "age"), n, "id", each=P.EACH), "id")
+    actors = P.matched_members(spread(told, n, "cluster", each=P.EACH), members)
+    return spread(found, n, "cluster", each=P.EACH).join(spread(actors, n, "cluster", each=P.EACH), "cluster").select("id", "cluster", "person_id", "status")
 
 
 @query("""WITH r AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 <> 0 THEN 1999 - c_custkey % 60 - 1 END AS al, CASE WHEN c_custkey % 5 <> 0 THEN 1999 - c_custkey % 60 END AS ah, 1950 + c_custkey % 30 AS b FROM customer)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import graphs as G
+from ledgerline.operators import identity as P
 from ledgerline.operators import incremental as N
 from ledgerline.operators import intervals as I
 from ledgerline.operators import matching as M
@@ -91,3 +92,17 @@ def test_shares_lie_in_buckets(spark, one_partition):
     assert {(r["src"], r["dst"]): round(r["share"], 6) for r in dealt.collect()} == {(1, 2): 0.666667, (1, 3): 0.333333, (2, 3): 1.0}
     plan = G._along(dealt, spark.range(5))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and plan.count("Exchange hashpartitioning") <= 1
+
+
+def test_namesakes_are_not_multiplied_by_years(spark, one_partition):
+    rows = [(k, "a" if k % 3 else "b", 1990 + k % 4 * 4, 20 + 10 * (k % 5) + k % 4 * 4) for k in range(60)] + [(99, "c", 1990, 30), (100, "c", 1994, 34), (101, "c", 1998, None)]
+    frame = spark.createDataFrame(rows, "id long, key string, year long, age long").withColumn("born", F.col("year") - F.col("age") - 1)
+    state = frame.filter("born is not null").selectExpr("id", "key", "year", "born", "id AS place", "struct(key, id AS place) AS cluster", "cast(null as struct<place:bigint,other:bigint>) AS last")
+    counts = state.groupBy("key", "year", "born").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    stood = counts.groupBy("key").agg(F.collect_list(F.struct("year", "born", "n", "first")).alias("stood"))
+    joins = P._joining(state, stood, 62)
+    assert [tuple(r["pair"]) for r in joins.filter("key = 'c'").collect()] == [(99, 100)]
+    got = {r["id"]: r["cluster"] for r in P.clustered(frame, id_col="id", key="key", year="year", age="age").collect()}
+    assert len(got) == len(rows) and (got[99], got[100], got[101]) == (99, 99, 101)
+    plan = joins._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(" not in plan and "REPARTITION_BY_NUM" in joins._jdf.queryExecution().toString()

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.scratch import bucketed, saved, spread
 
+#: Rows of a round's table up to which Spark may send it to all tasks through the driver.
+SMALL = 1 << 17
+
 
 def propagation(vertices: DataFrame, edges: DataFrame, *, rounds: int = 3, alpha: float = 0.3) -> DataFrame:
     """``id, own, value`` after a fixed number of rounds of ``propagation_converged``."""
@@ -50,6 +53,17 @@ def _by_source(edges: DataFrame, n: int) -> DataFrame:
     return bucketed(dealt, ["src"], max(-(-n // (1 << 20)), edges.sparkSession.sparkContext.defaultParallelism), "edges")
 
 
+def _beside(table: DataFrame, n: int) -> DataFrame:
+    """``table``, which has ``n`` rows, as one side of a join: beyond SMALL rows it is shuffled and not sent through the driver. Loops
+    with many rounds would else send what grows with the graph in each."""
+    return table.hint("merge") if n > SMALL else table
+
+
+def _dealt(edges: DataFrame, n: int) -> DataFrame:
+    """``edges`` as rounds read them: in buckets by source if there are more than SMALL."""
+    return _by_source(edges, n) if n > SMALL else edges
+
+
 def _along(edges: DataFrame, state: DataFrame) -> DataFrame:
     """``edges`` with the columns of ``state`` (id, ...) of their source; the state is hashed to the edges' buckets."""
     return edges.join(state.withColumnRenamed("id", "src").hint("shuffle_hash"), "src")
@@ -98,13 +112,14 @@ def pagerank_converged(vertices: DataFrame, edges: DataFrame, *, damping: float
 
 def reached(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, hops`` of all vertices that can be reached from ``starts`` (id): rounds go on until one finds nothing new."""
-    edges = _cut(edges.select("src", "dst").distinct())
+    once = _cut(edges.select("src", "dst").distinct())
+    dealt = _dealt(once, once.count())
     frontier = seen = _cut(starts.select("id", F.lit(0).alias("hops")).distinct())
-    k = 0
-    while frontier.limit(1).count():
-        k += 1
-        new = edges.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        frontier = _cut(new.join(seen.select("id"), "id", "left_anti").select("id", F.lit(k).alias("hops")))
+    k, n_all = 0, 0
+    while n := frontier.count():
+        k, n_all = k + 1, n_all + n
+        new = dealt.join(_beside(frontier.select(F.col("id").alias("src")), n), "src").select(F.col("dst").alias("id")).distinct()
+        frontier = _cut(new.join(_beside(seen.select("id"), n_all), "id", "left_anti").select("id", F.lit(k).alias("hops")))
         seen = _cut(seen.union(frontier))
     return seen
 
@@ -188,22 +203,24 @@ def strong_components(edges: DataFrame) -> DataFrame:
         size = -1
         while size != (size := left.count()):  # trim
             ends = left.select(F.col("src").alias("id")).distinct().intersect(left.select(F.col("dst").alias("id")).distinct())
-            inner = left.join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi")
+            inner = left.join(_beside(ends.withColumnRenamed("id", "src"), size), "src", "left_semi").join(_beside(ends.withColumnRenamed("id", "dst"), size), "dst", "left_semi")
             left = _cut(inner.select("src", "dst"))
         if not size:
             break
         colour = _cut(left.select(F.col("src").alias("id")).union(left.select("dst")).distinct().withColumn("c", F.col("id")))
+        dealt, n = _dealt(left, size), colour.count()
         while True:
-            seen = left.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
-            new = _cut(colour.join(seen, "id", "left").select("id", F.least("c", "m").alias("c"), (F.coalesce("m", "c") < F.col("c")).alias("changed")))
+            seen = dealt.join(_beside(colour.withColumnRenamed("id", "src"), n), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
+            new = _cut(colour.join(_beside(seen, n), "id", "left").select("id", F.least("c", "m").alias("c"), (F.coalesce("m", "c") < F.col("c")).alias("changed")))
             colour = new.select("id", "c")
             if not new.filter("changed").limit(1).count():
                 break
-        same = left.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").filter("cs = cd")
+        of = lambda end, name: _beside(colour.select(F.col("id").alias(end), F.col("c").alias(name)), n)
+        same = dealt.join(of("src", "cs"), "src").join(of("dst", "cd"), "dst").filter("cs = cd")
         back = reached(colour.filter("id = c").select("id"), same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        found.append(_cut(back.select("id").join(colour, "id").select("id", F.col("c").alias("component"))))
+        found.append(_cut(back.select("id").join(_beside(colour, n), "id").select("id", F.col("c").alias("component"))))
         gone = found[-1].select("id")
-        left = _cut(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
+        left = _cut(left.join(_beside(gone.withColumnRenamed("id", "src"), n), "src", "left_anti").join(_beside(gone.withColumnRenamed("id", "dst"), n), "dst", "left_anti").select("src", "dst"))
     if not found:
         return ids.select("id", F.col("id").alias("component"))
     return ids.join(reduce(DataFrame.union, found), "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -106,3 +106,16 @@ def test_namesakes_are_not_multiplied_by_years(spark, one_partition):
     assert len(got) == len(rows) and (got[99], got[100], got[101]) == (99, 99, 101)
     plan = joins._jdf.queryExecution().optimizedPlan().toString()
     assert "sum(" not in plan and "REPARTITION_BY_NUM" in joins._jdf.queryExecution().toString()
+
+
+def test_rounds_send_no_large_table_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(G, "SMALL", 0)
+    edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (0, 1), (5, 6), (7, 7), (8, 9)]
+    plans, cut = [], G._cut
+    monkeypatch.setattr(G, "_cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    got = G.bow_tie(spark.createDataFrame(edges, "src long, dst long"))
+    want = {0: (0, "IN"), 1: (1, "CORE"), 2: (1, "CORE"), 3: (1, "CORE"), 4: (4, "OUT"), 5: (4, "OUT"), 6: (6, "OUT"), 7: (7, "TENDRIL"), 8: (8, "TENDRIL"), 9: (9, "TENDRIL")}
+    assert {r["id"]: (r["component"], r["zone"]) for r in got.collect()} == want
+    assert any("SortMergeJoin" in p for p in plans)
+    rounds = [p for p in plans if "min(c" in p]
+    assert rounds and not any("BroadcastExchange" in p for p in rounds)

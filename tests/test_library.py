@@ -221,3 +221,24 @@ def test_html_is_decoded_before_white_space_goes(spark):
     rows = [("<p>a&nbsp;&nbsp; b</p>", "a b"), ("&amp;lt;", "<"), ("x \n y &quot;", "x y &quot;"), ("", ""), ("<>", "<>")]
     got = spark.createDataFrame([(k, h) for k, (h, _) in enumerate(rows)], "k int, h string").orderBy("k").select(T.clean_html(F.col("h")).alias("t")).collect()
     assert [r["t"] for r in got] == [t for _, t in rows]
+
+
+def test_pages_become_python_objects_few_at_a_time():
+    import pyarrow as pa
+
+    from ledgerline.functions import html as H
+
+    held, most = [], []
+    pages = pa.array([f"<b>{k}" if k % 7 else None for k in range(1000)])
+    pages_seen = lambda p: held.append(p) or H.cleaned(p)
+
+    class Column:
+        def __len__(self):
+            return len(pages)
+
+        def slice(self, at, n):
+            most.append(n)
+            return pages.slice(at, n)
+
+    assert H._by_page(pages_seen, Column()).to_pylist() == [H.cleaned(p) for p in pages.to_pylist()]
+    assert len(held) == 1000 and max(most) <= 64 and H._by_page(H.cleaned, pages.slice(0, 0)).to_pylist() == []

@@ -63,3 +63,11 @@ def test_all_atoms_of_all_bills(spark, sf_dir):
         assert [(r["tag"], r["text"]) for r in rows] == [(e.tag, (e.text or "") + "".join(c.tail or "" for c in e)) for e in tree]
         for r in rows:
             assert xml[r["start"] : r["end"]].startswith(f"<{r['tag']}>") and xml[r["start"] : r["end"]].endswith(f"</{r['tag']}>")
+
+
+def test_evenly_spaced_texts_are_bound_without_a_walk_over_words(monkeypatch):
+    pieces = ["a\tb", "b", " \n", "a  b c", "x", "c", "b\u00a0c"]
+    want = {"a b b a b c c": [(0, 3), (4, 5), None, (6, 11), None, (12, 13), None], "  a b\n\nb a \tb c  c ": [(2, 5), (7, 8), None, (9, 15), None, (17, 18), None], "": [None] * 7}
+    assert {text: X.bound(pieces, text) for text in want} == want
+    monkeypatch.setattr(X.re, "finditer", None)
+    assert X.bound(pieces, "a\nb b a b c c") == want["a b b a b c c"]

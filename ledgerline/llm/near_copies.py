@@ -8,8 +8,12 @@ first compared with the smallest head of its buckets, so a text makes one pair;
 group it hasn't joined. Members of buckets that still hold several groups are joined by prefixes: in one order of all shingles,
 two sets of n and m at the limit L have L (n + m) / (1 + L) in common; from the k-th of these on each must have all but k - 1 of
 them left, so both have the first COMMON among their first n - ceil(L n) + COMMON. The order takes rare shingles first, as a sketch of fixed size counts them, so
-texts that share a frequent passage and little more make no pairs. So a large group
-of copies, or of texts just below the limit, costs no square of its size, and no link of a bucket is left out.
+texts that share a frequent passage and little more make no pairs. While the sets of a prefix's shingle would make many more pairs
+than they are, those outside its largest group are first compared with a few of that group, and groups that meet become one; then
+every set outside is compared with all others of other groups, unless PARITY bits of both, which differ in no more places than the
+sets in shingles, rule it out. So a large group of copies, or of texts just below the limit that
+links hold together, costs no square of its size, and no link of a bucket is left out. Texts that are all just below the limit and
+don't hang together are compared pair by pair.
 
 Shingles are of lower-case (ASCII) words between white space; a text of fewer words is one shingle. Null texts and texts
 without words are alike. Texts of equal sets are one node, however many documents have them.
@@ -18,11 +22,12 @@ without words are alike. Texts of equal sets are one node, however many document
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import _MULTIPLIERS, BLANK_WORD, LOWER, Numbered, blocks, bucketed, gram_hash, mix, owner, prefix_hash, runs, saved, slice_hash, utf8
@@ -35,6 +40,10 @@ FP_SHINGLE, FP_BUDGET = 5, 2
 SHARE, SET_ROWS, SKETCH = 256, 20_000, 1 << 21
 #: Shingles that a pair's prefixes must have in common.
 COMMON = 3
+#: Sets of a shingle's largest group that others are first compared with, and rows for each post up to which all pairs are made at once.
+HEADS, AT_ONCE = 4, 4
+#: Bits that each tell whether a set has an odd number of the shingles dealt to it.
+PARITY = 512
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -160,35 +169,90 @@ def _counted(sets: DataFrame) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["counts"], np.uint16) for r in sorted(rows)]) if rows else np.zeros(SKETCH, np.uint16)
 
 
-def _across(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of the members of ``placed`` in different groups that share a shingle of both prefixes."""
-    members = sets.join(placed.select(F.col("rep").alias("row"), "root").distinct(), "row")
-    members = saved(members.select("row", "root", "size", "grams"), "members")
+def _prefixes(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``gram, place, rep, size, common`` of each shingle in the prefix of a member of ``placed`` that others may have too; common: how
+    many of its prefix's these are, in thousandths."""
+    members = sets.join(placed.select(F.col("rep").alias("row")).distinct(), "row")
+    members = saved(members.select("row", "size", "grams"), "members")
     sent = members.sparkSession.sparkContext.broadcast(_counted(members))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
         for batch in batches:
-            for row, root, size, grams in zip(*(batch.column(c) for c in ("row", "root", "size", "grams")), strict=True):
+            for row, size, grams in zip(*(batch.column(c) for c in ("row", "size", "grams")), strict=True):
                 h = grams.values.to_numpy()
                 n = counts[h & (SKETCH - 1)]
                 first = np.lexsort((h, n))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + COMMON]
                 some = np.flatnonzero(n[first] > 1)
-                one = lambda x, k=len(some): pa.array(np.full(k, x.as_py(), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(h[first][some]), pa.array(some), one(row), one(root), one(size)], names=["gram", "place", "rep", "root", "size"])
-
-    posts = members.mapInArrow(run, "gram long, place long, rep long, root long, size long")
-    shared = posts.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("gram")
-    posts = saved(posts.join(shared, "gram", "left_semi"), "prefixes")
-    other = posts.toDF("gram", "pb", "y", "rb", "nb")
-    need = similarity / (1 + similarity) * (F.col("size") + F.col("nb")) - 1e-9
+                one = lambda x, k=len(some): pa.array(np.full(k, x, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(h[first][some]), pa.array(some), one(row.as_py()), one(size.as_py()), one(1000 * len(some) // max(len(first), 1))], names=["gram", "place", "rep", "size", "common"])
+
+    return members.mapInArrow(run, "gram long, place long, rep long, size long, common long")
+
+
+def _mixed(posts: DataFrame, placed: DataFrame) -> DataFrame:
+    """``posts`` of the shingles that several groups of ``placed`` (rep, root) have, with their root, the shingle's number of posts and
+    the group that has most of them."""
+    rooted = posts.join(placed.select("rep", "root").distinct(), "rep")
+    of_root = rooted.groupBy("gram", "root").agg(F.count("*").alias("k"))
+    of_gram = of_root.groupBy("gram").agg(F.sum("k").alias("n"), F.max(F.struct("k", "root"))["root"].alias("largest"), F.count("*").alias("roots"))
+    return saved(rooted.join(of_gram.filter("roots > 1").drop("roots"), "gram"), "prefixes")
+
+
+def _parities(sets: DataFrame) -> DataFrame:
+    """``rep, bits`` of each set, PARITY bits in longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.append(0, np.cumsum(pa.compute.list_value_length(batch.column("grams")).to_numpy()))
+            of = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            odd = np.zeros((batch.num_rows, PARITY), np.uint8)
+            np.bitwise_xor.at(odd, (of, batch.column("grams").flatten().to_numpy() & (PARITY - 1)), 1)
+            bits = np.packbits(odd, axis=1).reshape(-1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (PARITY // 64)), pa.array(bits))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), lists], names=["rep", "bits"])
+
+    return sets.select("row", "grams").mapInArrow(run, "rep long, bits array<long>")
+
+
+def _needed(similarity: float) -> Column:
+    """What sets of ``size`` and ``nb`` shingles have in common at the limit."""
+    return similarity / (1 + similarity) * (F.col("size") + F.col("nb")) - 1e-9
+
+
+def _enough(both: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of the posts ``both`` (rep, place, size; y, pb, nb) whose prefixes have enough in common."""
+    need = _needed(similarity)
     # what two sets have in common from their k-th common shingle on is at most what either has left there
     enough = F.least(F.col("size") - F.col("place"), F.col("nb") - F.col("pb")) >= need - (COMMON - 1)
-    both = posts.join(other, "gram").filter((F.col("root") < F.col("rb")) & enough)
-    pairs = both.groupBy(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b")).agg(F.count("*").alias("n"), F.min(F.ceil(need)).alias("need"))
+    pairs = both.filter(enough).groupBy(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b")).agg(F.count("*").alias("n"), F.min(F.ceil(need)).alias("need"))
     return pairs.filter(F.col("n") >= F.least(F.lit(COMMON), "need")).select("a", "b")
 
 
+def _with_largest(mixed: DataFrame, similarity: float, step: int) -> DataFrame:
+    """Pairs of a few sets of each shingle's largest group, among them the one with the most common prefix, with those outside."""
+    post = F.struct(F.col("rep").alias("y"), F.col("place").alias("pb"), F.col("size").alias("nb"))
+    by_hash = [F.min_by(post, F.xxhash64("rep", F.lit(HEADS * step + k))) for k in range(1, HEADS)]
+    heads = mixed.filter("root = largest").groupBy("gram").agg(F.array_distinct(F.array(F.max_by(post, F.struct("common", "rep")), *by_hash)).alias("heads"))
+    return _enough(mixed.filter("root <> largest").join(heads.select("gram", F.explode("heads").alias("head")), "gram").select("*", "head.*"), similarity)
+
+
+def _outside(mixed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of each set outside a shingle's largest group with all that have the shingle and are in another group."""
+    bits = saved(_parities(sets.join(mixed.select(F.col("rep").alias("row")).distinct(), "row", "left_semi")), "parities")
+    mixed = mixed.join(bits, "rep")
+    outer = mixed.filter("root <> largest").select("gram", "place", "rep", "root", "size", "bits")
+    other = mixed.select("gram", F.col("place").alias("pb"), F.col("rep").alias("y"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("bits").alias("bb"), "largest")
+    apart = reduce(Column.__add__, (F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("bb", F.lit(k)))) for k in range(PARITY // 64)))
+    both = outer.join(other, "gram").filter((F.col("rb") == F.col("largest")) | (F.col("root") < F.col("rb")))
+    return _enough(both.filter(apart <= F.col("size") + F.col("nb") - 2 * _needed(similarity)), similarity)
+
+
+def _across(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of the members of ``placed`` in different groups that share a shingle of both prefixes."""
+    return _outside(_mixed(_prefixes(placed, sets, similarity), placed), sets, similarity)
+
+
 def groups(stored: Numbered, *, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """For ``stored`` (numbered rows with a struct ``doc``): the saved signatures, and ``node, root, first`` of every distinct set: first is
     (id, row) of the smallest id and row that have it, root the smallest row of its group. Texts are never shuffled, only
@@ -211,16 +275,35 @@ def groups(stored: Numbered, *, similarity: float = SIMILARITY, shingle: int = S
     sets = bucketed(_sets(texts, shingle).repartition(n, "row"), ["row"], n, "sets")
     near = saved(_alike(pairs, sets, similarity), "links")
     tree = saved(roots(near), "groups")
-    for step in (_with_heads, lambda placed: _across(placed, sets, similarity)):  # only what is still in different groups is compared
-        placed = posts.join(tree, posts["rep"] == tree["node"], "left").select("bucket", "head", "rep", F.coalesce("root", "rep").alias("root"))
-        mixed = placed.select("bucket", "root").distinct().groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-        placed = saved(placed.join(mixed, "bucket", "left_semi"), "placed")
-        fresh = saved(step(placed).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    in_group = lambda reps: reps.join(tree, reps["rep"] == tree["node"], "left").select(*reps.columns, F.coalesce("root", "rep").alias("root"))
+
+    def compare(made: DataFrame) -> None:
+        """Links of those pairs that weren't compared before."""
+        nonlocal pairs, near, tree
+        fresh = saved(made.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         more = saved(_alike(fresh, sets, similarity), "links")
         pairs = pairs.union(fresh)
         if more.limit(1).count():
             near = near.union(more)
             tree = saved(roots(near), "groups")
+
+    def in_mixed_buckets() -> DataFrame:
+        placed = in_group(posts)
+        mixed = placed.select("bucket", "root").distinct().groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+        return saved(placed.join(mixed, "bucket", "left_semi"), "placed")
+
+    compare(_with_heads(in_mixed_buckets()))  # only what is still in different groups is compared
+    left = saved(in_mixed_buckets().select("rep").distinct(), "left")
+    prefixes, step, before = saved(_prefixes(left, sets, similarity), "posts"), 0, 0  # before: rows of all pairs a step earlier; once few are saved, they are made
+    while True:
+        mixed = _mixed(prefixes, in_group(left))
+        most = mixed.agg(F.count("*").alias("n"), F.sum(F.when(F.col("root") != F.col("largest"), F.col("n"))).alias("rows")).first()
+        rows = most["rows"] or 0
+        if rows <= AT_ONCE * most["n"] or before and rows > 0.75 * before:
+            break
+        compare(_with_largest(mixed, similarity, step))
+        step, before = step + 1, rows
+    compare(_outside(mixed, sets, similarity))
     tree = tree.withColumnRenamed("node", "rep")
     return marked, saved(own.join(tree, "rep", "left").select("node", F.coalesce("root", "rep").alias("root"), "first"), "grouped")
 

@@ -72,6 +72,35 @@ def test_texts_just_below_the_limit_make_few_pairs(spark):
     assert {tuple(r) for r in N._alike(N._across(placed, sets, 0.8).distinct(), sets, 0.8).collect()} == want
 
 
+def test_a_large_group_is_not_compared_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, texts = [word() for _ in range(150)], []
+    for _ in range(240):  # one to three words changed: some pairs are alike, most aren't
+        copy = base[:]
+        for k in rng.sample(range(150), rng.randrange(1, 4)):
+            copy[k] = word()
+        texts.append(" ".join(copy))
+    compared, exact = [], N._alike
+    monkeypatch.setattr(N, "_alike", lambda pairs, *rest: compared.append(pairs.count()) or exact(pairs, *rest))
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    group = plain_groups(plain_sets(texts))
+    assert got == {k: group.index(g) for k, g in enumerate(group)} and len(set(group)) < 100
+    assert sum(compared) < 6 * len(texts), compared
+
+
+def test_parities_differ_in_no_more_bits_than_sets(spark):
+    rng = random.Random(4)
+    sets = {0: [], 1: [-1]} | {k: rng.sample(range(-2000, 2000), rng.randrange(1, 700)) for k in range(2, 30)}
+    rows = spark.createDataFrame([(k, x) for k, x in sets.items()], "row long, grams array<long>")
+    bits = {r["rep"]: [x % 2**64 for x in r["bits"]] for r in N._parities(rows).collect()}
+    for a in sets:
+        for b in sets:
+            apart = sum((x ^ y).bit_count() for x, y in zip(bits[a], bits[b], strict=True))
+            differ = len(set(sets[a]) ^ set(sets[b]))
+            assert apart <= differ and (apart - differ) % 2 == 0
+
+
 def test_stage_keeps_one_of_each_group(spark, sf_dir):
     texts = planted(random.Random(6))[8:]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

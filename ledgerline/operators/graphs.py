@@ -242,12 +242,14 @@ def bow_tie(edges: DataFrame) -> DataFrame:
 def clustering_in(vertices: DataFrame, edges: DataFrame, *, least: int = 10) -> DataFrame:
     """``id, n_in, clustering``: the share of ordered pairs of a vertex's distinct sources that are edges themselves; 0 for
     fewer than two sources, -1 for fewer than ``least``. Exact for every vertex (none is sampled): paths a -> b -> v whose
-    a -> v is an edge are counted, each middle vertex's targets being the probe side of an equi-join."""
+    a -> v is an edge are counted, each middle vertex's targets being the probe side of an equi-join. Paths are many more than edges:
+    they are hashed to tasks of about 260,000 edges and looked up there, and aren't sorted."""
     links = _cut(edges.select("src", "dst").filter("src <> dst").distinct())
     n_in = links.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n_in"))
     wanted = _cut(links.join(n_in.filter(F.col("n_in") >= least).select(F.col("id").alias("dst")), "dst", "left_semi"))
     paths = links.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(wanted.select(F.col("src").alias("b"), F.col("dst").alias("v")), "b")
-    closed = paths.join(wanted.select(F.col("src").alias("a"), F.col("dst").alias("v")), ["a", "v"], "left_semi").groupBy(F.col("v").alias("id")).agg(F.count("*").alias("n"))
+    ends = spread(wanted.select(F.col("src").alias("a"), F.col("dst").alias("v")), wanted.count(), "a", "v", each=1 << 18)
+    closed = paths.join(ends.hint("shuffle_hash"), ["a", "v"], "left_semi").groupBy(F.col("v").alias("id")).agg(F.count("*").alias("n"))
     k = F.coalesce("n_in", F.lit(0))
     share = F.when(k < 2, 0.0).when(k < least, -1.0).otherwise(F.coalesce("n", F.lit(0)) / (k * (k - 1)))
     return vertices.select("id").distinct().join(n_in, "id", "left").join(closed, "id", "left").select("id", k.alias("n_in"), share.alias("clustering"))

@@ -119,3 +119,14 @@ def test_rounds_send_no_large_table_through_the_driver(spark, monkeypatch):
     assert any("SortMergeJoin" in p for p in plans)
     rounds = [p for p in plans if "min(c" in p]
     assert rounds and not any("BroadcastExchange" in p for p in rounds)
+
+
+def test_clustering_looks_paths_up_in_tasks(spark, one_partition):
+    edges = spark.createDataFrame([(a, b) for a in range(12) for b in range(12) if (a * b) % 5 != 1 or a == b], "src long, dst long")
+    links = {(r["src"], r["dst"]) for r in edges.collect() if r["src"] != r["dst"]}
+    got = G.clustering_in(spark.range(12), edges, least=3)
+    for r in got.collect():
+        into = [a for a, b in links if b == r["id"]]
+        assert r["n_in"] == len(into) and abs(r["clustering"] - sum((a, b) in links for a in into for b in into) / (len(into) * (len(into) - 1))) < 1e-12
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [a" in plan and "SortMergeJoin [a" not in plan

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import ALNUM_WORD, LOWER, blocks, owner, prefix_hash, runs, saved, slice_hash, utf8
 
 WINDOW = 13
+#: Shards that are written and read at once.
+SHARDS = 4
 #: Words of the benchmark that one block may have.
 BLOCK_WORDS = 1 << 20
 #: Rarest words of a window that are intersected, and how far apart from their places they may be in a proximity match.
@@ -72,7 +74,7 @@ def index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     got = rows.mapInArrow(run, f"ids array<{kind}>, n_words array<long>, terms array<long>, n_docs array<int>, ends array<int>, places array<int>")
-    return saved(got.withColumn("shard", F.monotonically_increasing_id()), "postings")
+    return saved(got.withColumn("shard", F.monotonically_increasing_id()), "postings", together=SHARDS)
 
 
 def _list(column: pa.ListArray, row: int) -> np.ndarray:

@@ -20,10 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back."""
+def saved(df: DataFrame, name: str, *, together: int = 0) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it back. Spark reads up to 4,096 rows of a row group at once, and writes no
+    group of less than 100; rows of some MB each need groups of ``together``."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.option("parquet.block.row.count.limit", together) if together else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

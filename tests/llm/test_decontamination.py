@@ -92,3 +92,13 @@ def test_one_index_serves_any_benchmark(spark):
     for text, want in (("a b", {1}), ("c d", {2}), ("c", {1, 2}), ("x", set())):
         items = spark.createDataFrame([(1, text)], "item_id long, text string")
         assert {r["id"] for r in D.asked(postings, items).filter("n_hit > 0").collect()} == want
+
+
+def test_few_shards_are_read_at_once(spark):
+    import pyarrow.parquet as pq
+
+    texts = [(k, f"w{k} " * 400_000) for k in range(10)]
+    postings = D.index(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1))
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in postings.inputFiles()]
+    groups = [f.metadata.row_group(k).num_rows for f in files for k in range(f.num_row_groups)]
+    assert sum(groups) == 10 and max(groups) <= 4

@@ -30,6 +30,8 @@ from ledgerline.llm.common import ALNUM_WORD, LOWER, blocks, saved
 
 #: Bytes of text a block holds; a longer text is a block of its own.
 BLOCK = 4 << 20
+#: Blocks that are written and read at once.
+TOGETHER = 2
 _WORDS = bytes(int(LOWER[k]) if ALNUM_WORD[k] else 32 for k in range(256))
 
 
@@ -93,7 +95,7 @@ def vectors(texts: DataFrame, n: int, id_col: str, text_col: str, name: str) ->
 
     doc = f"struct<id:{kind},n_words:bigint,n_features:bigint,places:array<int>,counts:array<int>>"
     rows = texts.select(texts[id_col].alias("id"), texts[text_col].alias("text"))
-    return saved(rows.mapInArrow(run, f"block long, features array<string>, totals array<long>, docs array<{doc}>"), name)
+    return saved(rows.mapInArrow(run, f"block long, features array<string>, totals array<long>, docs array<{doc}>"), name, together=TOGETHER)
 
 
 def dictionary(held: DataFrame, buckets: int) -> DataFrame:

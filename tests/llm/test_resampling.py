@@ -63,3 +63,15 @@ def test_whole_table(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     target = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text").collect()]
     check(spark, docs, target)
+
+
+def test_few_blocks_are_read_at_once(spark):
+    import pyarrow.parquet as pq
+
+    from ledgerline.llm import resampling as R
+
+    texts = [(k, f"w{k} " * 700_000) for k in range(5)]
+    held = R.vectors(spark.createDataFrame(texts, "id long, text string").coalesce(1), 1, "id", "text", "blocks")
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in held.inputFiles()]
+    groups = [f.metadata.row_group(k).num_rows for f in files for k in range(f.num_row_groups)]
+    assert sum(groups) == 5 and max(groups) <= 2

@@ -130,3 +130,13 @@ def test_clustering_looks_paths_up_in_tasks(spark, one_partition):
         assert r["n_in"] == len(into) and abs(r["clustering"] - sum((a, b) in links for a in into for b in into) / (len(into) * (len(into) - 1))) < 1e-12
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin [a" in plan and "SortMergeJoin [a" not in plan
+
+
+def test_meeting_blocks_are_not_shuffled_for_each_other(spark, one_partition):
+    sets = {k: {(k * k + j) % 11 for j in range(k % 6)} for k in range(40)}
+    rows = spark.createDataFrame([(k, m) for m, ks in sets.items() for k in ks for _ in range(2)], "k long, m long")
+    got = R.pairs_in_blocks(rows, "k", "m", block=7)
+    want = {(a, b): len(sets[a] & sets[b]) for a, b in combinations(sets, 2) if sets[a] & sets[b]}
+    assert {(r["first"], r["second"]): r["n"] for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan

@@ -6,6 +6,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.operators import assignment as A
 from ledgerline.operators import graphs as G
 from ledgerline.operators import identity as P
 from ledgerline.operators import incremental as N
@@ -140,3 +141,13 @@ def test_meeting_blocks_are_not_shuffled_for_each_other(spark, one_partition):
     assert {(r["first"], r["second"]): r["n"] for r in got.collect()} == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "SortMergeJoin" not in plan
+
+
+def test_similar_rows_of_one_group_are_not_shuffled_for_each_other(spark, one_partition):
+    sets = {k: {(k * j) % 13 for j in range(k % 7)} for k in range(60)}
+    frame = lambda odd: spark.createDataFrame([(k, list(x) * 2) for k, x in sets.items() if k % 2 == odd], "id long, words array<long>")
+    got = A.similar_rows(frame(0), frame(1), keys=[], id_col="id", tokens="words", least=0.4, block=7)
+    want = {(a, b) for a in sets for b in sets if a % 2 < b % 2 and sets[a] & sets[b] and len(sets[a] & sets[b]) >= 0.4 * len(sets[a] | sets[b])}
+    assert {(r["a"], r["b"]) for r in got.collect()} == want and want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan

@@ -153,3 +153,12 @@ def test_added_cost(spark):
     df = spark.createDataFrame(rows, "held array<struct<start:long,end:long>>, a long, b long")
     got = [r["c"] for r in df.select(N.added_cost(F.col("held"), F.col("a"), F.col("b")).alias("c")).collect()]
     assert got == [sum(all(not s <= p < e for s, e in held) for p in range(a, b)) for held, a, b in rows]
+
+
+def test_copies_are_matched_in_one_round(spark, monkeypatch):
+    names, saved = [], A.saved
+    monkeypatch.setattr(A, "saved", lambda df, name, **k: names.append(name) or saved(df, name, **k))
+    edges = [(a, b, 1.0) for a in range(9) for b in range(100, 112)] + [(a, b, 0.5) for a in range(5, 20) for b in range(110, 115)]
+    got = {tuple(r) for r in A.one_to_one(spark.createDataFrame(edges, "a long, b long, score double"), "score").collect()}
+    assert got == {(a, 100 + a, 1.0) for a in range(9)} | {(9 + k, 110 + k, 0.5) for k in range(5)}
+    assert names.count("taken") <= 3

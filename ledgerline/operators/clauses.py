@@ -1,13 +1,14 @@
 """Clauses of impact assessments that admit, defer or hedge, and rule detectors over bills.
 
 All patterns go over a text in the JVM. The clause patterns are one alternation, so at a place the first that matches wins and
-matches don't overlap. Which pattern a hit
+matches don't overlap; at a place only those are tried that can begin with the two letters that stand there. Which pattern a hit
 belongs to is told from the hit alone: an earlier one that could match it would have won. The detectors share one profile:
 each text is counted once for all vocabularies, counts are summed by bill, joined with the bill's claims, and every detector is an
 expression over that row."""
 
 from __future__ import annotations
 
+import re
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
@@ -120,7 +121,41 @@ DOMAINS = [
 ]
 
 RUNS = [(kind, "|".join(p for *_, p in run)) for kind, run in groupby(CLAUSES, key=lambda c: c[:2])]
-ANY = "(?iU)" + "|".join(f"(?:{p})" for *_, p in CLAUSES)
+
+
+def starts(pattern: str) -> list[str]:
+    """The two letters with which matches of a pattern begin: it starts with letters or plain groups of them."""
+    out = []
+    for part in re.split(r"\|(?![^(]*\))", pattern):
+        while m := re.match(r"\(\?:([^()]*)\)(\??)", part):
+            out += [x[:2] for x in m[1].split("|")]
+            if not m[2]:
+                break
+            part = part[m.end() :]
+        else:
+            out.append(part[:2])
+    return [x.lower() for x in out]
+
+
+def _letters(some: set[str]) -> str:
+    """A class of letters in either case, with those beyond Latin-1 that a pattern takes for them."""
+    return "[" + "".join(sorted({x for c in some for x in (c, c.upper(), *{"i": "ıİ", "k": "\u212a", "s": "ſ", "å": "\u212b"}.get(c, ""))})) + "]"
+
+
+def _where(two: set[str]) -> str:
+    """A look at the next two letters, each one of those that stand there in ``two``."""
+    return "(?=(?-i:" + "".join(_letters({x[k] for x in two}) for k in (0, 1)) + "))"
+
+
+def quick(patterns: list[str]) -> str:
+    """The alternation of some patterns, in their order, of which a place tries those that its two letters allow."""
+    begins = [set(starts(p)) for p in patterns]
+    every = sorted(set().union(*begins))
+    parts = (_where({two}) + "(?:" + "|".join(f"(?:{p})" for p, b in zip(patterns, begins, strict=True) if two in b) + ")" for two in every)
+    return "(?iU)" + _where(set(every)) + "(?:" + "|".join(parts) + ")"
+
+
+ANY = quick([p for *_, p in CLAUSES])
 
 
 def spots(text: Column, pattern: str) -> Column:
@@ -146,8 +181,15 @@ def clauses(texts: DataFrame, *, id_col: str, text_col: str, reach: int = 60) ->
     return found.select(id_col, F.col("x.at").cast("long").alias("at"), kind["category"].alias("category"), kind["subtype"].alias("subtype"), F.col("x.hit").alias("said"), context.alias("context"))
 
 
-def _hits(text: Column, *patterns: str, flags: str = "(?iU)") -> Column:
-    return sum((F.regexp_count(text, F.lit(flags + p)) for p in patterns), F.lit(0)).cast("long")
+def _hits(text: Column, *patterns: str) -> Column:
+    """How many matches the patterns have; they are only counted where one look finds any."""
+    counts = sum((F.regexp_count(text, F.lit("(?iU)" + p)) for p in patterns), F.lit(0))
+    return F.when(text.rlike(quick(list(patterns))), counts).otherwise(F.lit(0)).cast("long")
+
+
+def _words(text: Column, words: tuple[str, ...]) -> Column:
+    """How often words stand in a text, in that case and alone."""
+    return sum((F.when(F.contains(text, F.lit(w)), F.regexp_count(text, F.lit(rf"\b{w}\b"))).otherwise(F.lit(0)) for w in words), F.lit(0)).cast("long")
 
 
 def _terms(low: Column, terms: tuple[str, ...]) -> Column:
@@ -171,7 +213,7 @@ def _years(text: Column, patterns: tuple[str, ...], near: str | None = None) ->
         if near is None:
             return F.regexp_extract_all(text, F.lit(full), F.lit(1))
         kept = F.filter(spots(text, full), lambda x: ~_around(text, x, 100).rlike("(?iU)" + near))
-        return F.transform(kept, lambda x: F.regexp_extract(x["hit"], full, 1))
+        return F.when(text.rlike(full), F.transform(kept, lambda x: F.regexp_extract(x["hit"], full, 1))).otherwise(F.array().cast("array<string>"))
 
     parts = [named("(?iU)" + p) for p in patterns]
     return F.transform(F.filter(F.concat(*parts), lambda y: y != ""), lambda y: y.cast("int"))
@@ -189,7 +231,7 @@ def _crossing(text: Column) -> Column:
         near = _around(text, x, 150)
         return (number(x, 1, 3) < 0) & (number(x, 2, 4) > 0) & ~near.rlike("(?iU)" + ADDRESS) & near.rlike("(?iU)" + ESTIMATE)
 
-    return F.size(F.filter(spots(text, full), crosses)).cast("long")
+    return F.when(text.rlike(full), F.size(F.filter(spots(text, full), crosses))).otherwise(F.lit(0)).cast("long")
 
 
 def profile(atoms: DataFrame, years: DataFrame) -> DataFrame:
@@ -204,7 +246,7 @@ def profile(atoms: DataFrame, years: DataFrame) -> DataFrame:
         "bill", "year", impact.alias("impact"), only(F.length(text)).alias("chars"), kind.alias("kinds"),
         only(_terms(low, FAILURE) + F.greatest(_terms(low, ("riski",)) - _terms(low, BASELINE), F.lit(0))).alias("failure"),
         only(_named(low, STATIC)).alias("static"), only(_named(low, NO_COST)).alias("no_cost"), _terms(low, SYSTEMS).alias("systems"),
-        only(_hits(text, *MODELS, flags="") + _hits(text, *METHODS)).alias("models"), _hits(text, *FLOOR).alias("floor"), only(_hits(text, *PRESSURE)).alias("pressure"), only(text.rlike("(?iU)" + CEILING)).alias("ceiling"),
+        only(_words(text, tuple(m.strip("\\b") for m in MODELS)) + _hits(text, *METHODS)).alias("models"), _hits(text, *FLOOR).alias("floor"), only(_hits(text, *PRESSURE)).alias("pressure"), only(text.rlike("(?iU)" + CEILING)).alias("ceiling"),
         only(_hits(text, *MANDATORY)).alias("mandatory"), only(text.rlike("(?iU)" + DOUBT)).alias("doubt"), only(text.rlike("(?iU)" + HEALTH)).alias("health"), only(text.rlike("(?iU)" + LOAD_BEARING)).alias("bearing"),
         F.filter(only(_years(text, STALE)), lambda y: F.col("year") - y >= 2).alias("stale"), F.filter(only(_years(text, FROZEN, CLIMATE)), lambda y: F.col("year") - y >= 5).alias("frozen"),
         only(_crossing(text)).alias("crossing"), *(only(text.rlike("(?iU)" + p)).alias(f"domain{k}") for k, (p, _) in enumerate(DOMAINS)),

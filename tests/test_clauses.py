@@ -86,3 +86,16 @@ def test_clauses_with_letters_that_only_fold_alike(spark):
     """A long s is an s to a pattern that ignores case, but no plain search for stems finds it."""
     texts = spark.createDataFrame([(1, "Tästä säädetään erikſeen."), (2, None), (3, "Ei mitään")], "id long, text string")
     assert [(r["id"], r["at"], r["said"]) for r in C.clauses(texts, id_col="id", text_col="text").collect()] == [(1, 6, "säädetään erikſeen")]
+
+
+def test_patterns_tried_by_their_first_letters(spark):
+    """The same matches as all patterns tried at every place; letters that stand for others (ſ, ı, İ, K), nested and optional beginnings."""
+    said = ["ei voida arvioida", "EI\tOLE arvioitu aineistoperusteisesti", "on hyvin vaikea arvioida", "hyvin vaikea arvioida", "on haastava erottaa", "ſuuruuſluokaltaan noin 5", "arviolta 7", "muutoksella pyritään", "eı ole huomıoıtu", "EİVÄT TULE", "selvitetään erikseen", "seikarkeasti noin", "eei voida luotettavasti", "e", ""]
+    said += ["komissio on todennut", "Komissio on esittänyt", "EU:n valtiontukisäännösten vuoksi", "yhteisöoikeus estää", "este on EU", "ei ole mahdollista x direktiivi", "mahdoton EU", "säästö x hyvinvointialue", "hyvinvointialue säästö", "kuntien leikkau", "voimavarat niukat"]
+    texts = spark.createDataFrame([(f"{a} {b}{c}",) for a in said for b in said for c in ("", ".")], "text string")
+    for patterns in ([p for *_, p in C.CLAUSES], list(C.MANDATORY), list(C.PRESSURE), list(C.FLOOR), list(C.METHODS)):
+        plain = "(?iU)" + "|".join(f"(?:{p})" for p in patterns)
+        quick = C.quick(patterns)
+        found = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
+        assert quick.count("(?=") > 2 and texts.filter(found(plain) != found(quick)).count() == 0
+        assert patterns == list(C.METHODS) or patterns == list(C.FLOOR) or texts.filter(F.size(found(plain)) > 0).count() > 20
